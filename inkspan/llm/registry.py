@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import op2_chat_windows
+from .forest import op8_hash_prefix_forest
 from .mixing import op10_source_schedule
+from .multiset import op5_multiset_fingerprints
 from .packing import op4_vector_packing
+from .quality import op1_nb_svm_quality
 from .simhash import op7_simhash_near_dedup
 from .token_output import op9_bit_plane_token_ids
 
-QUERIES = {f.__name__: f for f in (op4_vector_packing, op7_simhash_near_dedup, op9_bit_plane_token_ids, op10_source_schedule)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_chat_windows, op4_vector_packing, op5_multiset_fingerprints, op7_simhash_near_dedup, op8_hash_prefix_forest, op9_bit_plane_token_ids, op10_source_schedule)}
 ORACLE: dict[str, str] = {}
