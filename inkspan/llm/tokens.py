@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,11 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Lower-case ASCII letters and trailing marks: such words split into exactly these two pieces.
-_PLAIN = re.compile(r"([a-z]+)([.,!?;:]*)\Z")
+#: Latin-1 letters and trailing marks: such words are normal already, and split into exactly these two pieces.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)\\Z")
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SEEN))}
 
 
 class WordEncoder:
@@ -23,7 +27,7 @@ class WordEncoder:
     identity on them); all others go through the whole library, in one call for many words.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -35,13 +39,14 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def piece(self, x: str) -> list[int]:
+    def piece(self, x: str) -> bytes:
         if (ids := self.pieces.get(x)) is None:
-            ids = self.pieces[x] = [t.id for t in self.model.tokenize(x)]
+            own = x if x.isascii() else "".join(map(_BYTES.__getitem__, x.encode()))
+            ids = self.pieces[x] = array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
         return ids
 
     def library(self, words: list[str]) -> list[list[int]]:
@@ -58,27 +63,28 @@ class WordEncoder:
         return out
 
     def _add(self, words: list[str]) -> None:
-        other, found = [], []
+        other, names, found = [], [], []
         for w in words:
-            if w.isascii():
-                if not w:
-                    found.append((w, []))
-                    continue
-                if m := _PLAIN.match(w.lower()):
-                    found.append((w, self.piece(m[1]) + self.piece(m[2]) if m[2] else self.piece(m[1])))
-                    continue
-            other.append(w)
-        found += zip(other, self.library(other))
-        n, k = sum(len(x) for _, x in found), len(self.words)
+            if m := _PLAIN.match(w.lower()) if w.isascii() or max(w) <= "\xff" else None:
+                names.append(w)
+                found.append(self.piece(m[1]) + self.piece(m[2]) if m[2] else self.piece(m[1]))
+            elif w:
+                other.append(w)
+            else:
+                names.append(w)
+                found.append(b"")
+        names += other
+        found += [array("I", x).tobytes() for x in self.library(other)]
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n, k = int(lens.sum()), len(self.words)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(found) > len(self.starts):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        self.flat[self.used : self.used + n] = np.fromiter((i for _, x in found for i in x), np.uint32, n)
-        lens = np.fromiter((len(x) for _, x in found), np.int64, len(found))
+        self.flat[self.used : self.used + n] = np.frombuffer(b"".join(found), np.uint32)
         self.lens[k : k + len(found)] = lens
         self.starts[k : k + len(found)] = self.used + np.cumsum(lens) - lens
-        self.words.update(zip((w for w, _ in found), range(k, k + len(found))))
+        self.words.update(zip(names, range(k, k + len(found))))
         self.used += n
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
