@@ -72,20 +72,22 @@ def schedule(blocks: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 8192, least: int = 2000, seed: str = "mix") -> DataFrame:
-    """docs (with doc_id, text, source) with size, source_size, target, taken: the words that the mix takes of each.
+    """doc_id, source, size, source_size, target, taken (the words that the mix takes of it) of docs (doc_id, text, source),
+    and key, the hash of doc_id and text.
 
     Each source's documents are shuffled (by a keyed hash of doc_id, then doc_id, then size), laid end to end and cut
     into n_blocks blocks of equal words (up to one); the schedule says how often each block is taken. A document takes
     from each block it touches. Prefix sums run in buckets of the hash, so a hot source is spread over many tasks.
     Null text or no words: taken 0. Null source: a source of its own. Repeated rows: each counts. Empty table: no rows.
     """
-    d = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
+    key = F.xxhash64("doc_id", "text").alias("key")
+    d = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", key), "mix-sizes")
     targets = written(with_blocks(source_targets(d, weights, share, most), block, least), "mix-targets")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    small = d.withColumn("__h", key)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    small = d.withColumn("__h", order)
     # hash prefixes as buckets: their number follows the input (256 * 16 a source at least)
     placed = running_sum(small, ["source"], [F.col("__h"), F.col("doc_id"), F.col("size")], "size", "start", F.substring("__h", 1, 3))
-    placed = placed.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "d.start", "t.source_size", "t.position", "t.target", "t.n_blocks")
+    placed = placed.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.start", "t.source_size", "t.position", "t.target", "t.n_blocks")
     # block b holds words floor(b * source_size / n_blocks) up to the next block's; the last word's block: see below
     edge = lambda b: F.floor(b.cast("decimal(38,0)") * F.col("source_size") / F.col("n_blocks")).cast("long")
     of = lambda w: F.floor(((w.cast("decimal(28,0)") + 1) * F.col("n_blocks") - 1) / F.col("source_size")).cast("long")
@@ -95,7 +97,19 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     taken = touched.join(times, ["position", "block"]).groupBy("position", "start").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     # (position, start) names a document that has words
     out = placed.join(taken, ["position", "start"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), "key")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """docs as the mix has them: each whole document as often as it is taken, to the nearest number; columns as in docs.
+
+    Only the documents at the edge of a source's last blocks are taken in part, so rounding moves a source by less than
+    a document or two. Documents without words go. Repeated rows (equal doc_id and text) are counted together.
+    """
+    copies = mix(docs, **settings).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("__copies"))
+    d = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(copies.where("__copies > 0"), F.col("__key") == F.col("key"))
+    d = d.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))).where("__nth = 1")
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

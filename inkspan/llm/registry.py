@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import op2_chat_windows
 from .forest import op8_hash_prefix_forest
 from .mixing import op10_source_schedule
 from .multiset import op5_multiset_fingerprints
 from .packing import op4_vector_packing
+from .pii import op3_pii_surrogates
 from .quality import op1_nb_svm_quality
 from .simhash import op7_simhash_near_dedup
+from .substrings import op6_repeated_substrings
 from .token_output import op9_bit_plane_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_chat_windows, op4_vector_packing, op5_multiset_fingerprints, op7_simhash_near_dedup, op8_hash_prefix_forest, op9_bit_plane_token_ids, op10_source_schedule)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_chat_windows, op3_pii_surrogates, op4_vector_packing, op5_multiset_fingerprints, op6_repeated_substrings, op7_simhash_near_dedup, op8_hash_prefix_forest, op9_bit_plane_token_ids, op10_source_schedule)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
