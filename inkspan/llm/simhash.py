@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table, written
 from .components import components
@@ -211,7 +212,7 @@ def one_of_each(docs: DataFrame, width: int = 5, most: int = 26) -> DataFrame:
             two = [_two_fingerprints(t or b"", width) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in two], pa.binary()), pa.array([y for _, y in two], pa.binary())], [*b.schema.names, "__words", "__shingles"])
 
-    rows = docs.mapInArrow(run, docs.schema.add("__words", "binary").add("__shingles", "binary"))
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__words", "binary").add("__shingles", "binary"))
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__node", F.xxhash64("__words", "__shingles")), "near-copies")
     nodes = rows.groupBy("__node").agg(F.first("__words").alias("w"), F.first("__shingles").alias("s"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
     byte = lambda i: F.substring("w", i + 1, 1)
