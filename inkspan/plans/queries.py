@@ -1,4 +1,106 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over records that are made from the driver's tables, and SQL that computes the same from the tables."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import project
+from ..operators.parse import detect, parse
+
+
+def _xml(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw record for each document: doc_id, shard, raw. By doc_id % 4: a grant (version 4.7), an application (4.4), a
+    tagged-text record, and in turn a supplemental root, an unknown root, conflicting markers, and broken XML."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("filed"))
+    d = d.join(o, "doc_id", "left").withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    number = F.lpad((F.col("doc_id") + 1000000).cast("string"), 8, "0")
+    filed, title = F.coalesce("filed", F.lit("")), F.concat(F.lit("Item "), F.col("source"), F.lit(" & <"), F.col("lang"), F.lit(">"))
+    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
+    claim_lines, rest = F.slice("lines", 2, 3), F.slice("lines", 5, 100000)
+
+    def modern(kind: str, name: str, version: str) -> Column:
+        doc = lambda code: F.concat(F.lit("<document-id><country>US</country><doc-number>"), number, F.lit(f"</doc-number><kind>{code}</kind><date>"), filed, F.lit("</date></document-id>"))
+        return F.concat(
+            F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE {name} SYSTEM "{name}-{version}.dtd">\n<{name} lang="EN" dtd-version="{version}">\n<us-bibliographic-data-{kind}><publication-reference>'),
+            doc("B1" if kind == "grant" else "A1"), F.lit('</publication-reference><application-reference appl-type="utility">'), doc(""), F.lit("</application-reference><us-application-series-code>14</us-application-series-code><invention-title>"), _xml(title), F.lit(f"</invention-title></us-bibliographic-data-{kind}><abstract><p>"),
+            _xml(first), F.lit("</p></abstract><description><?BRFSUM description=\"Brief Summary\"?>"),
+            F.array_join(F.transform(rest, lambda x, i: F.concat(F.lit('<p num="'), F.lpad((i + 1).cast("string"), 4, "0"), F.lit('">'), _xml(x), F.lit("</p>"))), ""), F.lit("</description><claims>"),
+            F.array_join(F.transform(claim_lines, lambda x: F.concat(F.lit("<claim><claim-text>"), _xml(x), F.lit("</claim-text></claim>"))), ""), F.lit(f"</claims></{name}>"),
+        )
+
+    aps = F.concat(
+        F.lit("PATN\nWKU  0"), F.substr(number, F.lit(2)), F.lit("1\nAPN  "), number, F.lit("\nAPD  "), filed, F.lit("\nTTL  "), title, F.lit("\nABST\nPAL  "), first, F.lit("\nCLMS\nSTM  What is claimed is:\n"),
+        F.array_join(F.transform(claim_lines, lambda x, i: F.concat(F.lit("NUM  "), (i + 1).cast("string"), F.lit(".\nPAR  "), x, F.lit("\n"))), ""),
+    )
+    k = F.floor(F.col("doc_id") / 4) % 4
+    bad = F.when(k == 0, '<?xml version="1.0"?><sequence-cwu/>').when(k == 1, '<?xml version="1.0"?><other/>').when(k == 2, '<!DOCTYPE us-patent-application><us-patent-grant dtd-version="v4.5"/>').otherwise('<us-patent-grant dtd-version="v4.5"><a></us-patent-grant>')
+    m = F.col("doc_id") % 4
+    raw = F.when(m == 0, modern("grant", "us-patent-grant", "v47")).when(m == 1, modern("application", "us-patent-application", "v44")).when(m == 2, aps).otherwise(bad)
+    return d.select("doc_id", F.concat(F.lit("ipg"), (F.col("doc_id") % 8).cast("string")).alias("shard"), raw.alias("raw"))
+
+
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(corpus(spark, sf_dir)).select("doc_id", "source_format", "error_kind")
+
+
+def page_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(spark.read.parquet(f"{sf_dir}/pages.parquet"), "html").groupBy("error_kind", "error_msg").agg(F.count("*").alias("pages"))
+
+
+def biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = project.biblio(parse(corpus(spark, sf_dir)), ["doc_id"])
+    return b.select("doc_id", "source_format", "country_code", "doc_number", "kind_code", "publication_number", "patent_number", "application_number", "filing_date", "invention_title")
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.claims(parse(corpus(spark, sf_dir)), ["doc_id"])
+
+
+def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(corpus(spark, sf_dir)).where("error_kind IS NULL").select("doc_id", F.array_join("abstract", "\n\n").alias("abstract_text"))
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.markdown(parse(corpus(spark, sf_dir)), ["doc_id"], "{{title}}\n\n{{abstract}}")
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.manifest(parse(corpus(spark, sf_dir)), ["shard"])
+
+
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = parse(corpus(spark, sf_dir)).select("shard", "doc_id", "error_kind")
+    return project.limited(d, ["shard"], ["doc_id"], F.col("error_kind").isNull(), 5).select("shard", "doc_id")
+
+
+def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", C.doc_key(F.col("raw"), F.col("doc_id")).alias("doc_key"))
+
+
+QUERIES = {f.__name__: f for f in (formats, page_formats, biblio, claims, abstracts, markdown, manifest, limited, doc_keys)}
+
+_D = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, doc_id % 4 AS m, (doc_id // 4) % 4 AS k, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS lines, lpad(cast(doc_id + 1000000 AS varchar), 8, '0') AS number FROM documents)"
+_KIND = "CASE WHEN m <> 3 THEN NULL WHEN k < 2 THEN 'UnsupportedRoot' WHEN k = 2 THEN 'ConflictingVersionMarkers' END"
+_TITLE = "'Item ' || source || ' & <' || lang || '>'"
+ORACLE = {
+    "formats": f"WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' WHEN 1 THEN 'UsptoApplicationV44' WHEN 2 THEN 'UsptoAps' ELSE CASE WHEN k = 3 THEN 'UsptoGrantV45' END END AS source_format, {_KIND} AS error_kind FROM d",
+    "page_formats": "SELECT 'UnsupportedRoot' AS error_kind, 'html' AS error_msg, count(*) AS pages FROM pages",
+    "biblio": f"""WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' WHEN 1 THEN 'UsptoApplicationV44' ELSE 'UsptoAps' END AS source_format, 'US' AS country_code,
+        CASE WHEN m = 2 THEN cast(doc_id + 1000000 AS varchar) ELSE number END AS doc_number, CASE m WHEN 1 THEN 'A1' ELSE 'B1' END AS kind_code,
+        CASE WHEN m = 1 THEN 'US' || number || 'A1' END AS publication_number, CASE WHEN m <> 1 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number,
+        number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title
+        FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 3""",
+    "claims": f"WITH {_D} SELECT doc_id, i AS number, trim(regexp_replace(lines[i + 1], '\\s+', ' ', 'g')) AS text FROM (SELECT *, cast(unnest(range(1, 1 + greatest(0, least(3, len(lines) - 1)))) AS integer) AS i FROM d WHERE m < 3)",
+    "abstracts": f"WITH {_D} SELECT doc_id, coalesce(trim(lines[1]), '') AS abstract_text FROM d WHERE m < 3",
+    "markdown": f"WITH {_D} SELECT doc_id, '# ' || {_TITLE} || CASE WHEN len(lines) > 0 THEN chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(lines[1]) ELSE '' END AS markdown FROM d WHERE m < 3",
+    "manifest": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS written, count(*) FILTER (m = 3 AND k = 0) AS supplemental, count(*) FILTER (m = 3 AND k = 1) AS unsupported, count(*) FILTER (m = 3 AND k > 1) AS malformed FROM d GROUP BY ALL",
+    "limited": f"WITH {_D}, s AS (SELECT 'ipg' || doc_id % 8 AS shard, doc_id, coalesce(sum(cast(m < 3 AS integer)) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d) SELECT shard, doc_id FROM s WHERE n < 5",
+    "doc_keys": f"WITH {_D} SELECT doc_id, number AS doc_key FROM d WHERE m < 2",
+}
