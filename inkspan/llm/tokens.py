@@ -27,7 +27,7 @@ class WordEncoder:
     identity on them); all others go through the whole library, in one call for many words.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
