@@ -84,14 +84,15 @@ def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 4096) -> Da
     lo, width = r.lo or 0, max(1, -(-((r.hi or 0) - (r.lo or 0) + 1) // max(1, -(-r.n // per_bucket))))
     bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
     d = docs.withColumn("__bucket", bucket)
-    tops = d.groupBy("__bucket").agg(F.max("doc_id").alias("__top"))
-    everything = Window.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.withColumn("__for", F.coalesce(F.lag("__bucket").over(Window.orderBy(F.col("__bucket").desc())), F.last("__bucket").over(everything)))
-    head = d.alias("d").join(tops.alias("t"), (F.col("d.__bucket") == F.col("t.__bucket")) & F.col("d.doc_id").eqNullSafe(F.col("t.__top")))
-    head = head.groupBy("t.__for").agg(F.max(F.struct(F.coalesce("d.text", F.lit("")), *[F.col(f"d.{c}") for c in columns])).alias("x")).select(F.col("__for").alias("__bucket"), F.struct(*[F.col(f"x.{c}") for c in columns]).alias("__head"))
+    tops = d.select("__bucket").distinct()
+    down = Window.orderBy(F.col("__bucket").desc())
+    everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = tops.withColumn("__for", F.coalesce(F.lag("__bucket").over(down), F.last("__bucket").over(everything)))
     w = Window.partitionBy("__bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")).desc())
-    d = d.withColumn("__lead", F.lead(F.struct(*columns)).over(w))
-    return d.join(head, "__bucket", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__bucket", "__lead", "__head")
+    d = d.withColumn("__lead", F.lead(F.struct(*columns)).over(w)).withColumn("__rank", F.row_number().over(w))
+    # the ranges' first rows come from the same shuffle as the rest
+    head = d.where("__rank = 1").select("__bucket", F.struct(*columns).alias("__head")).join(tops, "__bucket").select(F.col("__for").alias("__bucket"), "__head")
+    return d.join(head, "__bucket", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__bucket", "__lead", "__head", "__rank")
 
 
 def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
