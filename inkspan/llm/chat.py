@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -32,32 +32,49 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, block: int = 128) -> DataFrame:
     """turns (conv_id, turn, role, text): one row per window: conv_id, window, formatted, first_new, loss.
 
     A conversation's turns in order (turn, role, text; nulls first) are cut into spans at turns: with prefix sums of
     tokens, a span ends before the turn that would take it over budget - system turn - history (a single larger turn
-    has a span of its own). A window: the system turn (if the first turn is one), the last turns before the span that
+    has a span of its own), and after every `block` turns, so that work grows with the turns and no row here holds a
+    whole conversation. A window: the system turn (if the first turn is one), the last turns before the span that
     fit into `history`, the span. loss: (start, length) in code points of the assistant texts of the span; repeated
-    turns bear none. first_new: the first turn of the window that isn't repeated (0 in window 0).
+    turns bear none. first_new: the first turn of the window that isn't repeated (0 in the first window). window
+    ascends within a conversation from 0, with gaps.
     Null text or role: empty. Null conv_id: a conversation of its own. Repeated rows: repeated turns. Empty table: no
-    rows. A conversation is put together in one row, as its template needs it in order.
+    rows. One exchange, by conv_id; the windows are streamed over sorted turns.
     """
-    t = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    c = c.withColumn("n", F.size("t")).withColumn("sys", (F.col("t")[0]["role"] == "system").cast("int"))
-    c = c.withColumn("cost", F.transform("t", lambda x: tokens(x["text"]).cast("long")))
-    c = c.withColumn("sums", F.aggregate("cost", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)))
-    at = lambda i: F.get(F.col("sums"), i)
-    room = F.greatest(F.lit(budget - history) - at(F.col("sys")), F.lit(1))
-    first = F.struct(F.col("sys").alias("start"), F.array("sys").alias("cuts"))
-    step = lambda s, i: F.when((at(i + 1) - at(s["start"]) > room) & (i > s["start"]), F.struct(i.alias("start"), F.array_append(s["cuts"], i).alias("cuts"))).otherwise(s)
-    body = F.when(F.col("n") > F.col("sys"), F.sequence(F.col("sys"), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    c = c.withColumn("cuts", F.aggregate(body, first, step, lambda s: s["cuts"]))
-    w = c.select("*", F.posexplode("cuts").alias("window", "a")).withColumn("b", F.coalesce(F.get(F.col("cuts"), F.col("window") + 1), F.col("n")))
-    w = w.withColumn("h", F.col("sys") + F.size(F.filter(F.slice("sums", F.col("sys") + 1, F.col("a") - F.col("sys")), lambda p: at(F.col("a")) - p > history)))
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cost", tokens(F.col("text")).cast("long"))
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("i", F.count(F.lit(1)).over(so_far) - 1).withColumn("end", F.sum("cost").over(so_far)).withColumn("top", F.first(F.when(F.col("role") == "system", F.struct("role", "text", "cost"))).over(so_far))
+    most = min(block, history // 4)  # a turn's price is 4 at least: no more turns can be repeated
+    own = F.floor(F.col("i") / block).cast("int")
+    t = t.withColumn("block", F.explode(F.when(F.col("i") % block >= block - most, F.array(own, own + 1)).otherwise(F.array(own))))
+    c = t.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text", (F.col("end") - F.col("cost")).alias("before"), "end"))).alias("t"), F.first("top").alias("top"))
+    c = c.withColumn("sys", F.col("top").isNotNull().cast("int"))
+    c = c.withColumn("body", F.when(F.col("block") == 0, F.slice("t", F.col("sys") + 1, F.size("t"))).otherwise(F.col("t")))
+    c = c.withColumn("n", F.size("body")).withColumn("old", F.size(F.filter("body", lambda x: x["i"] < F.col("block") * block)))
+    c = c.where("block = 0 or n > old")  # else a block of repeated turns only
+    room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("top.cost"), F.lit(0)), F.lit(1))
+    body = F.when(F.col("n") > F.col("old"), F.sequence(F.col("old"), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    before = lambda i: F.get(F.col("body"), i)["before"]
+    step = lambda s, i: F.when((F.get(F.col("body"), i)["end"] - before(s["start"]) > F.col("room")) & (i > s["start"]), F.struct(i.alias("start"), F.array_append(s["cuts"], i).alias("cuts"))).otherwise(s)
+    c = c.withColumn("room", room).withColumn("cuts", F.aggregate(body, F.struct(F.col("old").alias("start"), F.array("old").alias("cuts")), step, lambda s: s["cuts"]))
     mark = lambda part, new: F.transform(part, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), new.alias("new")))
-    w = w.withColumn("turns", F.concat(mark(F.slice("t", F.lit(1), F.col("sys")), F.col("window") == 0), mark(F.slice("t", F.col("h") + 1, F.col("a") - F.col("h")), F.lit(False)), mark(F.slice("t", F.col("a") + 1, F.col("b") - F.col("a")), F.lit(True))))
+    top = F.when(F.col("sys") == 1, F.array(F.struct("top.role", "top.text"))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+
+    def window(a: Column, k: Column) -> Column:
+        b = F.coalesce(F.get(F.col("cuts"), k + 1), F.col("n"))
+        first = (F.col("block") == 0) & (k == 0)
+        h = F.size(F.filter(F.slice("body", F.lit(1), a), lambda x: before(a) - x["before"] > history))
+        return F.struct(
+            (F.col("block") * block + k).alias("window"),
+            F.when(first, 0).otherwise(F.col("sys") + a - h).alias("first_new"),
+            F.concat(mark(top, first), mark(F.slice("body", h + 1, a - h), F.lit(False)), mark(F.slice("body", a + 1, b - a), F.lit(True))).alias("turns"),
+        )
+
+    w = c.select("conv_id", F.explode(F.transform("cuts", window)).alias("w")).select("conv_id", "w.*")
     w = w.withColumn("parts", F.transform("turns", lambda x: F.struct(F.concat(F.lit(START), _role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("text"), (x["new"] & (x["role"] == "assistant")).alias("loss"))))
     w = w.withColumn("formatted", F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["text"], F.lit(END + "\n"))), ""))
     none = F.array().cast("array<struct<start:int,length:int>>")
@@ -70,7 +87,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) ->
         ),
         lambda s: s["spans"],
     )
-    return w.select("conv_id", "window", "formatted", F.when(F.col("window") == 0, 0).otherwise(F.col("sys") + F.col("a") - F.col("h")).alias("first_new"), spans.alias("loss"))
+    return w.select("conv_id", "window", "formatted", "first_new", spans.alias("loss"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:

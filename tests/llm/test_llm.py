@@ -186,6 +186,30 @@ def test_chat(spark):
     assert chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_long_conversations(spark):
+    """Blocks of turns: every turn is new once, windows keep the budget, history is what directly precedes the span."""
+    said = lambda i: " ".join(["w"] * (i * 7 % 23))
+    for sys in (0, 1):
+        rows = [(1, i, "system" if sys and not i else ("user", "assistant")[i % 2], f"t{i} {said(i)}") for i in range(700)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        w = sorted(chat.format_windows(df, budget=300, history=90).collect(), key=lambda r: r.window)
+        assert len({r.window for r in w}) == len(w) and w[0].window == 0
+        seen = 0
+        for r in w:
+            own = [x.split("<|im_end|>")[0].split("\n", 1)[1] for x in r.formatted.split("<|im_start|>")[1:]]
+            assert sum(len(x.split()) + 4 for x in own) <= 300
+            at = [int(x.split()[0][1:]) for x in own]
+            new = at[r.first_new :]
+            assert new == list(range(seen, seen + len(new))) and at[r.first_new - len(at[sys : r.first_new]) : r.first_new] == list(range(seen - len(at[sys : r.first_new]), seen)) if seen else r.first_new == 0
+            if seen and (back := seen - len(at[sys : r.first_new]) - 1) >= sys:  # one turn more would not have fit
+                assert sum(len(rows[k][3].split()) + 4 for k in range(back, seen)) > 90
+            seen += len(new)
+        assert seen == 700
+        got = chat.read_windows(chat.format_windows(df, budget=300, history=90)).first()
+        assert [tuple(t) for t in got.turns] == [(x[2], x[3]) for x in rows]
+        assert got.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+
+
 def test_forest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16))
