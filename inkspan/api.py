@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import templates
-from .functions.records import RECORD, parse_record
+from .functions.records import RECORD, _numbered, parse_record
 from .functions.writeback import write_record
 
 _ROOT = re.compile(r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE(?:[^>\[]|\[.*?\]\s*)*>\s*)*<([A-Za-z_][\w.:-]*)")
@@ -41,7 +41,7 @@ def detect(raw: str | None) -> tuple[str | None, str | None, str | None]:
         return None, "UnsupportedRoot", m[1]
     found = {(name, fam) for name, fam, mark in C.MARKERS if mark in text}
     for fam, name, most in (("application", "UsptoApplicationV4", 7), ("grant", "UsptoGrantV4", 8)):
-        found |= {(f"{name}{n}", fam) for n in range(most) if family == fam and f'dtd-version="v4.{n}' in text}
+        found |= {(f"{name}{n}", fam) for n in range(most) if family == fam and f'dtd-version="v4{"." if n or fam == "application" else ""}{n}' in text}
     families = {fam for _, fam in found} | {fam for fam, mark in _DOCTYPES if mark in text}
     names = {name for name, _ in found}
     if families - {family} or len(names) > 1:
@@ -75,6 +75,11 @@ def _decoded(text: str | None) -> str | None:
     return text
 
 
+def _compact(number: str | None) -> str | None:
+    t = None if number is None else number.strip()
+    return (t.replace("/", "").lstrip("0") or "0") if t and re.fullmatch("[0-9]+/[0-9]+", t) else t
+
+
 class Document:
     """A parsed record with its derived fields."""
 
@@ -98,13 +103,13 @@ class Document:
 
     @property
     def application_number(self) -> str | None:
-        n, s = self.record["application_number"], self.record["series"]
-        return s + n.zfill(6) if n and s and re.fullmatch("[0-9]+", n) and len(n) < 8 else n
+        n, s = (self.record["application_number"] or "").strip() or None, self.record["series"]
+        return s + n if n and s and re.fullmatch("[0-9]+", s) and re.fullmatch("[0-9]+", n) and len(n) < 8 else n
 
     @property
     def application_label(self) -> str | None:
-        n, s = self.record["application_number"], self.record["series"]
-        return n if s is None or n is None else f"{s}/{n[len(s):] if len(n) >= 8 and n.startswith(s) else n}"
+        n, s = (self.record["application_number"] or "").strip() or None, (self.record["series"] or "").strip()
+        return n if not s or n is None else f"{s}/{n[len(s):] if len(n) >= 8 and n.startswith(s) else n}"
 
     @property
     def title(self) -> str | None:
@@ -153,25 +158,29 @@ class Document:
 
     def sections(self) -> dict[str, str | None]:
         """The five sections, as operators.project.sections makes them."""
-        from .operators.project import _BLOCKS
-
         r = self.record
-        chain = [" ".join(x for x in (e["relationship"] or "unknown", e["parent"], e["parent_date"]) if x is not None) for e in r["priority"] or []]
+        pairs = lambda e: (("relationship", e["relationship"] or "unknown"), ("parent_doc_number", _compact(e["parent"])), ("parent_date", e["parent_date"]), ("child_doc_number", _compact(e["child"])))
+        chain = ["\n    ".join(f"{k}: {'null' if v is None else v}" for k, v in pairs(e)) for e in r["priority"] or []]
         scalars = (("filing_date", r["filing_date"]), ("application_number", self.application_label), ("publication_number", self.publication_number), ("publication_date", r["publication_date"]), ("patent_number", self.patent_number), ("priority_date", self.priority_date))
         lists = (("ipc_classifications", self.ipc_classifications), ("us_classifications", self.us_classifications), ("priority_chain", chain), ("applicants", self.applicants), ("assignees", self.assignees))
         front = ["---", *(f"{k}: {'null' if v is None else v}" for k, v in scalars)]
         front += [f"{k}:" + ("".join(f"\n  - {x}" for x in v) or " []") for k, v in lists]
-        blocks = []
-        for bucket, heading in _BLOCKS:
-            own = [p for p in r["description"] or [] if p["bucket"] == bucket]
-            texts = [f"### {p['text']}" if p["kind"] == "heading" else f"[{p['num']}] {p['text']}" if p["num"] is not None and not p["text"].startswith("[") else p["text"] for p in own]
-            blocks += [f"{heading}\n\n" + "\n\n".join(texts)] if own else []
+        text = []
+        for p in r["description"] or []:
+            if p["kind"] == "section" or (p["kind"] == "opaque" and p["bucket"] == "other"):
+                text.append("\n\n" + p["text"])
+            elif p["kind"] == "opaque":
+                text.append("\n" + p["text"])
+            elif p["kind"] == "paragraph":
+                text.append("\n\n" + _numbered(p["num"], p["text"]))
+            elif p["bucket"] != "cross-reference":
+                text.append("\n### " + p["text"])
         return {
             "frontmatter": "\n".join([*front, "---"]),
             "title": None if r["title"] is None else f"# {self.title}",
-            "abstract": "## Abstract\n\n" + _decoded(self.abstract_text or "") if r["abstract"] else None,
-            "description": _decoded("\n\n".join(blocks)),
-            "claims": "## Claims\n\n" + _decoded("\n\n".join(f"```claim\n{c['indented']}\n```" for c in r["claims"])) if r["claims"] else None,
+            "abstract": "## Abstract\n\n" + _decoded("\n\n".join(r["abstract_md"])) if r["abstract_md"] is not None else None,
+            "description": _decoded("".join(text)),
+            "claims": "## Claims" + _decoded("".join(f"\n```claim\n{c['indented']}\n```" for c in r["claims"])) if r["claims"] is not None else None,
         }
 
     def to_markdown(self, template: str | None = None) -> str:

@@ -44,7 +44,7 @@ def source_format(raw: Column) -> Column:
     family = F.when(root.isin("patent-application-publication", "us-patent-application"), "application").when(root.isin("us-patent-grant", "PATDOC"), "grant")
     tests = [(name, fam, raw.contains(mark)) for name, fam, mark in MARKERS]
     tests += [(f"UsptoApplicationV4{n}", "application", (family == "application") & raw.contains(f'dtd-version="v4.{n}')) for n in range(7)]
-    tests += [(f"UsptoGrantV4{n}", "grant", (family == "grant") & raw.contains(f'dtd-version="v4.{n}')) for n in range(8)]
+    tests += [(f"UsptoGrantV4{n}", "grant", (family == "grant") & raw.contains(f'dtd-version="v4{"." if n else ""}{n}')) for n in range(8)]
     doctypes = (("application", "<!DOCTYPE us-patent-application"), ("grant", "<!DOCTYPE us-patent-grant"), ("grant", "<!DOCTYPE PATDOC"))
     found = F.array_distinct(F.array_compact(F.array(*[F.when(t, name) for name, _, t in tests])))
     families = F.array_distinct(F.array_compact(F.array(*[F.when(t, fam) for _, fam, t in tests], *[F.when(raw.contains(m), fam) for fam, m in doctypes])))
@@ -62,7 +62,7 @@ def source_format(raw: Column) -> Column:
 
 def skip_class(kind: Column, root: Column) -> Column:
     """Why a record that failed is skipped: Supplemental, Unsupported or Malformed; null for none."""
-    return F.when(kind.isNull(), None).when((kind == "UnsupportedRoot") & root.isin("sequence-cwu", "table"), "Supplemental").when(kind == "UnsupportedRoot", "Unsupported").otherwise("Malformed")
+    return F.when(kind.isNull(), None).when((kind == "UnsupportedRoot") & root.isin("sequence-cwu", "table"), "Supplemental").when(kind.isin("UnsupportedRoot", "UnknownFormat", "ConflictingVersionMarkers", "UnsupportedStructure"), "Unsupported").otherwise("Malformed")
 
 
 def is_grant(kind_code: Column) -> Column:
@@ -90,14 +90,21 @@ def compact_number(country: Column, number: Column, kind_code: Column) -> Column
 
 def application_label(number: Column, series: Column) -> Column:
     """series/serial; a series that the number starts with already (8 digits and more) is taken off first."""
+    number, series = F.trim(number), F.nullif(F.trim(series), F.lit(""))
     inside = series.isNotNull() & (F.length(number) >= 8) & F.startswith(number, series)
     return F.when(series.isNull(), number).otherwise(F.concat(series, F.lit("/"), F.when(inside, F.substr(number, F.length(series) + 1)).otherwise(number)))
 
 
 def bare_application_number(number: Column, series: Column) -> Column:
-    """Digits only, with the series in front, serials padded to six digits."""
-    whole = number.rlike("^[0-9]+$") & series.isNotNull() & (F.length(number) < 8)
-    return F.when(whole, F.concat(series, F.lpad(number, 6, "0"))).otherwise(number)
+    """The trimmed number; the series goes in front if both are digits and the number has under 8."""
+    number = F.trim(number)
+    return F.when(number.rlike(r"\A[0-9]*\z") & series.rlike(r"\A[0-9]*\z") & (F.length(number) < 8), F.concat(series, number)).otherwise(number)
+
+
+def compact_application_number(c: Column) -> Column:
+    """series/number of digits as one number without zeros in front; others trimmed."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"\A[0-9]+/[0-9]+\z"), strip_zeros(F.replace(t, F.lit("/"), F.lit("")))).otherwise(t)
 
 
 def doc_kind(file_name: Column) -> Column:

@@ -12,12 +12,22 @@ _PARAGRAPH = "struct<bucket:string,kind:string,num:string,level:int,text:string>
 RECORD = (
     "country string, doc_number string, kind_code string, publication_date string, application_number string, appl_type string, series string, "
     "filing_date string, title string, ipc array<string>, us array<string>, priority array<struct<relationship:string,parent:string,parent_date:string,child:string>>, "
-    f"applicants array<string>, assignees array<string>, inventors array<string>, abstract array<string>, description array<{_PARAGRAPH}>, claims array<struct<plain:string,indented:string>>, "
+    f"applicants array<string>, assignees array<string>, inventors array<string>, abstract array<string>, abstract_md array<string>, description array<{_PARAGRAPH}>, claims array<struct<plain:string,indented:string>>, "
     "error_kind string, error_msg string"
 )
 FIELDS = [x.split()[0] for x in re.sub(r"<[^ ]*>", "", RECORD).split(", ")]
 _KNOWN = {"amp", "lt", "gt", "quot", "apos"}
-_SECTIONS = {"BRFSUM": "summary", "brief-description-of-drawings": "drawings", "DETDESC": "detailed", "RELAPP": "cross-reference", "GOVINT": "cross-reference"}
+#: Targets, in lower case, of the instructions that open a part of a description. Fixed values.
+_SECTIONS = {"summary-of-invention": "summary", "brfsum": "summary", "brief-description-of-drawings": "drawings", "detailed-description": "detailed", "detdesc": "detailed"}
+#: Inline elements that read as their content; others are kept as XML. Fixed values.
+_PLAIN = ("number", "cross-reference", "figref", "claim-ref", "dependent-claim-reference", "highlight", "claim-text", "PTEXT", "STEXT", "PDAT", "HIL", "FGREF", "CLREF", "PARA", "CLMSTEP")
+#: The heading of each part of a description. Fixed values.
+HEADINGS = {
+    "cross-reference": "## Cross-Reference To Related Applications",
+    "summary": "## Summary Of The Invention",
+    "drawings": "## Brief Description Of The Drawings",
+    "detailed": "## Description Of The Invention",
+}
 _TAGS_APS = {"BSUM": "summary", "DRWD": "drawings", "DETD": "detailed"}
 
 
@@ -66,14 +76,79 @@ def _find(e: ET.Element | None, path: str) -> str | None:
     return _flat(hit) or None
 
 
+def _markup(e: ET.Element, inner: str) -> str:
+    """An element that Markdown has no form for, as XML around its content."""
+    attrs = "".join(f' {k}="{v}"' for k, v in e.attrib.items())
+    return f"<{e.tag}{attrs}>{inner}</{e.tag}>" if inner else f"<{e.tag}{attrs}/>"
+
+
+def _section(bucket: str) -> dict:
+    return {"bucket": bucket, "kind": "section", "num": None, "level": None, "text": HEADINGS[bucket]}
+
+
+def _opaque(bucket: str | None, text: str) -> dict:
+    return {"bucket": bucket or "other", "kind": "opaque", "num": None, "level": None, "text": text}
+
+
+def _description(e: ET.Element | None) -> list[dict] | None:
+    """The items of a version 4 description: instructions open and close its parts; what is outside opens one itself."""
+    if e is None:
+        return None
+    parts, active = [], None
+
+    def opened(bucket: str) -> str:
+        parts.append(_section(bucket))
+        return bucket
+
+    def item(c: ET.Element) -> None:
+        if _is(c, "heading", "p", "paragraph"):
+            parts.append(_part(c, active, "heading" if c.tag == "heading" else "paragraph"))
+        elif isinstance(c.tag, str):
+            parts.append(_opaque(active, _markup(c, _inline(c))))
+
+    if (e.text or "").strip():
+        parts.append(_opaque(active, e.text.strip()))
+    for c in e:
+        if not isinstance(c.tag, str):
+            target, _, data = (c.text or "").partition(" ")
+            bucket = _SECTIONS.get(target.lower())
+            if 'end="tail"' in data:
+                active = None
+                parts.append(_opaque(None, f"<?{c.text}?>"))
+            elif bucket:
+                parts.append(_opaque(None, f"<?{c.text}?>"))
+                active = opened(bucket)
+            else:
+                parts.append(_opaque(active, f"<?{c.text}?>"))
+        elif _is(c, "description-of-drawings"):
+            active = active or opened("drawings")
+            for x in c:
+                item(x)
+        else:
+            if _is(c, "heading", "p", "paragraph"):
+                active = active or opened("detailed")
+            item(c)
+        if (c.tail or "").strip():
+            parts.append(_opaque(active, c.tail.strip()))
+    return [p for p in parts if p]
+
+
+def _numbered(num: str | None, text: str) -> str:
+    """A paragraph with its number in front, where it has one of digits only and doesn't start with it."""
+    return text if num is None or not re.fullmatch("[0-9]*", num) or text.startswith(f"[{num}]") else f"[{num}] {text}"
+
+
 def _inline(e: ET.Element) -> str:
     """Markdown of mixed content: bold and italic marked, the rest as it reads."""
     out = [e.text or ""]
     for c in e:
         if isinstance(c.tag, str):
             inner = _inline(c)
-            mark = {"b": "**", "bold": "**", "BOLD": "**", "i": "*", "italic": "*", "ITALIC": "*"}.get(c.tag, "")
-            out.append(f"{mark}{inner}{mark}" if inner.strip() else inner)
+            mark = {"b": "**", "bold": "**", "BOLD": "**", "i": "*", "italic": "*", "ITALIC": "*"}.get(c.tag)
+            if mark is None and c.tag not in _PLAIN:
+                out.append(_markup(c, inner))
+            else:
+                out.append(f"{mark}{inner}{mark}" if mark and inner.strip() else inner)
         out.append(c.tail or "")
     return "".join(out)
 
@@ -109,7 +184,7 @@ def _level(e: ET.Element) -> int | None:
 
 def _part(e: ET.Element, bucket: str, kind: str) -> dict | None:
     text = _inline(e).strip()
-    return {"bucket": bucket, "kind": kind, "num": e.get("num") or None, "level": _level(e), "text": text} if text else None
+    return {"bucket": bucket, "kind": kind, "num": e.get("num"), "level": _level(e), "text": text} if text else None
 
 
 def _party(e: ET.Element) -> str | None:
@@ -118,6 +193,12 @@ def _party(e: ET.Element) -> str | None:
     return whole or " ".join(filter(None, (_find(book, x) for x in ("first-name", "middle-name", "last-name")))) or None
 
 
+def _inventor(e: ET.Element) -> str | None:
+    """As a party, but without the middle name."""
+    book = e.find("addressbook") if e.find("addressbook") is not None else e
+    return _find(book, "orgname") or _find(book, "name") or " ".join(filter(None, (_find(book, x) for x in ("first-name", "last-name")))) or None
+
+
 def _ipcr(e: ET.Element) -> str | None:
     parts = [_find(e, x) for x in ("section", "class", "subclass", "main-group", "subgroup")]
     return "{}{}{}{}/{}".format(*parts) if all(parts) else None
@@ -145,17 +226,12 @@ def _modern(root: ET.Element, name: str) -> dict:
                 edges.append({"relationship": c.tag, "parent": _find(c, "relation/parent-doc/document-id/doc-number"), "parent_date": _find(c, "relation/parent-doc/document-id/date"), "child": _find(c, "relation/child-doc/document-id/doc-number")})
         out["priority"] = edges
         named = lambda *tags: _unique(_party(e) for e in b.iter() if _is(e, *tags))
-        out |= {"applicants": named("applicant", "us-applicant"), "assignees": named("assignee"), "inventors": named("inventor", "us-inventor")}
-    out["abstract"] = [t for a in root.findall("abstract") for p in a if _is(p, "p", "paragraph") and (t := _inline(p).strip())]
-    parts, bucket = [], "description"
-    for c in root.find("description") if root.find("description") is not None else ():
-        if not isinstance(c.tag, str):
-            key = (c.text or "").split()[0] if (c.text or "").split() else ""
-            bucket = "description" if 'end="tail"' in (c.text or "") else _SECTIONS.get(key, bucket)
-        elif _is(c, "heading", "p", "paragraph"):
-            parts.append(_part(c, bucket, "heading" if c.tag == "heading" else "paragraph"))
-    out["description"] = [p for p in parts if p]
-    out["claims"] = [t for c in root.findall("claims/claim") if (t := claim_texts(c))]
+        out |= {"applicants": named("applicant", "us-applicant"), "assignees": named("assignee"), "inventors": _unique(_inventor(e) for e in b.iter() if _is(e, "inventor", "us-inventor"))}
+    if root.find("abstract") is not None:
+        own = [(p.get("num"), t) for a in root.findall("abstract") for p in a if _is(p, "p", "paragraph") and (t := _inline(p).strip())]
+        out |= {"abstract": [t for _, t in own], "abstract_md": [_numbered(n, t) for n, t in own]}
+    out["description"] = _description(root.find("description"))
+    out["claims"] = [t for c in root.findall("claims/claim") if (t := claim_texts(c))] if root.find("claims") is not None else None
     return out
 
 
@@ -183,6 +259,7 @@ def _v25(root: ET.Element) -> dict:
     parts = []
     for sec, bucket in (("BRFSUM", "summary"), ("DRWDESC", "drawings"), ("DETDESC", "detailed")):
         for s in root.findall(f"SDODE/{sec}"):
+            parts.append(_section(bucket))
             parts += [_part(e, bucket, "heading" if e.tag == "H" else "paragraph") for e in s.iter() if _is(e, "H", "PARA")]
     out["description"] = [p for p in parts if p]
     out["claims"] = [t for c in root.iter("CLM") if (t := claim_texts(c))]
@@ -209,6 +286,7 @@ def _v15(root: ET.Element) -> dict:
     parts = []
     for name, bucket in (("cross-reference-to-related-applications", "cross-reference"), ("summary-of-invention", "summary"), ("brief-description-of-drawings", "drawings"), ("detailed-description", "detailed")):
         for s in root.findall(f"subdoc-description/{name}"):
+            parts.append(_section(bucket))
             parts += [_part(e, bucket, "heading" if e.tag == "heading" else "paragraph") for e in s.iter() if _is(e, "heading", "paragraph")]
     out["description"] = [p for p in parts if p]
     out["claims"] = [x for c in root.findall("subdoc-claims/claim") if (x := claim_texts(c))]
@@ -252,7 +330,7 @@ def _aps(raw: str) -> dict:
     name = lambda v: " ".join(x.strip() for x in reversed(v.split(";", 1)) if x.strip())
     out |= {"ipc": _unique(values("CLAS", "ICL")), "us": _unique(values("CLAS", "OCL") + values("CLAS", "XCL")), "inventors": _unique(map(name, values("INVT", "NAM"))), "assignees": _unique(values("ASSG", "NAM")), "applicants": [], "priority": []}
     out["abstract"] = values("ABST", "PAL", "PAR", "PA0", "PA1", "PA2", "PA3")
-    out["description"] = [{"bucket": _TAGS_APS[s], "kind": "heading" if t == "PAC" else "paragraph", "num": None, "level": int(t[2]) if re.match(r"PA\d", t) else None, "text": f"```\n{v}\n```" if t in ("TBL", "EQU", "TBL3") else squeeze(v)} for s, t, v in fields if s in _TAGS_APS and v]
+    out["description"] = [{"bucket": _TAGS_APS[s], "kind": "heading" if t == "PAC" else "paragraph", "num": None, "level": int(t[2]) if re.match(r"PA\d", t) else None, "text": f"```\n{v}\n```" if t in ("TBL", "EQU", "TBL3") else squeeze(v)} if v else _section(_TAGS_APS[s]) for s, t, v in fields if s in _TAGS_APS and (v or s == t)]
     claims, now = [], []
     for s, t, v in fields:
         if s == "CLMS" and t == "NUM":
@@ -267,6 +345,14 @@ def _aps(raw: str) -> dict:
 
 def parse_record(raw: str | None, form: str | None, error_kind: str | None = None, error_msg: str | None = None) -> dict:
     """One row of RECORD. What fails is in error_kind and error_msg; nothing is raised."""
+    out = _parsed(raw, form, error_kind, error_msg)
+    if not form or not form.startswith(("UsptoGrantV4", "UsptoApplicationV4")):
+        out |= {k: out[k] or None for k in ("abstract", "description", "claims")}
+        out["abstract_md"] = out["abstract"]
+    return out
+
+
+def _parsed(raw: str | None, form: str | None, error_kind: str | None, error_msg: str | None) -> dict:
     empty = dict.fromkeys(FIELDS)
     if form is None:
         return empty | {"error_kind": error_kind or "Malformed", "error_msg": error_msg or ""}

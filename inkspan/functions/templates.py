@@ -23,10 +23,10 @@ def parse(template: str) -> list[tuple[str, str]]:
     while (start := template.find("{{", at)) >= 0:
         end = template.find("}}", start + 2)
         if end < 0:
-            raise TemplateError("unterminated placeholder: missing '}}'")
+            raise TemplateError("unterminated template placeholder: '{{' with no closing '}}'")
         name = template[start + 2 : end].strip()
         if name not in SECTIONS:
-            raise TemplateError(f"unknown placeholder '{name}'; known: {', '.join(SECTIONS)}")
+            raise TemplateError(f"unknown template placeholder {{{{{name}}}}}; expected one of {', '.join(SECTIONS)}")
         out += [("text", template[at:start]), ("section", name)]
         at = end + 2
     return [x for x in [*out, ("text", template[at:])] if x[1]]

@@ -49,10 +49,6 @@ def _name(n: str) -> str:
     return _el("addressbook", _txt("name" if " " in n else "orgname", n))
 
 
-#: The markers of the parts of a description, by bucket. Fixed values of the format.
-_MARKERS = {"cross-reference": "RELAPP", "summary": "BRFSUM", "drawings": "brief-description-of-drawings", "detailed": "DETDESC"}
-
-
 def _modern(r: dict, kind: str, version: str) -> str:
     root = f"us-patent-{kind}"
     ids = lambda number, date, *more: _el("document-id", _txt("country", r["country"]) if more else "", _txt("doc-number", number), _txt("kind", r["kind_code"]) if more else "", _txt("date", date))
@@ -69,12 +65,7 @@ def _modern(r: dict, kind: str, version: str) -> str:
         classes("classification-ipc", r["ipc"]), classes("classification-national", r["us"]), _txt("invention-title", r["title"]), _el("us-related-documents", *related),
         _el("us-parties", _el("us-applicants", *[_el("us-applicant", _name(n)) for n in r["applicants"] or []])), _el("assignees", *[_el("assignee", _name(n)) for n in r["assignees"] or []]),
     )
-    body, bucket = [], "description"
-    for p in r["description"] or []:
-        if p["bucket"] != bucket:
-            body.append(f'<?{_MARKERS[p["bucket"]]} end="lead"?>' if p["bucket"] in _MARKERS else f'<?{_MARKERS[bucket]} end="tail"?>')
-            bucket = p["bucket"]
-        body.append(_paragraph(p, "heading", "p", "level"))
+    body = [p["text"] if p["kind"] == "opaque" else _paragraph(p, "heading", "p", "level") for p in r["description"] or [] if p["kind"] != "section"]
     claims = [_el("claim", _nested(c["indented"], "claim-text")) for c in r["claims"] or []]
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE {root} SYSTEM "{root}-v4{version}.dtd">\n'
     return head + f'<{root} dtd-version="v4.{version}">{bib}{_el("abstract", *[_txt("p", t) for t in r["abstract"] or []])}{_el("description", *body)}{_el("claims", *claims)}</{root}>\n'
@@ -90,7 +81,7 @@ def _v25(r: dict) -> str:
         _el("B500", *[pdat("B510/B511", x) for x in r["ipc"] or []], *[pdat("B520/B521", x) for x in r["us"] or []], pdat("B540/STEXT", r["title"])),
         _el("B600", *edges), _el("B700", _el("B720", *[party("B721", n) for n in r["applicants"] or []]), _el("B730", *[party("B731", n) for n in r["assignees"] or []])),
     )
-    parts = [_el(tag, *[_paragraph(p, "H", "PARA", "LVL") for p in r["description"] or [] if p["bucket"] == b]) for tag, b in (("BRFSUM", "summary"), ("DRWDESC", "drawings"), ("DETDESC", "detailed"))]
+    parts = [_el(tag, *[_paragraph(p, "H", "PARA", "LVL") for p in r["description"] or [] if p["bucket"] == b and p["kind"] != "section"]) for tag, b in (("BRFSUM", "summary"), ("DRWDESC", "drawings"), ("DETDESC", "detailed"))]
     claims = _el("SDOCL", _el("CL", *[_el("CLM", _nested(c["indented"], "CLMSTEP")) for c in r["claims"] or []]))
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<PATDOC DTD="2.5" STATUS="Build">{bib}{_el("SDOAB", *[_txt("PARA", t) for t in r["abstract"] or []])}{_el("SDODE", *parts)}{claims}</PATDOC>\n'
 
@@ -112,7 +103,7 @@ def _v15(r: dict, version: str) -> str:
         *[_el(tag, _txt("organization-name", n)) for tag, names in (("applicant", r["applicants"]), ("assignee", r["assignees"])) for n in names or []],
     )
     sections = (("cross-reference-to-related-applications", "cross-reference"), ("summary-of-invention", "summary"), ("brief-description-of-drawings", "drawings"), ("detailed-description", "detailed"))
-    parts = [_el(tag, _el("section", *[_paragraph(p, "heading", "paragraph", "lvl") for p in r["description"] or [] if p["bucket"] == b])) for tag, b in sections]
+    parts = [_el(tag, _el("section", *[_paragraph(p, "heading", "paragraph", "lvl") for p in r["description"] or [] if p["bucket"] == b and p["kind"] != "section"])) for tag, b in sections]
     claims = _el("subdoc-claims", *[_el("claim", _nested(c["indented"], "claim-text")) for c in r["claims"] or []])
     dtd = "pap-v15-2001-01-31.dtd" if version == "5" else "pap-v16-2002-01-01.dtd"
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE patent-application-publication SYSTEM "{dtd}">\n'

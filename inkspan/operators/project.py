@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import templates
 
-_BLOCKS = (("cross-reference", "## Cross-Reference to Related Applications"), ("summary", "## Summary of Invention"), ("drawings", "## Brief Description of Drawings"), ("detailed", "## Detailed Description"), ("description", "## Description"))
-
-
 def _numbers() -> dict[str, Column]:
     whole = C.compact_number(F.col("country"), F.col("doc_number"), F.col("kind_code"))
     grant = C.is_grant(F.col("kind_code"))
@@ -53,32 +50,35 @@ def _yaml_list(name: str, value: Column) -> Column:
 def sections() -> dict[str, Column]:
     """The five sections of a parsed row."""
     n = _numbers()
-    chain = F.transform("priority", lambda e: F.concat_ws(" ", F.coalesce(e["relationship"], F.lit("unknown")), e["parent"], e["parent_date"]))
+    number = C.compact_application_number
+    pairs = lambda e: (("relationship", F.coalesce(e["relationship"], F.lit("unknown"))), ("parent_doc_number", number(e["parent"])), ("parent_date", e["parent_date"]), ("child_doc_number", number(e["child"])))
+    chain = F.transform("priority", lambda e: F.concat_ws("\n    ", *[_yaml(k, v) for k, v in pairs(e)]))
     front = F.concat_ws(
         "\n", F.lit("---"), _yaml("filing_date", F.col("filing_date")), _yaml("application_number", C.application_label(F.col("application_number"), F.col("series"))),
         _yaml("publication_number", n["publication_number"]), _yaml("publication_date", F.col("publication_date")), _yaml("patent_number", n["patent_number"]), _yaml("priority_date", priority_date()),
         _yaml_list("ipc_classifications", F.array_distinct("ipc")), _yaml_list("us_classifications", F.array_distinct("us")), _yaml_list("priority_chain", chain), _yaml_list("applicants", F.col("applicants")), _yaml_list("assignees", F.col("assignees")), F.lit("---"),
     )
     text = C.decode_entities
-    para = lambda p: F.when(p["kind"] == "heading", F.concat(F.lit("### "), p["text"])).otherwise(F.when(p["num"].isNotNull() & ~p["text"].startswith("["), F.concat(F.lit("["), p["num"], F.lit("] "), p["text"])).otherwise(p["text"]))
-    blocks = []
-    for bucket, title in _BLOCKS:
-        own = F.filter("description", _in(bucket))
-        blocks.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{title}\n\n"), F.array_join(F.transform(own, para), "\n\n"))))
-    claim = lambda c: F.concat(F.lit("```claim\n"), c["indented"], F.lit("\n```"))
+    mark = lambda p: F.concat(F.lit("["), p["num"], F.lit("]"))
+    numbered = lambda p: F.when(p["num"].rlike(r"\A[0-9]*\z") & ~F.startswith(p["text"], mark(p)), F.concat(mark(p), F.lit(" "), p["text"])).otherwise(p["text"])
+    apart, near = F.lit("\n\n"), F.lit("\n")
+    item = lambda p: (
+        F.when((p["kind"] == "section") | ((p["kind"] == "opaque") & (p["bucket"] == "other")), F.concat(apart, p["text"]))
+        .when(p["kind"] == "opaque", F.concat(near, p["text"]))
+        .when(p["kind"] == "paragraph", F.concat(apart, numbered(p)))
+        .when(p["bucket"] == "cross-reference", F.lit(""))
+        .otherwise(F.concat(F.lit("\n### "), p["text"]))
+    )
+    claim = lambda c: F.concat(F.lit("\n```claim\n"), c["indented"], F.lit("\n```"))
     return {
         "frontmatter": front,
         "title": F.concat(F.lit("# "), text(F.col("title"))),
-        "abstract": F.when(F.size("abstract") > 0, F.concat(F.lit("## Abstract\n\n"), text(F.array_join("abstract", "\n\n")))),
-        "description": text(F.concat_ws("\n\n", *blocks)),
-        "claims": F.when(F.size("claims") > 0, F.concat(F.lit("## Claims\n\n"), text(F.array_join(F.transform("claims", claim), "\n\n")))),
+        "abstract": F.when(F.col("abstract_md").isNotNull(), F.concat(F.lit("## Abstract\n\n"), text(F.array_join("abstract_md", "\n\n")))),
+        "description": text(F.array_join(F.transform("description", item), "")),
+        "claims": F.when(F.col("claims").isNotNull(), F.concat(F.lit("## Claims"), text(F.array_join(F.transform("claims", claim), "")))),
     }
 
 
-def _in(bucket: str):
-    return lambda p: p["bucket"] == bucket
-
-
 def markdown(parsed: DataFrame, keys: list[str], template: str = templates.DEFAULT) -> DataFrame:
     return parsed.where("error_kind IS NULL").select(*keys, templates.render(sections(), template).alias("markdown"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import columns as C
 from ..operators import project
 from ..operators.parse import detect, parse
+from ..sources import sinks
 
 
 def _xml(c: Column) -> Column:
@@ -84,7 +86,40 @@ def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", C.doc_key(F.col("raw"), F.col("doc_id")).alias("doc_key"))
 
 
-QUERIES = {f.__name__: f for f in (formats, page_formats, biblio, claims, abstracts, markdown, manifest, limited, doc_keys)}
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed records with what the sinks need: ordinal, doc_key, source_file, doc_kind."""
+    source = F.concat("shard", F.lit(".zip"))
+    d = corpus(spark, sf_dir).select("shard", "raw", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("doc_key"), source.alias("source_file"), C.doc_kind(source).alias("doc_kind"))
+    return parse(d)
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.markdown(parse(corpus(spark, sf_dir)), ["doc_id"], "{{description}}").withColumnRenamed("markdown", "description")
+
+
+def unsupported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.unsupported(_keyed(spark, sf_dir))
+
+
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.manifest_json(_keyed(spark, sf_dir)).select("shard", "line")
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the JSON lines, read back from them."""
+    lines = sinks.biblio_json(_keyed(spark, sf_dir), ["shard", "ordinal"])
+    names = ("doc_key", "doc_kind", "source_file", "doc_number", "patent_number", "application_number", "filing_date", "invention_title")
+    return lines.select("shard", "ordinal", F.from_json("line", ", ".join(f"{n} string" for n in names)).alias("j")).select("shard", "ordinal", *[f"j.{n}" for n in names])
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographic rows of records that were parsed, written back as XML and parsed again."""
+    api.register(spark)
+    again = corpus(spark, sf_dir).select("doc_id", F.call_function("patent_to_xml", "raw").alias("raw")).where("raw IS NOT NULL")
+    return project.biblio(parse(again), ["doc_id"]).select("doc_id", "source_format", "publication_number", "patent_number", "application_number", "filing_date", "invention_title")
+
+
+QUERIES = {f.__name__: f for f in (descriptions, unsupported_lines, manifest_lines, json_lines, rewritten, formats, page_formats, biblio, claims, abstracts, markdown, manifest, limited, doc_keys)}
 
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, doc_id % 4 AS m, (doc_id // 4) % 4 AS k, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS lines, lpad(cast(doc_id + 1000000 AS varchar), 8, '0') AS number FROM documents)"
 _KIND = "CASE WHEN m <> 3 THEN NULL WHEN k < 2 THEN 'UnsupportedRoot' WHEN k = 2 THEN 'ConflictingVersionMarkers' END"
@@ -99,8 +134,17 @@ ORACLE = {
         FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 3""",
     "claims": f"WITH {_D} SELECT doc_id, i AS number, trim(regexp_replace(lines[i + 1], '\\s+', ' ', 'g')) AS text FROM (SELECT *, cast(unnest(range(1, 1 + greatest(0, least(3, len(lines) - 1)))) AS integer) AS i FROM d WHERE m < 3)",
     "abstracts": f"WITH {_D} SELECT doc_id, coalesce(trim(lines[1]), '') AS abstract_text FROM d WHERE m < 3",
-    "markdown": f"WITH {_D} SELECT doc_id, '# ' || {_TITLE} || CASE WHEN len(lines) > 0 THEN chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(lines[1]) ELSE '' END AS markdown FROM d WHERE m < 3",
-    "manifest": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS written, count(*) FILTER (m = 3 AND k = 0) AS supplemental, count(*) FILTER (m = 3 AND k = 1) AS unsupported, count(*) FILTER (m = 3 AND k > 1) AS malformed FROM d GROUP BY ALL",
+    "markdown": f"WITH {_D} SELECT doc_id, '# ' || {_TITLE} || CASE WHEN len(lines) > 0 THEN chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(lines[1]) WHEN m < 2 THEN chr(10) || chr(10) || '## Abstract' ELSE '' END AS markdown FROM d WHERE m < 3",
+    "manifest": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS written, count(*) FILTER (m = 3 AND k = 0) AS supplemental, count(*) FILTER (m = 3 AND k IN (1, 2)) AS unsupported, count(*) FILTER (m = 3 AND k = 3) AS malformed FROM d GROUP BY ALL",
     "limited": f"WITH {_D}, s AS (SELECT 'ipg' || doc_id % 8 AS shard, doc_id, coalesce(sum(cast(m < 3 AS integer)) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d) SELECT shard, doc_id FROM s WHERE n < 5",
     "doc_keys": f"WITH {_D} SELECT doc_id, number AS doc_key FROM d WHERE m < 2",
+    "descriptions": f"""WITH {_D} SELECT doc_id, CASE WHEN m < 2 THEN '<?BRFSUM description="Brief Summary"?>' || chr(10) || chr(10) || '## Summary Of The Invention'
+        || array_to_string(list_transform(lines[5:], lambda x, i: chr(10) || chr(10) || '[' || lpad(cast(i AS varchar), 4, '0') || '] ' || trim(x)), '') ELSE '' END AS description FROM d WHERE m < 3""",
+    "unsupported_lines": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, doc_id AS ordinal, doc_id || chr(9) || 'source detection failed: ' || CASE k WHEN 1 THEN 'unsupported XML root ''other''' ELSE 'conflicting XML version markers' END AS line FROM d WHERE m = 3 AND k IN (1, 2)",
+    "manifest_lines": f"""WITH {_D}, c AS (SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS w, count(*) FILTER (m = 3 AND k = 0) AS s, count(*) FILTER (m = 3 AND k IN (1, 2)) AS u, count(*) FILTER (m = 3 AND k = 3) AS b FROM d GROUP BY ALL)
+        SELECT shard, array_to_string(['{{', '  "format_version": 1,', '  "stem": "' || shard || '",', '  "source_file": "' || shard || '.zip",', '  "doc_kind": "grant",', '  "patents_written": ' || w || ',', '  "supplemental_skipped": ' || s || ',', '  "unsupported_skipped": ' || u || ',', '  "malformed_skipped": ' || b, '}}'], chr(10)) AS line FROM c""",
+    "json_lines": f"""WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, doc_id AS ordinal, cast(doc_id AS varchar) AS doc_key, 'grant' AS doc_kind, 'ipg' || doc_id % 8 || '.zip' AS source_file, CASE WHEN m = 2 THEN cast(doc_id + 1000000 AS varchar) ELSE number END AS doc_number,
+        CASE WHEN m <> 1 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number, number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 3""",
+    "rewritten": f"""WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' ELSE 'UsptoApplicationV44' END AS source_format, CASE WHEN m = 1 THEN 'US' || number || 'A1' END AS publication_number, CASE WHEN m = 0 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number,
+        number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 2""",
 }

@@ -82,7 +82,13 @@ def write_lines(lines: DataFrame, path: str, suffix: str, header: str = "") -> D
 
 def unsupported(parsed: DataFrame) -> DataFrame:
     """shard, ordinal, line of the records that are skipped as unsupported."""
-    reason = F.when(F.col("error_kind") == "UnsupportedRoot", F.concat(F.lit("source detection failed: unsupported XML root '"), F.col("error_msg"), F.lit("'"))).otherwise(F.col("error_msg"))
+    kind, said = F.col("error_kind"), F.lit("source detection failed: ")
+    reason = (
+        F.when(kind == "UnsupportedRoot", F.concat(said, F.lit("unsupported XML root '"), F.col("error_msg"), F.lit("'")))
+        .when(kind == "UnknownFormat", F.concat(said, F.lit("unknown XML format")))
+        .when(kind == "ConflictingVersionMarkers", F.concat(said, F.lit("conflicting XML version markers")))
+        .otherwise(F.col("error_msg"))
+    )
     skip = C.skip_class(F.col("error_kind"), F.col("error_msg"))
     return parsed.where(skip == "Unsupported").select("shard", "ordinal", F.concat_ws("\t", "doc_key", reason).alias("line"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan import api
 from inkspan.__main__ import main
-from inkspan.functions.records import FIELDS, parse_record
+from inkspan.functions.records import FIELDS, HEADINGS, parse_record
 from inkspan.functions.writeback import write_record
 from inkspan.operators import project
 from inkspan.operators.parse import detect, parse
@@ -25,9 +25,15 @@ FULL = {
 @pytest.mark.parametrize("form", ["UsptoGrantV40", "UsptoGrantV47", "UsptoApplicationV40", "UsptoApplicationV46", "UsptoGrantV25", "UsptoApplicationV15", "UsptoApplicationV16"])
 def test_write_back_reads_as_before(form):
     r = dict.fromkeys(FIELDS) | FULL | {"inventors": []}
+    part = lambda b, k, n, lv, t: {"bucket": b, "kind": k, "num": n, "level": lv, "text": t}
+    opened = {b: part(b, "section", None, None, HEADINGS[b]) for b in HEADINGS}
+    a, h, d, e = r["description"]
+    marks = [[part("other", "opaque", None, None, f"<?{x}?>")] for x in ("BRFSUM", "brief-description-of-drawings", "DETDESC")]
+    marks = marks if "V4" in form else [[]] * 3
+    r["description"] = [*marks[0], opened["summary"], a, h, *marks[1], opened["drawings"], d, *marks[2], opened["detailed"], e]
+    r["abstract_md"] = r["abstract"]
     if form == "UsptoGrantV25":
         r["priority"], r["ipc"] = [{"relationship": "parent-us", "parent": "111", "parent_date": "20080101", "child": None}], ["A01B1/00"]
-        r["description"] = [p | {"num": None} if p["kind"] == "heading" else p for p in r["description"]]
     if form.startswith("UsptoApplicationV1"):
         r["inventors"], r["series"] = ["Ada Byron"], "14"
         r["priority"] = [r["priority"][0] | {"relationship": "continuation-of"}]
@@ -44,7 +50,7 @@ def test_write_back_of_tagged_text_fails():
 
 
 def test_text_api_agrees_with_columns(spark):
-    raws = [r.raw for r in corpus(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()] + ["", "  ", "<html/>", write_record(dict.fromkeys(FIELDS) | FULL, "UsptoGrantV47")]
+    raws = [r.raw for r in corpus(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()] + ["", "  ", "<html/>", V4 % '<p num="0001">one</p><x a="1"/>', '<us-patent-grant dtd-version="v40"/>', write_record(dict.fromkeys(FIELDS) | FULL, "UsptoGrantV47")]
     d = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
     assert [tuple(r) for r in detect(d).orderBy("i").select("source_format", "error_kind", "error_msg").collect()] == [api.detect(r) for r in raws]
     p = parse(d).cache()
@@ -56,6 +62,16 @@ def test_text_api_agrees_with_columns(spark):
         assert (doc.patent_number, doc.publication_number, doc.application_number, doc.title, doc.priority_date) == (r.patent_number, r.publication_number, r.application_number, r.invention_title, r.priority_date)
 
 
+V4 = '<?xml version="1.0"?><us-patent-grant dtd-version="v4.7"><us-bibliographic-data-grant><us-related-documents><division><relation><parent-doc><document-id><doc-number>09/012</doc-number><date>20010101</date></document-id></parent-doc></relation></division></us-related-documents></us-bibliographic-data-grant><abstract><p num="0000">Ab H<sub>2</sub>O</p></abstract><description>%s</description><claims/></us-patent-grant>'
+
+
+def test_description_parts():
+    md = api.parse_to_markdown(V4 % '<heading>H</heading><p num="0001">one</p><?BRFSUM a="b" end="lead"?><p num="">two</p><?BRFSUM a="b" end="tail"?><description-of-drawings><p>fig</p></description-of-drawings>', "{{abstract}}\n\n{{description}}\n\n{{claims}}")
+    assert md == '## Abstract\n\n[0000] Ab H<sub>2</sub>O\n\n## Description Of The Invention\n### H\n\n[0001] one\n\n<?BRFSUM a="b" end="lead"?>\n\n## Summary Of The Invention\n\n[] two\n\n<?BRFSUM a="b" end="tail"?>\n\n## Brief Description Of The Drawings\n\nfig\n\n## Claims'
+    assert "priority_chain:\n  - relationship: division\n    parent_doc_number: 9012\n    parent_date: 20010101\n    child_doc_number: null\napplicants: []" in api.parse_to_markdown(V4 % "")
+    assert api.detect_format('<us-patent-grant dtd-version="v40"/>') == "UsptoGrantV40"
+
+
 def test_scalar_errors():
     for raw, says in (("", "malformed XML"), ("<table/>", "supplemental XML root 'table'"), ("<x/>", "unsupported XML root 'x'"), ("<us-patent-grant/>", "unknown XML format")):
         with pytest.raises(ValueError, match=says):
