@@ -6,12 +6,16 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _XML_START = re.compile(r"<\?xml\s.*?\?>\s*(?:<!--.*?-->\s*)*<(?:!DOCTYPE\s*[A-Za-z_]|[A-Za-z_])", re.S)
+_XML_BYTES = re.compile(_XML_START.pattern.encode(), re.S)
+#: So much of an entry is read at once, and so much of what was searched is searched again with the next part.
+CHUNK, TAIL = 1 << 20, 1 << 10
 _APS_START = re.compile(r"^PATN[ \t]*(?=\r|\n|\Z)", re.M)
 
 
@@ -36,6 +40,29 @@ def decode(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+def stream_records(entry: BinaryIO, aps: bool, chunk: int = CHUNK) -> Iterator[str]:
+    """Records of an open entry as they are read. XML: only the record at hand is held, and each is decoded by itself;
+    tagged text: the whole entry is decoded at once, as one byte decides for all of it."""
+    if aps:
+        yield from split_records(decode(entry.read()), True)
+        return
+    held, start, at = b"", None, 0
+    while True:
+        part = entry.read(chunk)
+        held += part
+        for m in _XML_BYTES.finditer(held, at):
+            if start is not None:
+                yield decode(held[start : m.start()])
+            start, at = m.start(), m.end()
+        if not part:
+            break
+        at = max(at, len(held) - TAIL)
+        drop = at if start is None else start
+        held, at, start = held[drop:], at - drop, None if start is None else 0
+    if start is not None:
+        yield decode(held[start:])
+
+
 def _is_aps_name(name: str) -> bool:
     base = name.rsplit("/", 1)[-1].lower()
     return base.startswith("pftaps") and base.endswith(".txt")
@@ -47,8 +74,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All *.zip files below path: shard, source_file, ordinal, raw, error. One archive is one task's row; its records
-    stream out in order. The first entry that is named as XML or tagged text is read, as UTF-8 or else Latin-1."""
+    """All *.zip files below path: shard, source_file, ordinal, raw, error. One archive is one task's row, held
+    compressed; its records stream out in order. The first entry that is named as XML or tagged text is read, as UTF-8
+    or else Latin-1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,12 +87,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     entry = next((i.filename for i in z.infolist() if not i.is_dir() and (i.filename.endswith((".xml", ".XML")) or _is_aps_name(i.filename))), None)
                     if entry is None:
-                        rows.append((name[:-4], name, None, None, "No XML entry found in zip"))
-                    else:
-                        for k, raw in enumerate(split_records(decode(z.read(entry)), _is_aps_name(entry))):
+                        yield batch([(name[:-4], name, None, None, "No XML entry found in zip")])
+                        continue
+                    with z.open(entry) as f:
+                        for k, raw in enumerate(stream_records(f, _is_aps_name(entry))):
                             rows.append((name[:-4], name, k, raw, None))
-                for i in range(0, len(rows), 200):
-                    cols = list(zip(*rows[i : i + 200]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], ["shard", "source_file", "ordinal", "raw", "error"])
+                            if len(rows) == 200:
+                                yield batch(rows)
+                                rows = []
+                if rows:
+                    yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], ["shard", "source_file", "ordinal", "raw", "error"])
 
     return files.mapInArrow(run, "shard string, source_file string, ordinal int, raw string, error string")

@@ -1,3 +1,4 @@
+import io
 import json
 import zipfile
 
@@ -11,7 +12,7 @@ from inkspan.functions.writeback import write_record
 from inkspan.operators import project
 from inkspan.operators.parse import detect, parse
 from inkspan.plans.queries import corpus
-from inkspan.sources import sinks
+from inkspan.sources import archives, sinks
 
 FULL = {
     "country": "US", "doc_number": "07654321", "kind_code": "B2", "publication_date": "20100202", "application_number": "633232", "filing_date": "20090101", "title": "A <b> & c",
@@ -134,3 +135,13 @@ def test_markdown_files(spark, tmp_path):
     assert sorted(r.name for r in sinks.write_markdown_files(d, f"file://{tmp_path}/md").collect()) == ["a.md", "b.md"]
     sinks.write_concatenated(d, f"file://{tmp_path}/one")
     assert "".join(p.read_text() for p in sorted((tmp_path / "one").glob("part*"))) == sinks.DOC_SEPARATOR + "B" + sinks.DOC_SEPARATOR
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100, 1 << 20])
+def test_records_stream_as_they_split(chunk):
+    one = '<?xml version="1.0"?>\n<!-- c --><!DOCTYPE a [<!ENTITY x "y">]>\n<a>é<?xml-stylesheet x?></a>\n'
+    text = "junk" + one + '<?xml version="1.0"?><b>' + "z" * 3000 + "</b>" + one
+    assert list(archives.stream_records(io.BytesIO(text.encode()), False, chunk)) == list(archives.split_records(text, False))
+    mixed = one.encode() + one.encode("latin-1")
+    assert list(archives.stream_records(io.BytesIO(mixed), False, chunk)) == [one, one]
+    assert list(archives.stream_records(io.BytesIO(b""), False, chunk)) == []
