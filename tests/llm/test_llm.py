@@ -233,3 +233,22 @@ def test_quality(spark, empty):
     r = quality.score_quality(d, quality.fit_quality(d, labels)).collect()
     assert all((x.score >= 0.3) == (x.doc_id % 3 > 0) and 0 <= x.score <= 1 for x in r if x.doc_id < 60) and len(r) == 62
     assert quality.score_quality(d.withColumn("score", F.lit(1)), quality.fit_quality(d, labels.where("false"))).count() == 62
+
+
+def test_wide_fingerprints_follow_similarity():
+    """512 bits: the share that differs is near arccos(2s / (1 + s)) / pi for sets of Jaccard similarity s."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    from inkspan.llm.simhash import _widest_bits
+
+    assert _widest_bits([]) == bytes(64)
+    for s in (0.5, 0.7, 0.8, 0.9):
+        shared = round(4000 * 2 * s / (1 + s))
+        a = [xxhash.xxh3_128_digest(b"%d" % i) for i in range(4000)]
+        b = a[:shared] + [xxhash.xxh3_128_digest(b"x%d" % i) for i in range(4000 - shared)]
+        x, y = (np.frombuffer(_widest_bits(v), np.uint8) for v in (a, b))
+        p = math.acos(2 * s / (1 + s)) / math.pi
+        assert abs(int(np.bitwise_count(x ^ y).sum()) - 512 * p) < 4 * math.sqrt(512 * p * (1 - p))
