@@ -12,7 +12,7 @@ _PARAGRAPH = "struct<bucket:string,kind:string,num:string,level:int,text:string>
 RECORD = (
     "country string, doc_number string, kind_code string, publication_date string, application_number string, appl_type string, series string, "
     "filing_date string, title string, ipc array<string>, us array<string>, priority array<struct<relationship:string,parent:string,parent_date:string,child:string>>, "
-    f"applicants array<string>, assignees array<string>, inventors array<string>, abstract array<string>, abstract_md array<string>, description array<{_PARAGRAPH}>, claims array<struct<plain:string,indented:string>>, "
+    f"applicants array<string>, assignees array<string>, inventors array<string>, abstract array<string>, abstract_md array<string>, description array<{_PARAGRAPH}>, claims array<struct<plain:string,indented:string>>, drawings array<struct<kind:string,num:string,file:string,text:string>>, "
     "error_kind string, error_msg string"
 )
 FIELDS = [x.split()[0] for x in re.sub(r"<[^ ]*>", "", RECORD).split(", ")]
@@ -133,6 +133,23 @@ def _description(e: ET.Element | None) -> list[dict] | None:
     return [p for p in parts if p]
 
 
+def _drawing(kind: str, num: str | None = None, file: str | None = None, text: str | None = None) -> dict:
+    return {"kind": kind, "num": num, "file": file, "text": text}
+
+
+def _drawings(e: ET.Element | None) -> list[dict] | None:
+    """Headings, the representative figure and the images of a version 4 record's drawings."""
+    if e is None:
+        return None
+    out = []
+    for c in e:
+        if _is(c, "heading", "representative-figure"):
+            out.append(_drawing(c.tag, text=_flat(c)))
+        elif isinstance(c.tag, str):
+            out += [_drawing("figure", c.get("num"), x.get("file")) for x in c.iter() if _is(x, "img", "image")]
+    return out
+
+
 def _numbered(num: str | None, text: str) -> str:
     """A paragraph with its number in front, where it has one of digits only and doesn't start with it."""
     return text if num is None or not re.fullmatch("[0-9]*", num) or text.startswith(f"[{num}]") else f"[{num}] {text}"
@@ -231,6 +248,7 @@ def _modern(root: ET.Element, name: str) -> dict:
         own = [(p.get("num"), t) for a in root.findall("abstract") for p in a if _is(p, "p", "paragraph") and (t := _inline(p).strip())]
         out |= {"abstract": [t for _, t in own], "abstract_md": [_numbered(n, t) for n, t in own]}
     out["description"] = _description(root.find("description"))
+    out["drawings"] = _drawings(root.find("drawings"))
     out["claims"] = [t for c in root.findall("claims/claim") if (t := claim_texts(c))] if root.find("claims") is not None else None
     return out
 
@@ -262,6 +280,7 @@ def _v25(root: ET.Element) -> dict:
             parts.append(_section(bucket))
             parts += [_part(e, bucket, "heading" if e.tag == "H" else "paragraph") for e in s.iter() if _is(e, "H", "PARA")]
     out["description"] = [p for p in parts if p]
+    out["drawings"] = [_drawing("figure", x.get("ID"), x.get("FILE")) for x in root.findall("SDODR//EMI")]
     out["claims"] = [t for c in root.iter("CLM") if (t := claim_texts(c))]
     return out
 
@@ -289,6 +308,7 @@ def _v15(root: ET.Element) -> dict:
             parts.append(_section(bucket))
             parts += [_part(e, bucket, "heading" if e.tag == "heading" else "paragraph") for e in s.iter() if _is(e, "heading", "paragraph")]
     out["description"] = [p for p in parts if p]
+    out["drawings"] = [_drawing("figure", x.get("id"), x.get("file")) for x in root.findall("subdoc-drawings//image")]
     out["claims"] = [x for c in root.findall("subdoc-claims/claim") if (x := claim_texts(c))]
     return out
 
@@ -347,7 +367,7 @@ def parse_record(raw: str | None, form: str | None, error_kind: str | None = Non
     """One row of RECORD. What fails is in error_kind and error_msg; nothing is raised."""
     out = _parsed(raw, form, error_kind, error_msg)
     if not form or not form.startswith(("UsptoGrantV4", "UsptoApplicationV4")):
-        out |= {k: out[k] or None for k in ("abstract", "description", "claims")}
+        out |= {k: out[k] or None for k in ("abstract", "description", "claims", "drawings")}
         out["abstract_md"] = out["abstract"]
     return out
 

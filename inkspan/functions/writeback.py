@@ -17,8 +17,11 @@ def _el(tag: str, *inner: str | None, **attrs: str | None) -> str:
     parts = [x for x in inner if x]
     if not parts:
         return ""
-    a = "".join(f' {k.replace("_", "-")}="{escaped(str(v)).replace(chr(34), "&quot;")}"' for k, v in attrs.items() if v is not None)
-    return f"<{tag}{a}>{''.join(parts)}</{tag}>"
+    return f"<{tag}{_attributes(attrs)}>{''.join(parts)}</{tag}>"
+
+
+def _attributes(attrs: dict) -> str:
+    return "".join(f' {k.replace("_", "-")}="{escaped(str(v)).replace(chr(34), "&quot;")}"' for k, v in attrs.items() if v is not None)
 
 
 def _txt(tag: str, text: str | None) -> str:
@@ -67,8 +70,9 @@ def _modern(r: dict, kind: str, version: str) -> str:
     )
     body = [p["text"] if p["kind"] == "opaque" else _paragraph(p, "heading", "p", "level") for p in r["description"] or [] if p["kind"] != "section"]
     claims = [_el("claim", _nested(c["indented"], "claim-text")) for c in r["claims"] or []]
+    drawn = [_el("figure", f'<img{_attributes({"file": d["file"]})}/>', num=d["num"]) if d["kind"] == "figure" else _txt(d["kind"], d["text"]) for d in r["drawings"] or []]
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE {root} SYSTEM "{root}-v4{version}.dtd">\n'
-    return head + f'<{root} dtd-version="v4.{version}">{bib}{_el("abstract", *[_txt("p", t) for t in r["abstract"] or []])}{_el("description", *body)}{_el("claims", *claims)}</{root}>\n'
+    return head + f'<{root} dtd-version="v4.{version}">{bib}{_el("abstract", *[_txt("p", t) for t in r["abstract"] or []])}{_el("drawings", *drawn)}{_el("description", *body)}{_el("claims", *claims)}</{root}>\n'
 
 
 def _v25(r: dict) -> str:
@@ -83,7 +87,7 @@ def _v25(r: dict) -> str:
     )
     parts = [_el(tag, *[_paragraph(p, "H", "PARA", "LVL") for p in r["description"] or [] if p["bucket"] == b and p["kind"] != "section"]) for tag, b in (("BRFSUM", "summary"), ("DRWDESC", "drawings"), ("DETDESC", "detailed"))]
     claims = _el("SDOCL", _el("CL", *[_el("CLM", _nested(c["indented"], "CLMSTEP")) for c in r["claims"] or []]))
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<PATDOC DTD="2.5" STATUS="Build">{bib}{_el("SDOAB", *[_txt("PARA", t) for t in r["abstract"] or []])}{_el("SDODE", *parts)}{claims}</PATDOC>\n'
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<PATDOC DTD="2.5" STATUS="Build">{bib}{_el("SDOAB", *[_txt("PARA", t) for t in r["abstract"] or []])}{_el("SDODE", *parts)}{claims}{_el("SDODR", *[f"<EMI{_attributes({'ID': d['num'], 'FILE': d['file']})}/>" for d in r["drawings"] or []])}</PATDOC>\n'
 
 
 def _wrap(path: str, inner: str) -> str:
@@ -107,7 +111,7 @@ def _v15(r: dict, version: str) -> str:
     claims = _el("subdoc-claims", *[_el("claim", _nested(c["indented"], "claim-text")) for c in r["claims"] or []])
     dtd = "pap-v15-2001-01-31.dtd" if version == "5" else "pap-v16-2002-01-01.dtd"
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE patent-application-publication SYSTEM "{dtd}">\n'
-    return head + f'<patent-application-publication>{bib}{_el("subdoc-abstract", *[_txt("paragraph", t) for t in r["abstract"] or []])}{_el("subdoc-description", *parts)}{claims}</patent-application-publication>\n'
+    return head + f'<patent-application-publication>{bib}{_el("subdoc-abstract", *[_txt("paragraph", t) for t in r["abstract"] or []])}{_el("subdoc-description", *parts)}{claims}{_el("subdoc-drawings", *[_el("figure", f"<image{_attributes({'id': d['num'], 'file': d['file']})}/>") for d in r["drawings"] or []])}</patent-application-publication>\n'
 
 
 def write_record(record: dict, form: str) -> str:

@@ -19,6 +19,7 @@ FULL = {
     "ipc": ["A01B1/00", "A01B1/02"], "us": ["2423"], "applicants": ["Acme", "Ada Byron"], "assignees": ["Acme"], "abstract": ["One.", "Two."],
     "priority": [{"relationship": "continuation", "parent": "111", "parent_date": "20080101", "child": "222"}],
     "description": [{"bucket": b, "kind": k, "num": n, "level": lv, "text": t} for b, k, n, lv, t in [("summary", "heading", None, 1, "S"), ("summary", "paragraph", "0001", None, "s & t"), ("drawings", "paragraph", None, None, "d"), ("detailed", "paragraph", "0002", None, "e")]],
+    "drawings": [{"kind": "heading", "num": None, "file": None, "text": "Figs & more"}, {"kind": "figure", "num": "1", "file": "a.TIF", "text": None}],
     "claims": [{"plain": "One: two. three", "indented": "One:\n  two.\nthree"}, {"plain": "x", "indented": "x"}],
 }
 
@@ -33,6 +34,7 @@ def test_write_back_reads_as_before(form):
     marks = marks if "V4" in form else [[]] * 3
     r["description"] = [*marks[0], opened["summary"], a, h, *marks[1], opened["drawings"], d, *marks[2], opened["detailed"], e]
     r["abstract_md"] = r["abstract"]
+    r["drawings"] = r["drawings"] if "V4" in form else r["drawings"][1:]
     if form == "UsptoGrantV25":
         r["priority"], r["ipc"] = [{"relationship": "parent-us", "parent": "111", "parent_date": "20080101", "child": None}], ["A01B1/00"]
     if form.startswith("UsptoApplicationV1"):
