@@ -38,28 +38,43 @@ def is_aps(raw: Column) -> Column:
     return (first == "PATN") | (first.startswith("HHHHHT") & first.contains("APS1"))
 
 
-def source_format(raw: Column) -> Column:
-    """struct(format, error_kind, error_msg): exactly one of format and error_kind is set."""
-    root = root_name(raw)
-    family = F.when(root.isin("patent-application-publication", "us-patent-application"), "application").when(root.isin("us-patent-grant", "PATDOC"), "grant")
+def _family(root: Column) -> Column:
+    return F.when(root.isin("patent-application-publication", "us-patent-application"), "application").when(root.isin("us-patent-grant", "PATDOC"), "grant")
+
+
+def version_markers(raw: Column, root: Column) -> tuple[Column, Column]:
+    """(formats, families) that a record's markers name, as arrays of distinct values."""
+    family = _family(root)
     tests = [(name, fam, raw.contains(mark)) for name, fam, mark in MARKERS]
     tests += [(f"UsptoApplicationV4{n}", "application", (family == "application") & raw.contains(f'dtd-version="v4.{n}')) for n in range(7)]
     tests += [(f"UsptoGrantV4{n}", "grant", (family == "grant") & raw.contains(f'dtd-version="v4{"." if n else ""}{n}')) for n in range(8)]
     doctypes = (("application", "<!DOCTYPE us-patent-application"), ("grant", "<!DOCTYPE us-patent-grant"), ("grant", "<!DOCTYPE PATDOC"))
     found = F.array_distinct(F.array_compact(F.array(*[F.when(t, name) for name, _, t in tests])))
     families = F.array_distinct(F.array_compact(F.array(*[F.when(t, fam) for _, fam, t in tests], *[F.when(raw.contains(m), fam) for fam, m in doctypes])))
+    return found, families
+
+
+def resolved_format(raw: Column, root: Column, aps: Column, found: Column, families: Column) -> Column:
+    """source_format from its parts, which callers over many rows make as columns first, so that each is made once."""
+    family = _family(root)
     foreign = F.exists(families, lambda x: x != family)
     kind = (
-        F.when(is_aps(raw), None)
+        F.when(aps, None)
         .when(F.coalesce(raw, F.lit("")).rlike(r"\A\s*\z") | root.isNull(), "Malformed")
         .when(family.isNull(), "UnsupportedRoot")
         .when(foreign | (F.size(found) > 1), "ConflictingVersionMarkers")
         .when(F.size(found) == 0, "UnknownFormat")
     )
-    form = F.when(is_aps(raw), "UsptoAps").when(kind.isNull(), F.get(found, F.lit(0)))
+    form = F.when(aps, "UsptoAps").when(kind.isNull(), F.get(found, F.lit(0)))
     return F.struct(form.alias("format"), kind.alias("error_kind"), F.when(kind.isNotNull(), F.coalesce(root, F.lit(""))).alias("error_msg"))
 
 
+def source_format(raw: Column) -> Column:
+    """struct(format, error_kind, error_msg): exactly one of format and error_kind is set."""
+    root = root_name(raw)
+    return resolved_format(raw, root, is_aps(raw), *version_markers(raw, root))
+
+
 def skip_class(kind: Column, root: Column) -> Column:
     """Why a record that failed is skipped: Supplemental, Unsupported or Malformed; null for none."""
     return F.when(kind.isNull(), None).when((kind == "UnsupportedRoot") & root.isin("sequence-cwu", "table"), "Supplemental").when(kind.isin("UnsupportedRoot", "UnknownFormat", "ConflictingVersionMarkers", "UnsupportedStructure"), "Unsupported").otherwise("Malformed")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.columns import source_format
+from ..functions.columns import is_aps, resolved_format, root_name, version_markers
 from ..functions.records import RECORD, parse_record
 
 
 def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with source_format, error_kind, error_msg."""
-    d = df.withColumn("__d", source_format(F.col(raw)))
+    # one select a step: in one expression, the markers would be searched anew for each use of what they give
+    d = df.select("*", root_name(F.col(raw)).alias("__root"), is_aps(F.col(raw)).alias("__aps"))
+    found, families = version_markers(F.col(raw), F.col("__root"))
+    d = d.select("*", found.alias("__found"), families.alias("__families"))
+    d = d.withColumn("__d", resolved_format(F.col(raw), F.col("__root"), F.col("__aps"), F.col("__found"), F.col("__families")))
     return d.select(*df.columns, F.col("__d.format").alias("source_format"), F.col("__d.error_kind").alias("error_kind"), F.col("__d.error_msg").alias("error_msg"))
 
 
