@@ -252,3 +252,14 @@ def test_wide_fingerprints_follow_similarity():
         x, y = (np.frombuffer(_widest_bits(v), np.uint8) for v in (a, b))
         p = math.acos(2 * s / (1 + s)) / math.pi
         assert abs(int(np.bitwise_count(x ^ y).sum()) - 512 * p) < 4 * math.sqrt(512 * p * (1 - p))
+
+
+def test_near_copies_share_a_block():
+    """Sets of Jaccard similarity 0.8 share a block key; strangers don't."""
+    rng = np.random.default_rng(5)
+    for n in (9, 90, 900):
+        for _ in range(100):
+            x = rng.integers(0, 1 << 63, n * 10 // 9, np.uint64)
+            a, b, c = x[:n], x[len(x) - n :], rng.integers(0, 1 << 63, n, np.uint64)
+            ka, kb, kc = (simhash.min_hash_keys(v) for v in (a, b, c))
+            assert set(ka) & set(kb) and not set(ka) & set(kc)
