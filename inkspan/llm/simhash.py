@@ -226,14 +226,49 @@ def shingle_set(digests: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(digests), np.uint64)[::2])
 
 
-def one_of_each(docs: DataFrame, width: int = 5, most: int = 86) -> DataFrame:
+def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each sorted set of hashes, the first position of its component over links of Jaccard similarity `least` and more.
+
+    Exact: of two such sets, the smallest n - ceil(least * n) + 1 hashes have one in common, so each set is compared
+    with those that share one, breadth first among the sets not reached yet.
+    """
+    n = np.array([len(x) for x in sets])
+    root = np.full(len(sets), -1)
+    first = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in sets]
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(first):
+        for h in x.tolist():
+            at.setdefault(h, []).append(i)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, int)
+    own = np.split(ids, np.cumsum(n)[:-1]) if len(sets) else []
+    mark = np.zeros(len(ids), bool)
+    for start in range(len(sets)):
+        if root[start] >= 0:
+            continue
+        root[start], queue = start, [start]
+        while queue:
+            x = queue.pop()
+            mark[own[x]] = True
+            for h in first[x].tolist():
+                at[h] = [i for i in at[h] if root[i] < 0]
+                for y in at[h]:
+                    if root[y] < 0 and min(n[x], n[y]) >= least * max(n[x], n[y]) - 1e-9:
+                        both = np.count_nonzero(mark[own[y]])
+                        if both >= least * (n[x] + n[y] - both) - 1e-9:
+                            root[y] = start
+                            queue.append(y)
+            mark[own[x]] = False
+    return root
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int = 144) -> DataFrame:
     """docs without near copies: of each group, the row with the smallest doc_id stays. Columns as in docs.
 
-    Of the distinct `width`-word shingles: block keys from min-hashes (BANDS, ROWS), and a SimHash of 512 bits that is
-    verified: `most` (86) differing bits. At a Jaccard similarity s, the share of differing bits is
-    arccos(2s / (1 + s)) / pi: 77 bits at 0.8, where 86 bits pass 86 in 100, and 99 in 100 at 0.85; at 0.7, 98 bits, and
-    9 in 100 pass. Groups are the components of the links. Equal sets are one node; within a bucket only a spanning
-    forest is returned.
+    Groups are the components of the links between sets of distinct `width`-word shingles of a Jaccard similarity of
+    `least` (0.8) and more. Candidates share a block key (BANDS of ROWS min-hashes) and differ in at most `loose` (144) of
+    512 SimHash bits: at a similarity s, the share of differing bits is arccos(2s / (1 + s)) / pi, 77 bits at 0.8. Within a
+    bucket only a spanning forest of them is returned. The texts of each component of candidates then meet, and
+    their links are found by the exact similarity of the sets (of 64-bit hashes). Equal sets are one node.
     Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +315,7 @@ def one_of_each(docs: DataFrame, width: int = 5, most: int = 86) -> DataFrame:
                 queue, left = [int(left[0])], left[1:]
                 while queue and len(left):
                     x = queue.pop()
-                    near = np.bitwise_count(fp[left] ^ fp[x]).sum(1) <= most
+                    near = np.bitwise_count(fp[left] ^ fp[x]).sum(1) <= loose
                     hit = left[near].tolist()
                     a += [node[x]] * len(hit)
                     b += node[hit].tolist()
@@ -289,7 +324,17 @@ def one_of_each(docs: DataFrame, width: int = 5, most: int = 86) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     edges = dealt.select("key", "node", "s").mapInArrow(link, "a long, b long")
-    comp = components(edges, "near-copies")
+    met = components(edges, "near-copies")  # without the roots
+    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct())
+    texts = nodes.join(met, F.col("__node") == F.col("node")).select("node", "root", F.col("first.__row").alias("__row"))
+    texts = rows.select("__row", "text").join(texts, "__row").select("node", "root", "text")
+
+    def confirm(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        sets = [shingle_set(shingle_digests(x.as_py() or b"", width)) for x in t.column("text").cast(pa.binary())]
+        return pa.table({"node": t.column("node"), "root": t.column("node").take(pa.array(similar_groups(sets, least)))})
+
+    comp = texts.groupBy("root").applyInArrow(confirm, "node long, root long")
     grouped = nodes.join(comp, F.col("__node") == F.col("node"), "left").groupBy(F.coalesce("root", "__node").alias("group")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.__row").alias("__row"))
     return rows.join(stay, "__row", "left_semi").select(*docs.columns)

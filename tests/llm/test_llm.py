@@ -263,3 +263,40 @@ def test_near_copies_share_a_block():
             a, b, c = x[:n], x[len(x) - n :], rng.integers(0, 1 << 63, n, np.uint64)
             ka, kb, kc = (simhash.min_hash_keys(v) for v in (a, b, c))
             assert set(ka) & set(kb) and not set(ka) & set(kc)
+
+
+def test_near_copies_of_edited_texts(spark):
+    """Copies with one word in sixty exchanged, so that most long words differ from those of the first: none is left."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        words = [f"word{x}" for x in rng.integers(0, 1 << 30, 600)]
+        rows.append((k, " ".join(words)))
+        for i in rng.choice(120, 11, False):
+            words[i * 5] = f"other{i}{k}"
+        rows.append((100 + k, " ".join(words)))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(40))
+
+
+def test_near_copies_below_the_limit_stay(spark):
+    """Chains of texts whose neighbours have a similarity of 0.7 stay whole; sets of 0.8 are found among many."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(k, " ".join(words[k * 53 : k * 53 + 304])) for k in range(40)]  # 300 shingles, 247 in common: 0.7
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(40))
+
+
+def test_similar_groups():
+    """Against all pairs."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64)) for _ in range(120)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert simhash.similar_groups(sets, 0.8).tolist() == root and len(set(root)) < len(sets)
+    assert simhash.similar_groups([], 0.8).tolist() == []
