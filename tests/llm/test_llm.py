@@ -300,3 +300,33 @@ def test_similar_groups():
                 root = [low if r == high else r for r in root]
     assert simhash.similar_groups(sets, 0.8).tolist() == root and len(set(root)) < len(sets)
     assert simhash.similar_groups([], 0.8).tolist() == []
+
+
+def _recall(spark, x, k=20):
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.search(v, v.where("vec_id % 5 = 0"), k=k).collect():
+        got.setdefault(r.query_id, []).append(r)
+    hit = n = 0
+    for q in range(0, len(x), 5):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = min(k, len(x) - 1)
+        assert len(got[q]) == want
+        least = np.sort(s)[-want]
+        hit += sum(r.score >= least - 1e-9 for r in got[q])
+        n += want
+    return hit / n
+
+
+def test_forest_small_tables_copies_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((600, 64))
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    for n in (10, 60, 100, 200):  # all candidates, if fewer
+        assert _recall(spark, unit[:n]) >= 0.9
+    copies = unit.copy()
+    copies[:120] = unit[0]
+    assert _recall(spark, copies) >= 0.9
+    for sigma in (0.5, 1):
+        assert _recall(spark, unit * np.exp(sigma * rng.standard_normal(600))[:, None]) >= 0.9
