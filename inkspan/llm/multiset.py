@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: 8 lanes modulo 2**32 for equality, and 128 counters modulo 2**14 (4 to a long) for likeness.
-LANES, FIELDS = 8, 14
-_ONES = 0x0001000100010001
-_KEEP = 0x3FFF3FFF3FFF3FFF
+#: 8 lanes modulo 2**32 for equality, and 128 counters of 32 bits (2 to a long) for likeness.
+LANES, FIELDS = 8, 32
+_ONES = 0x0000000100000001
+_LOW = (1 << FIELDS) - 1
 
 
 def with_multiset(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -18,8 +18,8 @@ def with_multiset(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Lanes: each paragraph's (line's) SHA-256 as 8 numbers of 32 bits, summed modulo 2**32: equal multisets of
     paragraphs have equal sums, whatever their order, and a paragraph is put in or taken out by adding or subtracting
-    its own vector. Counters: each clause of a paragraph (between line ends and marks) has a vector of 128 bits, summed
-    modulo 2**14; n counts clauses. Null: as the empty text. The hashes are columns of their own, so each is computed once.
+    its own vector. Counters: each clause of a paragraph (between line ends and marks) has a vector of 128 bits, summed;
+    no text has 2**32 clauses. n counts clauses. Null: as the empty text. The hashes are columns of their own, so each is computed once.
     """
     t, d, h = F.coalesce(F.col(text), F.lit("")), f"__{out}_digests", (f"__{out}_h0", f"__{out}_h1")
     clauses = F.filter(F.split(t, r"[\n.,!?;:|]+\s*"), lambda x: x != "")
@@ -31,21 +31,20 @@ def with_multiset(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.aggregate(d, zero, lambda a, x: (a + F.conv(F.substring(x, i * 8 + 1, 8), 16, 10).cast("long")).bitwiseAND(F.lit((1 << 32) - 1)))
 
     def counters(hashes: str, shift: int) -> Column:
-        return F.aggregate(hashes, zero, lambda a, x: (a + F.shiftright(x, shift).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_KEEP)))
+        return F.aggregate(hashes, zero, lambda a, x: a + F.shiftright(x, shift).bitwiseAND(F.lit(_ONES)))
 
     lanes = F.array(*[lane(i) for i in range(LANES)])
-    sums = F.array(*[counters(c, s) for c in h for s in range(16)])
+    sums = F.array(*[counters(c, s) for c in h for s in range(32)])
     return df.withColumn(out, F.struct(lanes.alias("lanes"), sums.alias("counters"), F.size(h[0]).cast("long").alias("n"))).drop(d, *h)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of a's and b's paragraphs together; with sign -1, b's taken out of a's."""
     lanes = F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + sign * y).bitwiseAND(F.lit((1 << 32) - 1)))
-    if sign > 0:
-        counters = F.zip_with(a["counters"], b["counters"], lambda x, y: (x + y).bitwiseAND(F.lit(_KEEP)))
-    else:  # a borrow bit above each field keeps the fields apart
-        guard = F.lit(0x4000400040004000)
-        counters = F.zip_with(a["counters"], b["counters"], lambda x, y: (x.bitwiseOR(guard) - y).bitwiseAND(F.lit(_KEEP)))
+    # each field by itself, so that none carries into the next
+    high = lambda x, y: F.shiftleft(F.shiftrightunsigned(x, FIELDS) + sign * F.shiftrightunsigned(y, FIELDS), FIELDS)
+    low = lambda x, y: (x.bitwiseAND(F.lit(_LOW)) + sign * y.bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
+    counters = F.zip_with(a["counters"], b["counters"], lambda x, y: high(x, y).bitwiseOR(low(x, y)))
     return F.struct(lanes.alias("lanes"), counters.alias("counters"), (a["n"] + sign * b["n"]).alias("n"))
 
 
@@ -58,9 +57,8 @@ def as_text(m: Column) -> Column:
 
 def _signed(m: Column) -> Column:
     """The 128 sums of +1 and -1 that the counters stand for."""
-    half, whole = 1 << (FIELDS - 1), 1 << FIELDS
-    fields = F.flatten(F.transform(m["counters"], lambda x: F.array(*[F.shiftright(x, 16 * k).bitwiseAND(F.lit(whole - 1)) for k in range(4)])))
-    return F.transform(fields, lambda c: (F.pmod(2 * c - m["n"] + half, F.lit(whole)) - half).cast("double"))
+    fields = F.flatten(F.transform(m["counters"], lambda x: F.array(x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, FIELDS))))
+    return F.transform(fields, lambda c: (2 * c - m["n"]).cast("double"))
 
 
 def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

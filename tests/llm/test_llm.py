@@ -330,3 +330,18 @@ def test_forest_small_tables_copies_and_lengths(spark):
     assert _recall(spark, copies) >= 0.9
     for sigma in (0.5, 1):
         assert _recall(spark, unit * np.exp(sigma * rng.standard_normal(600))[:, None]) >= 0.9
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    """A clause that occurs more than 8192 times counts in full; insert and delete agree with the whole."""
+    other = "".join(f"clause {i}.\n" for i in range(200))
+    rows = [(n, other + "again and again.\n" * n, other + "again and again.\n" * (n // 2), "again and again.\n" * (n - n // 2)) for n in (8000, 9000, 12000, 40000)]
+    d = spark.createDataFrame(rows, "n long, whole string, cut string, rest string")
+    for c in ("whole", "cut", "rest"):
+        d = multiset.with_multiset(d, c, f"f_{c}")
+    d = multiset.with_likeness(d, {"near": ("f_whole", "f_cut")})
+    f = lambda m: (m["counters"], m["n"])
+    assert all(r.near > 0.99 for r in d.collect())
+    less = d.select("n", multiset.combine(F.col("f_whole"), F.col("f_cut"), -1).alias("x"), multiset.combine(F.col("f_cut"), F.col("f_whole"), -1).alias("y"), "f_whole", "f_cut")
+    back = less.select(multiset.combine(F.col("x"), F.col("f_cut")).alias("x"), multiset.combine(F.col("y"), F.col("f_whole")).alias("y"), "f_whole", "f_cut").collect()
+    assert all(f(r.x) == f(r.f_whole) and f(r.y) == f(r.f_cut) for r in back)
