@@ -25,7 +25,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.lpad((F.col("doc_id") + 1000000).cast("string"), 8, "0")
     filed, title = F.coalesce("filed", F.lit("")), F.concat(F.lit("Item "), F.col("source"), F.lit(" & <"), F.col("lang"), F.lit(">"))
     first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
-    claim_lines, rest = F.slice("lines", 2, 3), F.slice("lines", 5, 100000)
+    claim_lines, rest = F.slice("lines", 2, 3), F.slice("lines", 5, F.size("lines"))
 
     def modern(kind: str, name: str, version: str) -> Column:
         doc = lambda code: F.concat(F.lit("<document-id><country>US</country><doc-number>"), number, F.lit(f"</doc-number><kind>{code}</kind><date>"), filed, F.lit("</date></document-id>"))

@@ -147,3 +147,12 @@ def test_records_stream_as_they_split(chunk):
     mixed = one.encode() + one.encode("latin-1")
     assert list(archives.stream_records(io.BytesIO(mixed), False, chunk)) == [one, one]
     assert list(archives.stream_records(io.BytesIO(b""), False, chunk)) == []
+
+
+def test_descriptions_of_many_lines(spark, tmp_path):
+    from inkspan.plans.queries import corpus
+
+    spark.createDataFrame([(0, "\n".join(f"l{i}" for i in range(100010)), "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, DATE'2020-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    raw = corpus(spark, str(tmp_path)).first().raw
+    assert raw.count("<p num=") == 100006 and "<p>l0</p>" in raw and ">l100009</p>" in raw
