@@ -59,20 +59,23 @@ def _render(a: argparse.Namespace) -> None:
     if a.input == "-" or not os.path.isdir(a.input):
         raw = sys.stdin.read() if a.input == "-" else open(a.input, encoding="utf-8").read()
         if not raw.strip():
-            raise ValueError("the input is empty")
+            raise ValueError("empty input")
         return _put(api.parse_to_markdown(raw, template), a.output)
     names = sorted(n for n in os.listdir(a.input) if n.lower().endswith(".xml"))
     if not names:
-        raise ValueError(f"no XML files in {a.input}")
+        raise ValueError(f"no .xml files found in '{a.input}'")
     whole = []
     for n in names:
         with open(os.path.join(a.input, n), encoding="utf-8") as f:
-            text = api.parse_to_markdown(f.read(), template)
+            raw = f.read()
+        if not raw.strip():
+            raise ValueError(f"empty input '{n}'")
+        text = api.parse_to_markdown(raw, template)
         if a.output is None:
             whole.append(text)
         else:
             os.makedirs(a.output, exist_ok=True)
-            _put(text + "\n", os.path.join(a.output, os.path.splitext(n)[0] + ".md"))
+            _put(text, os.path.join(a.output, os.path.splitext(n)[0] + ".md"))
     if a.output is None:
         from .sources.sinks import DOC_SEPARATOR
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import templates
-from .functions.records import RECORD, _numbered, parse_record
-from .functions.writeback import write_record
+from .functions.records import GROUPS, RECORD, Model, StructureError, model, parse_record, record
+from .functions.writeback import write_model
 
-_ROOT = re.compile(r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE(?:[^>\[]|\[.*?\]\s*)*>\s*)*<([A-Za-z_][\w.:-]*)")
+_ROOT = re.compile(C.ROOT_PATTERN)
 _FAMILY = {"patent-application-publication": "application", "us-patent-application": "application", "us-patent-grant": "grant", "PATDOC": "grant"}
 _DOCTYPES = (("application", "<!DOCTYPE us-patent-application"), ("grant", "<!DOCTYPE us-patent-grant"), ("grant", "<!DOCTYPE PATDOC"))
 #: What a failed detection says. Fixed values.
@@ -30,9 +30,10 @@ _MESSAGES = {
 def detect(raw: str | None) -> tuple[str | None, str | None, str | None]:
     """(format, error kind, root): what columns.source_format gives for one text."""
     text = raw or ""
-    first = next((x.rstrip() for x in text.splitlines() if x.strip()), "")
-    if first.strip() == "PATN" or (first.startswith("HHHHHT") and "APS1" in first):
-        return "UsptoAps", None, None
+    first = re.match(r"\s*+([^\r\n]*)", text, re.A)[1]
+    line = re.match(r"(?:[^\S\n]*+\n)*+([^\r\n]*)", text, re.A)[1]
+    if first.rstrip(" ") == "PATN" or (line.startswith("HHHHH") and "APS" in first):
+        return "UsptoGrantApsGreenBook", None, None
     m = _ROOT.match(text)
     if not m:
         return None, "Malformed", ""
@@ -49,11 +50,15 @@ def detect(raw: str | None) -> tuple[str | None, str | None, str | None]:
     return (names.pop(), None, None) if names else (None, "UnknownFormat", m[1])
 
 
+def is_aps_text(raw: str) -> bool:
+    return detect(raw)[0] == "UsptoGrantApsGreenBook"
+
+
 def detect_format(raw: str) -> str:
     form, kind, root = detect(raw)
     if form is None:
         kind = "Supplemental" if kind == "UnsupportedRoot" and root in ("sequence-cwu", "table") else kind
-        raise ValueError("source detection failed: " + _MESSAGES[kind].format(root))
+        raise ValueError(_MESSAGES[kind].format(root))
     return form
 
 
@@ -62,36 +67,38 @@ class Claim(NamedTuple):
     text: str
 
     def __repr__(self) -> str:
-        return f"Claim(number={self.number}, text={self.text[:60] + '…' if len(self.text) > 60 else self.text!r})"
+        return f"Claim(number={self.number}, text={_quoted(self.text[:60])}{'…' if len(self.text) > 60 else ''})"
 
 
-def _is_grant(kind: str | None) -> bool:
-    return bool(kind) and (kind[0] in "BE" or kind == "S")
+def _quoted(text: str | None) -> str:
+    """A string in double quotes with its controls escaped; None as it is."""
+    if text is None:
+        return "None"
+    signs = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    return '"' + "".join(signs.get(c, c) for c in text) + '"'
 
 
-def _decoded(text: str | None) -> str | None:
-    for name, value in C.ENTITIES if text else ():
-        text = text.replace(name, value)
-    return text
+def _is_grant(kind: str | None) -> bool:
+    return bool(kind) and (kind[0] in "BE" or kind == "S")
 
 
 def _compact(number: str | None) -> str | None:
-    t = None if number is None else number.strip()
+    t = None if number is None else number.strip(C.SPACE)
     return (t.replace("/", "").lstrip("0") or "0") if t and re.fullmatch("[0-9]+/[0-9]+", t) else t
 
 
 class Document:
     """A parsed record with its derived fields."""
 
-    def __init__(self, record: dict, source_format: str):
-        self.record, self.source_format = record, source_format
+    def __init__(self, parsed: Model):
+        self.model, self.record, self.source_format = parsed, record(parsed), parsed.form
 
     def _compact(self, grant: bool) -> str | None:
         r = self.record
-        if _is_grant(r["kind_code"]) != grant or r["doc_number"] is None:
+        if r["doc_number"] is None or _is_grant(r["kind_code"]) != grant:
             return None
         n = r["doc_number"]
-        return (r["country"] or "US") + ((n.lstrip("0") or "0") if grant and re.fullmatch("[0-9]+", n) else n) + (r["kind_code"] or "")
+        return (r["country"] or "US") + ((n.lstrip("0") or "0") if grant and re.fullmatch("[0-9]*", n) else n) + (r["kind_code"] or "")
 
     @property
     def publication_number(self) -> str | None:
@@ -103,17 +110,19 @@ class Document:
 
     @property
     def application_number(self) -> str | None:
-        n, s = (self.record["application_number"] or "").strip() or None, self.record["series"]
-        return s + n if n and s and re.fullmatch("[0-9]+", s) and re.fullmatch("[0-9]+", n) and len(n) < 8 else n
+        n, s = self.record["application_number"], self.record["series"]
+        n = n.strip(C.SPACE) if n is not None else None
+        return s + n if n is not None and s is not None and re.fullmatch("[0-9]*", s) and re.fullmatch("[0-9]*", n) and len(n) < 8 else n
 
     @property
     def application_label(self) -> str | None:
-        n, s = (self.record["application_number"] or "").strip() or None, (self.record["series"] or "").strip()
-        return n if not s or n is None else f"{s}/{n[len(s):] if len(n) >= 8 and n.startswith(s) else n}"
+        n, s = self.record["application_number"], (self.record["series"] or "").strip(C.SPACE)
+        n = n.strip(C.SPACE) if n is not None else None
+        return n if not s or n is None else f"{s}/{n.removeprefix(s) if len(n) >= 8 else n}"
 
     @property
     def title(self) -> str | None:
-        return _decoded(self.record["title"])
+        return self.record["title"]
 
     @property
     def filing_date(self) -> str | None:
@@ -125,87 +134,87 @@ class Document:
 
     @property
     def priority_date(self) -> str | None:
-        return min((e["parent_date"] for e in self.record["priority"] or [] if e["parent_date"]), default=None)
+        return min((e["parent_date"] for e in self.record["priority"] if e["parent_date"]), default=None)
 
     @property
     def applicants(self) -> list[str]:
-        return self.record["applicants"] or []
+        return self.record["applicants"]
 
     @property
     def assignees(self) -> list[str]:
-        return self.record["assignees"] or []
+        return self.record["assignees"]
 
     @property
     def inventors(self) -> list[str]:
-        return self.record["inventors"] or []
+        return self.record["inventors"]
 
     @property
     def ipc_classifications(self) -> list[str]:
-        return self.record["ipc"] or []
+        return self.record["ipc"]
 
     @property
     def us_classifications(self) -> list[str]:
-        return self.record["us"] or []
+        return self.record["us"]
 
     @property
     def abstract_text(self) -> str | None:
-        return "\n\n".join(self.record["abstract"] or []) or None
+        return self.record["abstract"]
 
     @property
     def claims(self) -> list[Claim]:
-        kept = (c["plain"] for c in self.record["claims"] or [] if c["plain"].strip())
-        return [Claim(i, t) for i, t in enumerate(kept, 1)]
+        return [Claim(i, t) for i, t in enumerate(self.record["claims"], 1)]
 
     def sections(self) -> dict[str, str | None]:
         """The five sections, as operators.project.sections makes them."""
         r = self.record
         pairs = lambda e: (("relationship", e["relationship"] or "unknown"), ("parent_doc_number", _compact(e["parent"])), ("parent_date", e["parent_date"]), ("child_doc_number", _compact(e["child"])))
-        chain = ["\n    ".join(f"{k}: {'null' if v is None else v}" for k, v in pairs(e)) for e in r["priority"] or []]
+        chain = ["\n    ".join(f"{k}: {'null' if v is None else v}" for k, v in pairs(e)) for e in r["priority"]]
         scalars = (("filing_date", r["filing_date"]), ("application_number", self.application_label), ("publication_number", self.publication_number), ("publication_date", r["publication_date"]), ("patent_number", self.patent_number), ("priority_date", self.priority_date))
         lists = (("ipc_classifications", self.ipc_classifications), ("us_classifications", self.us_classifications), ("priority_chain", chain), ("applicants", self.applicants), ("assignees", self.assignees))
         front = ["---", *(f"{k}: {'null' if v is None else v}" for k, v in scalars)]
         front += [f"{k}:" + ("".join(f"\n  - {x}" for x in v) or " []") for k, v in lists]
-        text = []
-        for p in r["description"] or []:
-            if p["kind"] == "section" or (p["kind"] == "opaque" and p["bucket"] == "other"):
-                text.append("\n\n" + p["text"])
-            elif p["kind"] == "opaque":
-                text.append("\n" + p["text"])
-            elif p["kind"] == "paragraph":
-                text.append("\n\n" + _numbered(p["num"], p["text"]))
-            elif p["bucket"] != "cross-reference":
-                text.append("\n### " + p["text"])
-        return {
-            "frontmatter": "\n".join([*front, "---"]),
-            "title": None if r["title"] is None else f"# {self.title}",
-            "abstract": "## Abstract\n\n" + _decoded("\n\n".join(r["abstract_md"])) if r["abstract_md"] is not None else None,
-            "description": _decoded("".join(text)),
-            "claims": "## Claims" + _decoded("".join(f"\n```claim\n{c['indented']}\n```" for c in r["claims"])) if r["claims"] is not None else None,
-        }
+        return {"frontmatter": "\n".join([*front, "---"]), "title": None if r["title"] is None else f"# {r['title']}", "abstract": r["md_abstract"], "description": r["md_description"], "claims": r["md_claims"]}
 
     def to_markdown(self, template: str | None = None) -> str:
-        return templates.render_text(self.sections(), template or templates.DEFAULT)
+        return templates.render_text(self.sections(), templates.DEFAULT if template is None else template)
 
     def to_xml(self) -> str:
-        return write_record(self.record, self.source_format)
+        return write_model(self.model)
 
     def __repr__(self) -> str:
-        return f"Document({self.patent_number or self.publication_number}, {self.title!r})"
+        return f"Document(publication_number={_quoted(self.publication_number)}, title={_quoted(self.title)})"
 
 
 def parse(raw: str, form: str | None = None) -> Document:
     """The record of one text, of the given or the detected format; ValueError where it can't be parsed."""
-    form = form or detect_format(raw)
-    r = parse_record(raw, form)
-    if r["error_kind"]:
-        raise ValueError(r["error_msg"])
-    return Document(r, form)
+    if form is None:
+        try:
+            form = detect_format(raw)
+        except ValueError as e:
+            raise ValueError(f"source detection failed: {e}") from None
+    return Document(model(raw, form))
+
+
+def parse_aps(raw: str) -> Document:
+    """A tagged-text record, whatever its text looks like."""
+    return Document(model(raw, "UsptoGrantApsGreenBook"))
 
 
 def parse_to_markdown(raw: str, template: str | None = None) -> str:
     return parse(raw).to_markdown(template)
 
 
+def is_parsable(raw: str) -> bool:
+    form, _, _ = detect(raw)
+    if form is None:
+        return False
+    try:
+        model(raw, form, ())
+    except (StructureError, ValueError):
+        return False
+    return True
+
+
 def _each(column: pa.Array, f) -> list:
     out = []
     for x in column.to_pylist():
@@ -217,9 +226,11 @@ def _each(column: pa.Array, f) -> list:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions patent_format(xml), patent_to_markdown(xml), patent_to_xml(xml) and parse_patent(xml).
+    """SQL functions patent_format(xml), patent_to_markdown(xml[, template]), patent_to_xml(xml), parse_patent(xml), and table
+    functions patent_claims(xml) and patent_priority(xml).
 
-    Arrow batches; null for null and for what can't be parsed, but parse_patent gives such rows with error_kind.
+    Arrow batches; null for null and for what can't be parsed, but parse_patent gives such rows with error_kind. A
+    template that can't be read fails the query.
     """
 
     @F.arrow_udf("string")
@@ -227,8 +238,16 @@ def register(spark: SparkSession) -> None:
         return pa.array(_each(xml, detect_format), pa.string())
 
     @F.arrow_udf("string")
-    def patent_to_markdown(xml: pa.Array) -> pa.Array:
-        return pa.array(_each(xml, parse_to_markdown), pa.string())
+    def patent_to_markdown(xml: pa.Array, template: pa.Array = None) -> pa.Array:
+        if template is None:
+            return pa.array(_each(xml, parse_to_markdown), pa.string())
+        wanted = template.to_pylist()
+        for t in set(wanted) - {None}:
+            templates.parse(t)
+        out = []
+        for x, t in zip(xml.to_pylist(), wanted):
+            out += _each(pa.array([x], pa.string()), lambda raw, t=t: parse_to_markdown(raw, t))
+        return pa.array(out, pa.string())
 
     @F.arrow_udf("string")
     def patent_to_xml(xml: pa.Array) -> pa.Array:
@@ -237,12 +256,25 @@ def register(spark: SparkSession) -> None:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    record = to_arrow_type(StructType.fromDDL(RECORD))
+    whole = to_arrow_type(StructType.fromDDL(RECORD))
 
     @F.arrow_udf(StructType.fromDDL(RECORD))
     def parse_patent(xml: pa.Array) -> pa.Array:
-        return pa.array([parse_record(x, *detect(x)) for x in xml.to_pylist()], record)
+        return pa.array([parse_record(x, *detect(x), tuple(GROUPS)) for x in xml.to_pylist()], whole)
+
+    @F.udtf(returnType="number int, text string")
+    class PatentClaims:
+        def eval(self, xml: str):
+            if xml is not None:
+                yield from enumerate(parse_record(xml, *detect(xml), ("claims",))["claims"] or [], 1)
+
+    @F.udtf(returnType="pos int, relationship string, parent string, parent_date string, child string")
+    class PatentPriority:
+        def eval(self, xml: str):
+            for i, e in enumerate((parse_record(xml, *detect(xml), ("biblio",))["priority"] or []) if xml is not None else []):
+                yield i, e["relationship"], e["parent"], e["parent_date"], e["child"]
 
     for name, f in (("patent_format", patent_format), ("patent_to_markdown", patent_to_markdown), ("patent_to_xml", patent_to_xml), ("parse_patent", parse_patent)):
         spark.udf.register(name, f)
-
+    spark.udtf.register("patent_claims", PatentClaims)
+    spark.udtf.register("patent_priority", PatentPriority)

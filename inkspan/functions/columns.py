@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode white space, by which the formats' texts are trimmed.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Version markers: (format, family, root that the dtd-version test needs, substring). Fixed values of the formats.
 MARKERS = (
     ("UsptoApplicationV15", "application", "pap-v15-2001-01-31.dtd"),
@@ -16,26 +18,37 @@ MARKERS = (
 )
 #: Named entities that are decoded in text, in this order. Fixed values.
 ENTITIES = (
-    ("&lsqb;", "["), ("&rsqb;", "]"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&apos;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&Prime;", "″"), ("&prime;", "′"), ("&equals;", "="), ("&deg;", " deg"),
+    ("&lsqb;", "["), ("&rsqb;", "]"), ("&ldquo;", '"'), ("&rdquo;", '"'), ("&lsquo;", "'"), ("&rsquo;", "'"),
+    ("&mdash;", "-"), ("&ndash;", "-"), ("&apos;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
+    ("&Prime;", '"'), ("&prime;", "'"), ("&equals;", "="), ("&deg;", " deg"),
 )
 
 
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE))
+
+
 def decode_bytes(data: Column) -> Column:
     """UTF-8, or ISO-8859-1 for the whole unit if any byte isn't."""
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, "ISO-8859-1"))
 
 
+#: What may stand before the root: instructions, comments and doctypes, of which each ends at the next "]>" or else ">".
+#: Possessive, so that no text of any length is tried twice or held on the stack.
+_BEFORE = r"(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:.*?\]>|[^>]*+>))"
+ROOT_PATTERN = rf"(?s)\A\s*+(?:{_BEFORE}\s*+)*+<([^\s>/!?][^\s>/]*+)"
+_ROOT_TAG = rf"(?s)\A[^<]*+(?:{_BEFORE}[^<]*+)*+(<[^!/?][^>]*+>)"
+
+
 def root_name(raw: Column) -> Column:
     """The first element's name: declarations, doctype, processing instructions and comments are passed over."""
-    return F.nullif(F.regexp_extract(raw, r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE(?:[^>\[]|\[.*?\]\s*)*>\s*)*<([A-Za-z_][\w.:-]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(raw, ROOT_PATTERN, 1), F.lit(""))
 
 
 def is_aps(raw: Column) -> Column:
-    """A tagged-text record: its first line that isn't blank is PATN, or a header line that names APS1."""
-    first = F.rtrim(F.regexp_extract(raw, r"\A\s*([^\r\n]*)", 1))
-    return (first == "PATN") | (first.startswith("HHHHHT") & first.contains("APS1"))
+    """A tagged-text record: its first line that isn't blank is PATN, or a header line that names APS."""
+    first = F.regexp_extract(raw, r"\A\s*+([^\r\n]*)", 1)
+    return (F.rtrim(first) == "PATN") | (F.regexp_extract(raw, r"\A(?:[^\S\n]*+\n)*+([^\r\n]*)", 1).startswith("HHHHH") & first.contains("APS"))
 
 
 def _family(root: Column) -> Column:
@@ -65,7 +78,7 @@ def resolved_format(raw: Column, root: Column, aps: Column, found: Column, famil
         .when(foreign | (F.size(found) > 1), "ConflictingVersionMarkers")
         .when(F.size(found) == 0, "UnknownFormat")
     )
-    form = F.when(aps, "UsptoAps").when(kind.isNull(), F.get(found, F.lit(0)))
+    form = F.when(aps, "UsptoGrantApsGreenBook").when(kind.isNull(), F.get(found, F.lit(0)))
     return F.struct(form.alias("format"), kind.alias("error_kind"), F.when(kind.isNotNull(), F.coalesce(root, F.lit(""))).alias("error_msg"))
 
 
@@ -92,7 +105,7 @@ def decode_entities(c: Column) -> Column:
 
 def strip_zeros(c: Column) -> Column:
     """Leading zeros go from all-digit identifiers; all zeros: 0."""
-    return F.when(c.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.regexp_replace(c, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(c)
+    return F.when(c.rlike(r"\A[0-9]*\z"), F.coalesce(F.nullif(F.regexp_replace(c, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(c)
 
 
 def document_number(number: Column, kind_code: Column) -> Column:
@@ -105,27 +118,27 @@ def compact_number(country: Column, number: Column, kind_code: Column) -> Column
 
 def application_label(number: Column, series: Column) -> Column:
     """series/serial; a series that the number starts with already (8 digits and more) is taken off first."""
-    number, series = F.trim(number), F.nullif(F.trim(series), F.lit(""))
+    number, series = trimmed(number), F.nullif(trimmed(series), F.lit(""))
     inside = series.isNotNull() & (F.length(number) >= 8) & F.startswith(number, series)
     return F.when(series.isNull(), number).otherwise(F.concat(series, F.lit("/"), F.when(inside, F.substr(number, F.length(series) + 1)).otherwise(number)))
 
 
 def bare_application_number(number: Column, series: Column) -> Column:
     """The trimmed number; the series goes in front if both are digits and the number has under 8."""
-    number = F.trim(number)
+    number = trimmed(number)
     return F.when(number.rlike(r"\A[0-9]*\z") & series.rlike(r"\A[0-9]*\z") & (F.length(number) < 8), F.concat(series, number)).otherwise(number)
 
 
 def compact_application_number(c: Column) -> Column:
     """series/number of digits as one number without zeros in front; others trimmed."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when(t.rlike(r"\A[0-9]+/[0-9]+\z"), strip_zeros(F.replace(t, F.lit("/"), F.lit("")))).otherwise(t)
 
 
 def doc_kind(file_name: Column) -> Column:
     base = F.lower(F.element_at(F.split(file_name, "/"), -1))
     grant = base.startswith("ipg") | base.startswith("pg") | base.startswith("pftaps")
-    return F.when(grant, "grant").when(base.startswith("ipa") | base.startswith("pa"), "application").otherwise(F.raise_error(F.concat(F.lit("Cannot determine document kind from "), file_name)))
+    return F.when(grant, "grant").when(base.startswith("ipa") | base.startswith("pa"), "application").otherwise(F.raise_error(F.concat(F.lit("Cannot derive doc_kind from source file '"), file_name, F.lit("'"))))
 
 
 def is_aps_entry(name: Column) -> Column:
@@ -134,28 +147,31 @@ def is_aps_entry(name: Column) -> Column:
 
 
 def doc_key(raw: Column, ordinal: Column) -> Column:
-    """The stem of the root's file attribute, else the first number element, else the ordinal and 1."""
-    start = F.regexp_extract(raw, r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE(?:[^>\[]|\[.*?\]\s*)*>\s*)*(<[A-Za-z_][^>]*>)", 1)
-    stem = F.regexp_replace(F.regexp_extract(start, r"""\sfile\s*=\s*["']([^"']*)["']""", 1), r"\.[^.]*$", "")
-    number = F.trim(F.regexp_extract(raw, r"<(?:doc-number|publication-number|patent-number)[^>]*>([^<]*)<", 1))
-    wku = F.trim(F.regexp_extract(raw, r"(?m)^WKU[ \t]+([^\r\n]*)", 1))
+    """The stem of the root's file attribute, else the first number element, else the ordinal and 1. Tagged text: the number
+    of the first line with an identifier."""
+    tag = F.regexp_extract(raw, _ROOT_TAG, 1)
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*\z", "")
+    file = F.when(tag.rlike('file="[^"]*"'), stem(F.regexp_extract(tag, 'file="([^"]*)"', 1))).when(tag.rlike("file='[^']*'"), stem(F.regexp_extract(tag, "file='([^']*)'", 1)))
     none = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(F.when(is_aps(raw), none(wku)).otherwise(F.coalesce(none(stem), none(number))), (ordinal + 1).cast("string"))
+    numbers = [none(trimmed(F.regexp_extract(raw, f"<{t}>([^<]*)<", 1))) for t in ("doc-number", "publication-number", "patent-number")]
+    own = none(F.regexp_extract(raw, r"(?m)^WKU[^\S\r\n]*+([^\r\n]*[^\s])", 1))
+    return F.coalesce(F.when(is_aps(raw), wku(own)["number"]).otherwise(F.coalesce(file, *numbers)), (ordinal + 1).cast("string"))
 
 
 def normal_apn(c: Column) -> Column:
-    return F.regexp_replace(c, r"^([0-9]+)[^A-Za-z0-9]$", "$1")
+    return F.regexp_replace(trimmed(c), r"\A([0-9]+)[^A-Za-z0-9]\z", "$1")
 
 
 def wku(c: Column) -> Column:
-    """struct(prefix, number, kind) of an identifier with a check character at its end."""
-    t = F.trim(c)
-    prefix = F.regexp_extract(t, r"^([A-Z]*)", 1)
-    digits = F.regexp_extract(F.substr(t, F.lit(1), F.length(t) - 1), r"^[A-Z]*([0-9]+)", 1)
-    number = F.concat(F.when(prefix.isin("D", "RE", "PP"), F.when(prefix == "PP", F.lit("PP")).otherwise(prefix)).otherwise(F.lit("")), strip_zeros(digits))
-    return F.struct(prefix.alias("prefix"), number.alias("number"), F.when(prefix == "D", "S").when(prefix == "RE", "E").when(prefix == "PP", None).when(t.rlike("[0-9]$"), "B1").alias("kind"))
+    """struct(prefix, number, kind) of an identifier: letters, zero-padded digits, and a check character at the end."""
+    t = trimmed(c)
+    prefix = F.regexp_extract(t, r"\A([A-Za-z]*)", 1)
+    body = F.substr(t, F.length(prefix) + 1)
+    digits = F.regexp_replace(F.when(F.length(body) > 1, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body), "[^0-9]", "")
+    kind = F.when(prefix == "D", "S").when(prefix == "RE", "E").when(prefix.isin("PP", "P"), None).otherwise("B1")
+    return F.struct(prefix.alias("prefix"), F.concat(prefix, strip_zeros(digits)).alias("number"), kind.alias("kind"))
 
 
 def squeeze(c: Column) -> Column:
     """At most one blank line in turn; no white space around."""
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
+    return trimmed(F.regexp_replace(c, r"\n{3,}+", "\n\n"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import squeeze
+from .columns import SPACE, squeeze
 
 SECTIONS = ("frontmatter", "title", "abstract", "description", "claims")
 DEFAULT = "{{frontmatter}}\n\n{{title}}\n\n{{abstract}}\n\n{{description}}\n\n{{claims}}"
@@ -39,4 +39,4 @@ def render(sections: dict[str, Column], template: str = DEFAULT) -> Column:
 
 def render_text(sections: dict[str, str], template: str = DEFAULT) -> str:
     whole = "".join(v if k == "text" else sections.get(v) or "" for k, v in parse(template))
-    return re.sub(r"\n{3,}", "\n\n", whole).strip()
+    return re.sub(r"\n{3,}", "\n\n", whole).strip(SPACE)

@@ -4,39 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.columns import is_aps, resolved_format, root_name, version_markers
-from ..functions.records import RECORD, parse_record
+from ..functions.records import _ERRORS, GROUPS, parse_record
+
+#: So many bytes of records are parsed in one go, one record at least, so that a worker's memory doesn't follow row counts.
+SLICE = 4 << 20
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ends = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
 
 
 def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with source_format, error_kind, error_msg."""
+    """df with source_format, error_kind, error_msg; columns of these names give way. Null and blank: Malformed."""
+    kept = [c for c in df.columns if c not in ("source_format", "error_kind", "error_msg")]
+    root, aps, found, families, done = (free_name(df, f"_{x}") for x in ("root", "aps", "found", "families", "done"))
     # one select a step: in one expression, the markers would be searched anew for each use of what they give
-    d = df.select("*", root_name(F.col(raw)).alias("__root"), is_aps(F.col(raw)).alias("__aps"))
-    found, families = version_markers(F.col(raw), F.col("__root"))
-    d = d.select("*", found.alias("__found"), families.alias("__families"))
-    d = d.withColumn("__d", resolved_format(F.col(raw), F.col("__root"), F.col("__aps"), F.col("__found"), F.col("__families")))
-    return d.select(*df.columns, F.col("__d.format").alias("source_format"), F.col("__d.error_kind").alias("error_kind"), F.col("__d.error_msg").alias("error_msg"))
-
-
-def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None) -> DataFrame:
-    """Parsed rows beside the columns in `keep` (all but raw by default). Map-only; failures are rows with error_kind."""
-    keep = [c for c in (keep or df.columns) if c != raw]
-    d = detect(df, raw).select(*keep, "source_format", raw, "error_kind", "error_msg")
-    record = StructType.fromDDL(RECORD)
+    d = df.select(*kept, root_name(F.col(raw)).alias(root), is_aps(F.col(raw)).alias(aps))
+    f, g = version_markers(F.col(raw), F.col(root))
+    d = d.select("*", f.alias(found), g.alias(families))
+    d = d.withColumn(done, resolved_format(F.col(raw), F.col(root), F.col(aps), F.col(found), F.col(families)))
+    return d.select(*kept, F.col(f"{done}.format").alias("source_format"), F.col(f"{done}.error_kind").alias("error_kind"), F.col(f"{done}.error_msg").alias("error_msg"))
+
+
+def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
+    """Parsed rows beside the columns in `keep` (all but raw by default): the columns of the wanted groups and the error.
+
+    groups: biblio, abstract, description, claims, drawings; a parser builds no column that isn't asked for. Map-only;
+    failures are rows with error_kind. Kept columns that a parsed one would clash with give way.
+    """
+    record = StructType.fromDDL(", ".join([*(GROUPS[g] for g in groups), _ERRORS]))
+    keep = [c for c in (df.columns if keep is None else keep) if c != raw and c not in record.names and c != "source_format"]
+    d = detect(df, raw).select(*keep, "source_format", F.col(raw), "error_kind", "error_msg")
     out = StructType([*d.select(*keep, "source_format").schema.fields, *record.fields])
     arrow = to_arrow_schema(record)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [parse_record(*x) for x in zip(*(b.column(c).to_pylist() for c in (raw, "source_format", "error_kind", "error_msg")))]
-            parsed = pa.Table.from_pylist(rows, arrow).combine_chunks()
-            cols = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in parsed.columns]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keep, "source_format"]), *cols], out.names)
+        for b in slices(batches, raw):
+            rows = [parse_record(*x, groups) for x in zip(*(b.column(c).to_pylist() for c in (raw, "source_format", "error_kind", "error_msg")))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keep, "source_format"]), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], out.names)
 
     return d.mapInArrow(run, out)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import templates
+from .parse import free_name
+
 
 def _numbers() -> dict[str, Column]:
     whole = C.compact_number(F.col("country"), F.col("doc_number"), F.col("kind_code"))
@@ -23,15 +25,22 @@ def biblio(parsed: DataFrame, keys: list[str]) -> DataFrame:
     ok = parsed.where("error_kind IS NULL")
     return ok.select(
         *keys, "source_format", F.col("country").alias("country_code"), "doc_number", "kind_code", *[c.alias(n) for n, c in _numbers().items()],
-        "publication_date", "filing_date", C.decode_entities(F.col("title")).alias("invention_title"), "applicants", "assignees", "inventors",
-        F.array_distinct("ipc").alias("ipc_classifications"), F.array_distinct("us").alias("us_classifications"), priority_date().alias("priority_date"),
+        "publication_date", "filing_date", F.col("title").alias("invention_title"), "applicants", "assignees", "inventors",
+        F.col("ipc").alias("ipc_classifications"), F.col("us").alias("us_classifications"), priority_date().alias("priority_date"),
     )
 
 
 def claims(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per claim, numbered from 1; blank claims are neither kept nor numbered."""
-    kept = F.filter("claims", lambda c: F.length(F.trim(c["plain"])) > 0)
-    return parsed.where("error_kind IS NULL").select(*keys, F.posexplode(kept)).select(*keys, (F.col("pos") + 1).alias("number"), F.col("col.plain").alias("text"))
+    return parsed.where("error_kind IS NULL").select(*keys, F.posexplode("claims")).select(*keys, (F.col("pos") + 1).alias("number"), F.col("col").alias("text"))
+
+
+def parties(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per applicant, assignee and inventor: role, pos from 0, name, and whether an inventor is the first named."""
+    ok = parsed.where("error_kind IS NULL")
+    roles = F.map_from_arrays(F.array(*map(F.lit, ("applicant", "assignee", "inventor"))), F.array("applicants", "assignees", "inventors"))
+    each = ok.select(*keys, "first_inventor", F.explode(roles).alias("role", "names")).select(*keys, "first_inventor", "role", F.posexplode("names").alias("pos", "name"))
+    return each.select(*keys, "role", "pos", "name", F.coalesce((F.col("role") == "inventor") & (F.col("name") == F.col("first_inventor")), F.lit(False)).alias("first_named"))
 
 
 def priority_edges(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +57,7 @@ def _yaml_list(name: str, value: Column) -> Column:
 
 
 def sections() -> dict[str, Column]:
-    """The five sections of a parsed row."""
+    """The five sections of a parsed row. Body sections come rendered from the parser, as their content is recursive."""
     n = _numbers()
     number = C.compact_application_number
     pairs = lambda e: (("relationship", F.coalesce(e["relationship"], F.lit("unknown"))), ("parent_doc_number", number(e["parent"])), ("parent_date", e["parent_date"]), ("child_doc_number", number(e["child"])))
@@ -56,30 +65,19 @@ def sections() -> dict[str, Column]:
     front = F.concat_ws(
         "\n", F.lit("---"), _yaml("filing_date", F.col("filing_date")), _yaml("application_number", C.application_label(F.col("application_number"), F.col("series"))),
         _yaml("publication_number", n["publication_number"]), _yaml("publication_date", F.col("publication_date")), _yaml("patent_number", n["patent_number"]), _yaml("priority_date", priority_date()),
-        _yaml_list("ipc_classifications", F.array_distinct("ipc")), _yaml_list("us_classifications", F.array_distinct("us")), _yaml_list("priority_chain", chain), _yaml_list("applicants", F.col("applicants")), _yaml_list("assignees", F.col("assignees")), F.lit("---"),
+        _yaml_list("ipc_classifications", F.col("ipc")), _yaml_list("us_classifications", F.col("us")), _yaml_list("priority_chain", chain), _yaml_list("applicants", F.col("applicants")), _yaml_list("assignees", F.col("assignees")), F.lit("---"),
     )
-    text = C.decode_entities
-    mark = lambda p: F.concat(F.lit("["), p["num"], F.lit("]"))
-    numbered = lambda p: F.when(p["num"].rlike(r"\A[0-9]*\z") & ~F.startswith(p["text"], mark(p)), F.concat(mark(p), F.lit(" "), p["text"])).otherwise(p["text"])
-    apart, near = F.lit("\n\n"), F.lit("\n")
-    item = lambda p: (
-        F.when((p["kind"] == "section") | ((p["kind"] == "opaque") & (p["bucket"] == "other")), F.concat(apart, p["text"]))
-        .when(p["kind"] == "opaque", F.concat(near, p["text"]))
-        .when(p["kind"] == "paragraph", F.concat(apart, numbered(p)))
-        .when(p["bucket"] == "cross-reference", F.lit(""))
-        .otherwise(F.concat(F.lit("\n### "), p["text"]))
-    )
-    claim = lambda c: F.concat(F.lit("\n```claim\n"), c["indented"], F.lit("\n```"))
-    return {
-        "frontmatter": front,
-        "title": F.concat(F.lit("# "), text(F.col("title"))),
-        "abstract": F.when(F.col("abstract_md").isNotNull(), F.concat(F.lit("## Abstract\n\n"), text(F.array_join("abstract_md", "\n\n")))),
-        "description": text(F.array_join(F.transform("description", item), "")),
-        "claims": F.when(F.col("claims").isNotNull(), F.concat(F.lit("## Claims"), text(F.array_join(F.transform("claims", claim), "")))),
-    }
+    return {"frontmatter": front, "title": F.concat(F.lit("# "), F.col("title")), "abstract": F.col("md_abstract"), "description": F.col("md_description"), "claims": F.col("md_claims")}
+
+
+def groups_of(template: str) -> tuple[str, ...]:
+    """What a template needs of the parser."""
+    used = {name for kind, name in templates.parse(template) if kind == "section"}
+    return tuple(g for g in ("biblio", "abstract", "description", "claims") if g in used or (g == "biblio" and used & {"frontmatter", "title"}))
 
 
 def markdown(parsed: DataFrame, keys: list[str], template: str = templates.DEFAULT) -> DataFrame:
+    """Each record that parsed in Markdown; parsed holds the groups of groups_of(template) at least."""
     return parsed.where("error_kind IS NULL").select(*keys, templates.render(sections(), template).alias("markdown"))
 
 
@@ -92,4 +90,5 @@ def manifest(parsed: DataFrame, by: list[str]) -> DataFrame:
 def limited(df: DataFrame, by: list[str], order: list[str], ok: Column, limit: int) -> DataFrame:
     """Rows of each group up to the one that makes `limit` successes."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__n", F.coalesce(F.sum(ok.cast("int")).over(w), F.lit(0))).where(F.col("__n") < limit).drop("__n")
+    n = free_name(df, "_n")
+    return df.withColumn(n, F.coalesce(F.sum(ok.cast("int")).over(w), F.lit(0))).where(F.col(n) < limit).drop(n)

@@ -1,51 +1,42 @@
-"""Queries over records that are made from the driver's tables, and SQL that computes the same from the tables."""
+"""Queries over records that are made from the driver's tables; oracle.py computes the same from the tables in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import columns as C
-from ..operators import project
+from ..operators import joins, project, tagged
 from ..operators.parse import detect, parse
-from ..sources import sinks
-
-
-def _xml(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw record for each document: doc_id, shard, raw. By doc_id % 4: a grant (version 4.7), an application (4.4), a
-    tagged-text record, and in turn a supplemental root, an unknown root, conflicting markers, and broken XML."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("filed"))
-    d = d.join(o, "doc_id", "left").withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    number = F.lpad((F.col("doc_id") + 1000000).cast("string"), 8, "0")
-    filed, title = F.coalesce("filed", F.lit("")), F.concat(F.lit("Item "), F.col("source"), F.lit(" & <"), F.col("lang"), F.lit(">"))
-    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
-    claim_lines, rest = F.slice("lines", 2, 3), F.slice("lines", 5, F.size("lines"))
-
-    def modern(kind: str, name: str, version: str) -> Column:
-        doc = lambda code: F.concat(F.lit("<document-id><country>US</country><doc-number>"), number, F.lit(f"</doc-number><kind>{code}</kind><date>"), filed, F.lit("</date></document-id>"))
-        return F.concat(
-            F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE {name} SYSTEM "{name}-{version}.dtd">\n<{name} lang="EN" dtd-version="{version}">\n<us-bibliographic-data-{kind}><publication-reference>'),
-            doc("B1" if kind == "grant" else "A1"), F.lit('</publication-reference><application-reference appl-type="utility">'), doc(""), F.lit("</application-reference><us-application-series-code>14</us-application-series-code><invention-title>"), _xml(title), F.lit(f"</invention-title></us-bibliographic-data-{kind}><abstract><p>"),
-            _xml(first), F.lit("</p></abstract><description><?BRFSUM description=\"Brief Summary\"?>"),
-            F.array_join(F.transform(rest, lambda x, i: F.concat(F.lit('<p num="'), F.lpad((i + 1).cast("string"), 4, "0"), F.lit('">'), _xml(x), F.lit("</p>"))), ""), F.lit("</description><claims>"),
-            F.array_join(F.transform(claim_lines, lambda x: F.concat(F.lit("<claim><claim-text>"), _xml(x), F.lit("</claim-text></claim>"))), ""), F.lit(f"</claims></{name}>"),
-        )
-
-    aps = F.concat(
-        F.lit("PATN\nWKU  0"), F.substr(number, F.lit(2)), F.lit("1\nAPN  "), number, F.lit("\nAPD  "), filed, F.lit("\nTTL  "), title, F.lit("\nABST\nPAL  "), first, F.lit("\nCLMS\nSTM  What is claimed is:\n"),
-        F.array_join(F.transform(claim_lines, lambda x, i: F.concat(F.lit("NUM  "), (i + 1).cast("string"), F.lit(".\nPAR  "), x, F.lit("\n"))), ""),
-    )
-    k = F.floor(F.col("doc_id") / 4) % 4
-    bad = F.when(k == 0, '<?xml version="1.0"?><sequence-cwu/>').when(k == 1, '<?xml version="1.0"?><other/>').when(k == 2, '<!DOCTYPE us-patent-application><us-patent-grant dtd-version="v4.5"/>').otherwise('<us-patent-grant dtd-version="v4.5"><a></us-patent-grant>')
-    m = F.col("doc_id") % 4
-    raw = F.when(m == 0, modern("grant", "us-patent-grant", "v47")).when(m == 1, modern("application", "us-patent-application", "v44")).when(m == 2, aps).otherwise(bad)
-    return d.select("doc_id", F.concat(F.lit("ipg"), (F.col("doc_id") % 8).cast("string")).alias("shard"), raw.alias("raw"))
+from ..sources import archives, shards, sinks
+from ..sources.scratch import scratch
+from .corpus import corpus
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
+_LISTS = ("applicant_names", "assignee_names", "inventor_names", "ipc_classifications", "us_classifications")
+_SCALARS = ("doc_number", "kind_code", "publication_number", "patent_number", "publication_date", "application_number", "filing_date", "invention_title")
+
+
+def _parsed(spark: SparkSession, sf_dir: str, *groups: str) -> DataFrame:
+    return parse(corpus(spark, sf_dir), groups=groups)
+
+
+def _rendered(spark: SparkSession, sf_dir: str, template: str, name: str = "markdown") -> DataFrame:
+    return project.markdown(_parsed(spark, sf_dir, *project.groups_of(template)), ["doc_id"], template).withColumnRenamed("markdown", name)
+
+
+def _keyed(spark: SparkSession, sf_dir: str, *groups: str) -> DataFrame:
+    """Parsed records with what the sinks need: ordinal, doc_key, source_file, doc_kind."""
+    source = F.concat("shard", F.lit(".zip"))
+    d = corpus(spark, sf_dir).select("shard", "raw", F.col("doc_id").alias("ordinal"), source.alias("source_file"), C.doc_kind(source).alias("doc_kind"))
+    return parse(d.withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal"))), groups=groups)
+
+
+def _joined(names) -> list:
+    return [F.array_join(n, "|").alias(n) for n in names]
 
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,44 +48,85 @@ def page_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = project.biblio(parse(corpus(spark, sf_dir)), ["doc_id"])
-    return b.select("doc_id", "source_format", "country_code", "doc_number", "kind_code", "publication_number", "patent_number", "application_number", "filing_date", "invention_title")
+    return project.biblio(_parsed(spark, sf_dir, "biblio"), ["doc_id"]).select("doc_id", "source_format", "country_code", *_SCALARS)
+
+
+def party_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.parties(_parsed(spark, sf_dir, "biblio"), ["doc_id"])
+
+
+def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = project.biblio(_parsed(spark, sf_dir, "biblio"), ["doc_id"])
+    return b.select("doc_id", F.array_join("ipc_classifications", "|").alias("ipc"), F.array_join("us_classifications", "|").alias("us"))
+
+
+def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.priority_edges(_parsed(spark, sf_dir, "biblio"), ["doc_id"])
+
+
+def priority_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.biblio(_parsed(spark, sf_dir, "biblio"), ["doc_id"]).select("doc_id", "priority_date")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.claims(parse(corpus(spark, sf_dir)), ["doc_id"])
+    return project.claims(_parsed(spark, sf_dir, "claims"), ["doc_id"])
+
+
+def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = _parsed(spark, sf_dir, "claims").where("error_kind IS NULL").withColumn("n", F.size("claims").cast("long"))
+    return ok.groupBy("source_format").agg(F.sum("n").alias("claims"), F.max("n").alias("most"))
 
 
 def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(corpus(spark, sf_dir)).where("error_kind IS NULL").select("doc_id", F.array_join("abstract", "\n\n").alias("abstract_text"))
+    return _parsed(spark, sf_dir, "abstract").where("error_kind IS NULL").select("doc_id", F.col("abstract").alias("abstract_text"))
+
+
+def abstract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "{{abstract}}", "abstract")
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "{{description}}", "description")
+
+
+def description_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _parsed(spark, sf_dir, "description").where("error_kind IS NULL").select("source_format", F.explode("description").alias("x"))
+    return d.groupBy("source_format", F.col("x.bucket").alias("bucket"), F.col("x.kind").alias("kind")).agg(F.count("*").alias("items"))
+
+
+def claim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "{{claims}}", "claims")
+
+
+def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "{{frontmatter}}", "frontmatter")
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.markdown(parse(corpus(spark, sf_dir)), ["doc_id"], "{{title}}\n\n{{abstract}}")
+    return _rendered(spark, sf_dir, "{{ title }}\n\n{{abstract}}")
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.manifest(parse(corpus(spark, sf_dir)), ["shard"])
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default template."""
+    groups = project.groups_of(project.templates.DEFAULT)
+    return project.markdown(_parsed(spark, sf_dir, *groups), ["doc_id"])
 
 
-def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = parse(corpus(spark, sf_dir)).select("shard", "doc_id", "error_kind")
-    return project.limited(d, ["shard"], ["doc_id"], F.col("error_kind").isNull(), 5).select("shard", "doc_id")
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, "drawings").where("error_kind IS NULL").select("doc_id", F.explode("drawings").alias("x")).select("doc_id", "x.*")
 
 
-def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", C.doc_key(F.col("raw"), F.col("doc_id")).alias("doc_key"))
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.manifest(_parsed(spark, sf_dir), ["shard"])
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed records with what the sinks need: ordinal, doc_key, source_file, doc_kind."""
-    source = F.concat("shard", F.lit(".zip"))
-    d = corpus(spark, sf_dir).select("shard", "raw", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("doc_key"), source.alias("source_file"), C.doc_kind(source).alias("doc_kind"))
-    return parse(d)
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _parsed(spark, sf_dir).select("shard", "doc_id", "error_kind")
+    return project.limited(d, ["shard"], ["doc_id"], F.col("error_kind").isNull(), 5).select("shard", "doc_id")
 
 
-def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.markdown(parse(corpus(spark, sf_dir)), ["doc_id"], "{{description}}").withColumnRenamed("markdown", "description")
+def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", C.doc_key(F.col("raw"), F.col("doc_id")).alias("doc_key"))
 
 
 def unsupported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,45 +138,132 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of the JSON lines, read back from them."""
-    lines = sinks.biblio_json(_keyed(spark, sf_dir), ["shard", "ordinal"])
-    names = ("doc_key", "doc_kind", "source_file", "doc_number", "patent_number", "application_number", "filing_date", "invention_title")
-    return lines.select("shard", "ordinal", F.from_json("line", ", ".join(f"{n} string" for n in names)).alias("j")).select("shard", "ordinal", *[f"j.{n}" for n in names])
+    """All fields of the JSON lines, read back from them."""
+    lines = sinks.biblio_json(_keyed(spark, sf_dir, "biblio"), ["shard", "ordinal"])
+    j = lines.select("shard", "ordinal", F.from_json("line", ", ".join(f"{n} {'array<string>' if n in _LISTS else 'string'}" for n in sinks.JSON_FIELDS)).alias("j")).select("shard", "ordinal", "j.*")
+    return j.select("shard", "ordinal", *[c for c in j.columns if c not in ("shard", "ordinal", *_LISTS)], *_joined(_LISTS))
+
+
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", sinks.json_escapes(F.to_json(F.struct(F.concat(F.lit("\b\f\x1f\x7f\x85\\b\\"), F.coalesce("text", F.lit(""))).alias("x")))).alias("line"))
 
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bibliographic rows of records that were parsed, written back as XML and parsed again."""
+    """Records written back as XML and parsed again: they say what they said."""
     api.register(spark)
     again = corpus(spark, sf_dir).select("doc_id", F.call_function("patent_to_xml", "raw").alias("raw")).where("raw IS NOT NULL")
-    return project.biblio(parse(again), ["doc_id"]).select("doc_id", "source_format", "publication_number", "patent_number", "application_number", "filing_date", "invention_title")
-
-
-QUERIES = {f.__name__: f for f in (descriptions, unsupported_lines, manifest_lines, json_lines, rewritten, formats, page_formats, biblio, claims, abstracts, markdown, manifest, limited, doc_keys)}
-
-_D = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, doc_id % 4 AS m, (doc_id // 4) % 4 AS k, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS lines, lpad(cast(doc_id + 1000000 AS varchar), 8, '0') AS number FROM documents)"
-_KIND = "CASE WHEN m <> 3 THEN NULL WHEN k < 2 THEN 'UnsupportedRoot' WHEN k = 2 THEN 'ConflictingVersionMarkers' END"
-_TITLE = "'Item ' || source || ' & <' || lang || '>'"
-ORACLE = {
-    "formats": f"WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' WHEN 1 THEN 'UsptoApplicationV44' WHEN 2 THEN 'UsptoAps' ELSE CASE WHEN k = 3 THEN 'UsptoGrantV45' END END AS source_format, {_KIND} AS error_kind FROM d",
-    "page_formats": "SELECT 'UnsupportedRoot' AS error_kind, 'html' AS error_msg, count(*) AS pages FROM pages",
-    "biblio": f"""WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' WHEN 1 THEN 'UsptoApplicationV44' ELSE 'UsptoAps' END AS source_format, 'US' AS country_code,
-        CASE WHEN m = 2 THEN cast(doc_id + 1000000 AS varchar) ELSE number END AS doc_number, CASE m WHEN 1 THEN 'A1' ELSE 'B1' END AS kind_code,
-        CASE WHEN m = 1 THEN 'US' || number || 'A1' END AS publication_number, CASE WHEN m <> 1 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number,
-        number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title
-        FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 3""",
-    "claims": f"WITH {_D} SELECT doc_id, i AS number, trim(regexp_replace(lines[i + 1], '\\s+', ' ', 'g')) AS text FROM (SELECT *, cast(unnest(range(1, 1 + greatest(0, least(3, len(lines) - 1)))) AS integer) AS i FROM d WHERE m < 3)",
-    "abstracts": f"WITH {_D} SELECT doc_id, coalesce(trim(lines[1]), '') AS abstract_text FROM d WHERE m < 3",
-    "markdown": f"WITH {_D} SELECT doc_id, '# ' || {_TITLE} || CASE WHEN len(lines) > 0 THEN chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(lines[1]) WHEN m < 2 THEN chr(10) || chr(10) || '## Abstract' ELSE '' END AS markdown FROM d WHERE m < 3",
-    "manifest": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS written, count(*) FILTER (m = 3 AND k = 0) AS supplemental, count(*) FILTER (m = 3 AND k IN (1, 2)) AS unsupported, count(*) FILTER (m = 3 AND k = 3) AS malformed FROM d GROUP BY ALL",
-    "limited": f"WITH {_D}, s AS (SELECT 'ipg' || doc_id % 8 AS shard, doc_id, coalesce(sum(cast(m < 3 AS integer)) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d) SELECT shard, doc_id FROM s WHERE n < 5",
-    "doc_keys": f"WITH {_D} SELECT doc_id, number AS doc_key FROM d WHERE m < 2",
-    "descriptions": f"""WITH {_D} SELECT doc_id, CASE WHEN m < 2 THEN '<?BRFSUM description="Brief Summary"?>' || chr(10) || chr(10) || '## Summary Of The Invention'
-        || array_to_string(list_transform(lines[5:], lambda x, i: chr(10) || chr(10) || '[' || lpad(cast(i AS varchar), 4, '0') || '] ' || trim(x)), '') ELSE '' END AS description FROM d WHERE m < 3""",
-    "unsupported_lines": f"WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, doc_id AS ordinal, doc_id || chr(9) || 'source detection failed: ' || CASE k WHEN 1 THEN 'unsupported XML root ''other''' ELSE 'conflicting XML version markers' END AS line FROM d WHERE m = 3 AND k IN (1, 2)",
-    "manifest_lines": f"""WITH {_D}, c AS (SELECT 'ipg' || doc_id % 8 AS shard, count(*) FILTER (m < 3) AS w, count(*) FILTER (m = 3 AND k = 0) AS s, count(*) FILTER (m = 3 AND k IN (1, 2)) AS u, count(*) FILTER (m = 3 AND k = 3) AS b FROM d GROUP BY ALL)
-        SELECT shard, array_to_string(['{{', '  "format_version": 1,', '  "stem": "' || shard || '",', '  "source_file": "' || shard || '.zip",', '  "doc_kind": "grant",', '  "patents_written": ' || w || ',', '  "supplemental_skipped": ' || s || ',', '  "unsupported_skipped": ' || u || ',', '  "malformed_skipped": ' || b, '}}'], chr(10)) AS line FROM c""",
-    "json_lines": f"""WITH {_D} SELECT 'ipg' || doc_id % 8 AS shard, doc_id AS ordinal, cast(doc_id AS varchar) AS doc_key, 'grant' AS doc_kind, 'ipg' || doc_id % 8 || '.zip' AS source_file, CASE WHEN m = 2 THEN cast(doc_id + 1000000 AS varchar) ELSE number END AS doc_number,
-        CASE WHEN m <> 1 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number, number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 3""",
-    "rewritten": f"""WITH {_D} SELECT doc_id, CASE m WHEN 0 THEN 'UsptoGrantV47' ELSE 'UsptoApplicationV44' END AS source_format, CASE WHEN m = 1 THEN 'US' || number || 'A1' END AS publication_number, CASE WHEN m = 0 THEN 'US' || cast(doc_id + 1000000 AS varchar) || 'B1' END AS patent_number,
-        number AS application_number, strftime(o_orderdate, '%Y%m%d') AS filing_date, {_TITLE} AS invention_title FROM d LEFT JOIN orders ON o_orderkey = doc_id WHERE m < 2""",
-}
+    p = parse(again, groups=("biblio", "abstract", "description", "claims"))
+    b = project.biblio(p, ["doc_id", "abstract", "claims", "md_description"]).withColumnsRenamed({"applicants": "applicant_names", "assignees": "assignee_names", "inventors": "inventor_names"})
+    return b.select("doc_id", "source_format", *_SCALARS, *_joined(_LISTS), "priority_date", F.col("abstract").alias("abstract_text"), F.size("claims").cast("long").alias("claims"), F.col("md_description").alias("description"))
+
+
+def _files(spark: SparkSession, sf_dir: str, aps: bool) -> DataFrame:
+    """Sixty records to a file, one after another: file, text."""
+    c = corpus(spark, sf_dir)
+    has = C.is_aps(F.col("raw")) if aps else F.col("raw").startswith("<?xml")
+    parts = F.sort_array(F.collect_list(F.struct("doc_id", "raw")))  # ten to fifty records
+    return c.where(has).groupBy(F.concat(F.lit("pftaps" if aps else "ipg"), F.floor(F.col("doc_id") / 60).cast("string")).alias("file")).agg(F.concat(F.lit("junk\n"), F.array_join(F.transform(parts, lambda x: x["raw"]), "\n")).alias("text"))
+
+
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = archives.split(_files(spark, sf_dir, False), F.lit(False))
+    return r.select("file", "ordinal", F.nullif(C.doc_key(F.col("raw"), F.lit(-2)), F.lit("-1")).alias("doc_key"))
+
+
+def split_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = archives.split(_files(spark, sf_dir, True), C.is_aps_entry(F.concat("file", F.lit(".txt"))))
+    return r.select("file", "ordinal", C.doc_key(F.col("raw"), F.col("ordinal")).alias("doc_key"))
+
+
+def tagged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return tagged.fields(c.where(C.is_aps(F.col("raw"))), ["doc_id"]).groupBy("doc_id", "section", "tag").agg(F.count("*").alias("n"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    path = scratch(spark, "archives")
+    p = _keyed(spark, sf_dir, *project.groups_of(project.templates.DEFAULT))
+    docs = project.markdown(p, ["shard", "ordinal", "doc_key"]).withColumnRenamed("markdown", "text")
+    shards.write_shards(docs, path).count()
+    return path, shards.read_index(spark, path)
+
+
+def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to archives, and read from them through the index."""
+    path, index = _written(spark, sf_dir)
+    return shards.read_documents(index, path).select("doc_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographic rows joined with the index of written archives; offsets as the number of documents before."""
+    _, index = _written(spark, sf_dir)
+    rows = project.biblio(_keyed(spark, sf_dir, "biblio"), ["shard", "doc_key"]).select("shard", "doc_key", "patent_number")
+    before = F.row_number().over(project.Window.partitionBy("shard").orderBy("offset")) - 1
+    return joins.with_pointers(rows, index).select("shard", "doc_key", "patent_number", before.cast("long").alias("documents_before"))
+
+
+def by_application_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = project.biblio(_parsed(spark, sf_dir, "biblio"), ["doc_id"]).select("doc_id", "application_number")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") + 1000000).alias("number"), F.date_format("o_orderdate", "yyyyMMdd").alias("other_filed"))
+    return joins.by_application(rows, o, "number").select("doc_id", "application_number", "other_filed")
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    prefix = F.element_at(F.array(*map(F.lit, ("", "D", "RE", "PP", "H"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    w = C.wku(F.concat(F.lit(" "), prefix, F.lpad(F.col("l_partkey").cast("string"), 7, "0"), F.when(F.col("l_linenumber") % 2 == 0, "&").otherwise("7")))
+    serial = C.normal_apn(F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "&").otherwise("7")))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", w["number"].alias("number"), w["kind"].alias("kind"), serial.alias("serial"))
+
+
+def labels_of_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    s = F.element_at(F.array(*map(F.lit, (" ", "14", "1", "08"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    n = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("14"), F.lpad(key, 6, "0"))).otherwise(key)
+    o = o.select("o_orderkey", "o_custkey", s.alias("s"), n.alias("n"))
+    compact = C.compact_application_number(F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")))
+    return o.select("o_orderkey", C.application_label(F.col("n"), F.col("s")).alias("label"), C.bare_application_number(F.col("n"), C.trimmed(F.col("s"))).alias("bare"), compact.alias("compact"))
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", C.decode_entities(F.concat(F.lit("&ldquo;"), F.coalesce("text", F.lit("")), F.lit("&rdquo;&amp;lt;&Prime;&deg;&eacute;"))).alias("text"))
+
+
+def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    apart = F.concat(F.lit("."), F.repeat(F.lit("\n"), (F.col("doc_id") % 4 + 2).cast("int")))
+    return d.select("doc_id", C.squeeze(F.concat(F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), apart), F.lit(" "))).alias("text"))
+
+
+def decoded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes decoded as UTF-8, or as Latin-1 where one byte isn't."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 2 == 0, data).otherwise(F.concat(data, F.unhex(F.lit("E9")))).alias("data"))
+    return d.select("doc_id", F.length(C.decode_bytes(F.col("data"))).cast("long").alias("n_chars"))
+
+
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    stem = F.element_at(F.array(*map(F.lit, ("ipg", "PG", "pftaps", "ipa", "pa"))), (key % 5 + 1).cast("int"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.lit("x/"), stem, key.cast("string")).alias("name"))
+    return o.select("o_orderkey", C.doc_kind(F.concat("name", F.lit(".ZIP"))).alias("doc_kind"), C.is_aps_entry(F.concat("name", F.when(key % 2 == 0, ".TXT").otherwise(".xml"))).alias("is_aps"))
+
+
+def concatenated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put into one text, in parts; their lengths and separators."""
+    path = scratch(spark, "concatenated")
+    docs = _rendered(spark, sf_dir, "{{title}}").select(F.col("doc_id").cast("string").alias("path"), "markdown")
+    sinks.write_concatenated(docs, path).count()
+    parts = spark.read.text(path, wholetext=True)
+    n = F.size(F.split("value", sinks.DOC_SEPARATOR)) - F.when(F.col("value").startswith(sinks.DOC_SEPARATOR), 1).otherwise(0)
+    return parts.agg(F.sum(F.length("value")).alias("n_chars"), F.sum(n).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    biblio, formats, page_formats, party_names, classifications, priority, priority_dates, claims, claim_counts, abstracts, abstract_blocks, descriptions, description_parts, claim_blocks, frontmatter, markdown, whole_documents, drawings,
+    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, shard_roundtrip, pointers, by_application_number, identifiers, labels_of_applications,
+    entities, blank_lines, decoded_lengths, archive_names, concatenated_titles,
+)}

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_XML_START = re.compile(r"<\?xml\s.*?\?>\s*(?:<!--.*?-->\s*)*<(?:!DOCTYPE\s*[A-Za-z_]|[A-Za-z_])", re.S)
+_XML_START = re.compile(r"<\?xml\s.*?\?>\s*+(?:<!--.*?-->\s*+)*+<(?:!DOCTYPE\s*+[A-Za-z_]|[A-Za-z_])", re.S)
 _XML_BYTES = re.compile(_XML_START.pattern.encode(), re.S)
 #: So much of an entry is read at once, and so much of what was searched is searched again with the next part.
 CHUNK, TAIL = 1 << 20, 1 << 10
-_APS_START = re.compile(r"^PATN[ \t]*(?=\r|\n|\Z)", re.M)
+_APS_START = re.compile(r"(?:^|(?<=[\r\n]))PATN[ \t]*+(?=\r|\n|\Z)", re.M)
 
 
 def next_aps_record(text: str, start: int = 0) -> int | None:
@@ -63,43 +63,117 @@ def stream_records(entry: BinaryIO, aps: bool, chunk: int = CHUNK) -> Iterator[s
         yield decode(held[start:])
 
 
-def _is_aps_name(name: str) -> bool:
+def is_aps_name(name: str) -> bool:
     base = name.rsplit("/", 1)[-1].lower()
     return base.startswith("pftaps") and base.endswith(".txt")
 
 
+def _some(df: DataFrame, what: str, path: str) -> DataFrame:
+    if not df.inputFiles():  # names only; nothing is read
+        raise FileNotFoundError(f"no {what} files found in '{path}'")
+    return df
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A folder's files named *.xml in any case, or one file: path, raw; in the order of paths."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter="*.[xX][mM][lL]").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")).orderBy("path")
+    """A folder's files named *.xml in any case, or one file: path, raw, error; in the order of paths. FileNotFoundError if
+    there is none; a blank file is a row with an error."""
+    files = _some(spark.read.text(path, wholetext=True, pathGlobFilter="*.[xX][mM][lL]"), ".xml", path)
+    d = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return d.withColumn("error", F.when(F.col("raw").rlike(r"\A\s*+\z"), F.concat(F.lit("empty input '"), "path", F.lit("'")))).orderBy("path")
+
+
+_ARCHIVE = "shard string, source_file string, ordinal int, raw string, error string"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 5
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _ARCHIVE.split(", ")])
+
+
+def _records(name: str, archive: BinaryIO, limit: int | None) -> Iterator[tuple]:
+    """Rows of one archive. limit: it stops after so many records that can be parsed. What can't be opened: one error row."""
+    shard = name[:-4]
+    try:
+        with zipfile.ZipFile(archive) as z:
+            entry = next((i.filename for i in z.infolist() if not i.is_dir() and (i.filename.endswith((".xml", ".XML")) or is_aps_name(i.filename))), None)
+            if entry is None:
+                yield shard, name, None, None, "No XML entry found in zip"
+                return
+            good = 0
+            with z.open(entry) as f:
+                for k, raw in enumerate(stream_records(f, is_aps_name(entry))):
+                    yield shard, name, k, raw, None
+                    if limit is not None:
+                        good += _parses(raw)
+                        if good >= limit:
+                            return
+    except (zipfile.BadZipFile, pa.ArrowInvalid, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+        yield shard, name, None, None, f"{type(e).__name__}: {e}"
+
+
+def _parses(raw: str) -> bool:
+    from .. import api
+
+    return api.is_parsable(raw)
+
+
+def _batched(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[3] or "")
+        if size > most or len(held) == 200:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def read_archives(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """All *.zip files below path: shard, source_file, ordinal, raw, error. FileNotFoundError if there is none.
+
+    One archive is one task, which opens it by its path and reads it as a stream: neither the archive nor its entry is
+    held. The first entry that is named as XML or tagged text is read, as UTF-8 or else Latin-1. limit: reading stops
+    after so many records of an archive that can be parsed. An archive that can't be opened is a row with an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
+    names = sorted(_some(files, ".zip", path).inputFiles())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import unquote
 
+        from pyarrow import fs
+
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(p)
+                place = place if store.get_file_info(place).type != fs.FileType.NotFound else unquote(place)
+                with store.open_input_file(place) as f:
+                    yield from _batched(_records(unquote(p).rsplit("/", 1)[-1], f, limit))
+
+    listed = spark.createDataFrame([(p,) for p in names], "path string").repartition(len(names), "path")  # one row an archive
+    return listed.mapInArrow(run, _ARCHIVE)
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All *.zip files below path: shard, source_file, ordinal, raw, error. One archive is one task's row, held
-    compressed; its records stream out in order. The first entry that is named as XML or tagged text is read, as UTF-8
-    or else Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select("path", "content")
+
+def records_of_contents(files: DataFrame) -> DataFrame:
+    """The records of archives given as rows of path and content, as a binaryFile stream gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                name = p.rsplit("/", 1)[-1]
-                rows: list[tuple] = []
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    entry = next((i.filename for i in z.infolist() if not i.is_dir() and (i.filename.endswith((".xml", ".XML")) or _is_aps_name(i.filename))), None)
-                    if entry is None:
-                        yield batch([(name[:-4], name, None, None, "No XML entry found in zip")])
-                        continue
-                    with z.open(entry) as f:
-                        for k, raw in enumerate(stream_records(f, _is_aps_name(entry))):
-                            rows.append((name[:-4], name, k, raw, None))
-                            if len(rows) == 200:
-                                yield batch(rows)
-                                rows = []
-                if rows:
-                    yield batch(rows)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], ["shard", "source_file", "ordinal", "raw", "error"])
-
-    return files.mapInArrow(run, "shard string, source_file string, ordinal int, raw string, error string")
+                yield from _batched(_records(p.rsplit("/", 1)[-1], io.BytesIO(data), None))
+
+    return files.select("path", "content").mapInArrow(run, _ARCHIVE)
+
+
+def split(files: DataFrame, aps) -> DataFrame:
+    """files (file, text): file, ordinal, raw of the records in each text; aps: a column, whether it is tagged text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text, tagged in zip(*(b.column(c).to_pylist() for c in ("file", "text", "aps"))):
+                rows = list(enumerate(split_records(text or "", bool(tagged))))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.string())], ["file", "ordinal", "raw"])
+
+    return files.select("file", "text", aps.alias("aps")).mapInArrow(run, "file string, ordinal int, raw string")

@@ -94,24 +94,45 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(pointers: DataFrame, path: str) -> DataFrame:
-    """Fetches only the frames pointed at: doc_key, text."""
+    """Fetches only the frames pointed at: doc_key, text. A task opens each archive once and closes it at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from contextlib import ExitStack
+
         import zstandard
 
         store, root = fs.FileSystem.from_uri(path)
         z, handles = zstandard.ZstdDecompressor(), {}
-        for b in batches:
-            out = []
-            for key, shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("doc_key", "shard", "offset", "length"))):
-                f = handles.setdefault(shard.strip(), None) or handles.__setitem__(shard.strip(), store.open_input_file(f"{root}/{shard.strip()}.zst")) or handles[shard.strip()]
-                f.seek(offset)
-                out.append((key, z.decompress(f.read(length)).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], ["doc_key", "text"])
+        with ExitStack() as opened:
+            for b in batches:
+                out, size = [], 0
+                for key, shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("doc_key", "shard", "offset", "length"))):
+                    name = shard.strip()
+                    if name not in handles:
+                        handles[name] = opened.enter_context(store.open_input_file(f"{root}/{name}.zst"))
+                    handles[name].seek(offset)
+                    out.append((key, z.decompress(handles[name].read(length)).decode()))
+                    size += len(out[-1][1])
+                    if size > 8 << 20:
+                        yield _texts(out)
+                        out, size = [], 0
+                yield _texts(out)
 
     return pointers.select("doc_key", "shard", "offset", "length").mapInArrow(run, "doc_key string, text string")
 
 
+def _texts(out: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], ["doc_key", "text"])
+
+
+def lookup_many(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The first document of each key in keys (doc_key); keys that are nowhere have no row. The side that is small enough
+    is broadcast by the optimizer; else both are dealt by key."""
+    wanted = keys.select("doc_key").distinct()
+    first = read_index(spark, path).join(wanted, "doc_key").groupBy("doc_key").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return read_documents(first.select("doc_key", "at.*"), path)
+
+
 def lookup(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The first document of a key."""
     return read_documents(read_index(spark, path).where(F.col("doc_key") == key).orderBy("shard", "offset").limit(1), path)

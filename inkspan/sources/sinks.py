@@ -26,13 +26,15 @@ JSON_FIELDS = (
 
 
 def json_escapes(line: Column) -> Column:
-    """Control characters in JSON text as \\u00xx only: no \\b and \\f, and none of U+007F to U+009F as they are."""
-    for letter, code in (("b", "0008"), ("f", "000c")):
-        line = F.regexp_replace(line, rf"(?<!\\)((?:\\\\)*)\\{letter}", rf"$1\\u{code}")
-    fixed = line
+    """Control characters in JSON text as \\u00xx in lower case only: no \\b and \\f, and none of U+007F to U+009F as they are."""
+    pair = F.lit("\x01")  # stands for an escaped backslash meanwhile: no control character is in JSON text as it is
+    out = F.replace(line, F.lit("\\\\"), pair)
+    upper = [(f"u00{c:02X}", c) for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20))]
+    for sign, c in (("b", 8), ("f", 12), *upper):
+        out = F.replace(out, F.lit(f"\\{sign}"), F.lit(f"\\u{c:04x}"))
     for c in range(0x7F, 0xA0):
-        fixed = F.replace(fixed, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
-    return F.when(line.rlike("[\\x7f-\\x9f]"), fixed).otherwise(line)
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    return F.replace(out, pair, F.lit("\\\\"))
 
 
 def biblio_json(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,23 +118,48 @@ def write_markdown_files(docs: DataFrame, path: str) -> DataFrame:
             for source, text in zip(b.column("path").to_pylist(), b.column("markdown").to_pylist()):
                 names.append(source.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".md")
                 with store.open_output_stream(f"{root}/{names[-1]}") as out:
-                    out.write(f"{text or ''}\n".encode())
+                    out.write((text or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
     return docs.select("path", "markdown").mapInArrow(run, "name string")
 
 
-def write_concatenated(docs: DataFrame, path: str) -> None:
-    """docs (path, markdown) in the order of paths as text files, four line ends after each document."""
-    docs.orderBy("path").select(F.coalesce("markdown", F.lit("")).alias("value")).write.option("lineSep", DOC_SEPARATOR).text(path)
+def write_concatenated(docs: DataFrame, path: str) -> DataFrame:
+    """docs (path, markdown) in the order of paths as part files under path, which make one text if put together in the
+    order of their names: four line ends stand between documents, none before the first or after the last. Returns the
+    names of the parts. Ranges of paths are written by a task each."""
+    lowest = docs.agg(F.min("path")).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        name, sink = f"part-{TaskContext.get().partitionId():06d}.md", None
+        tmp = f"{root}/.{name}-{uuid.uuid4().hex}"
+        for b in batches:
+            for source, text in zip(b.column("path").to_pylist(), b.column("markdown").to_pylist()):
+                apart = DOC_SEPARATOR if sink is not None or source != lowest else ""
+                sink = sink or store.open_output_stream(tmp)
+                sink.write(f"{apart}{text or ''}".encode())
+        if sink is not None:
+            sink.close()
+            store.move(tmp, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    return docs.select("path", "markdown").orderBy("path").mapInArrow(run, "name string")
 
 
 def write_archive_set(spark: SparkSession, source: str, out: str, limit: int | None = None, template: str = templates.DEFAULT) -> DataFrame:
     """Reads the archives below source and writes each one's .zst, .idx, .biblio.jsonl, .manifest.json and, if it has any,
     .unsupported.tsv under out. limit: so many written records per archive at most. Returns the manifest rows."""
-    raw = read_archives(spark, source)
+    raw = read_archives(spark, source, limit)
+    # archives are few and large: their records are dealt out, so that parsing doesn't wait for the largest archive
+    raw = raw.repartition(max(spark.sparkContext.defaultParallelism, 2 * raw.rdd.getNumPartitions()))
     keyed = raw.withColumn("doc_kind", C.doc_kind(F.col("source_file"))).withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal")))
-    parsed = parse(keyed, keep=["shard", "source_file", "ordinal", "doc_kind", "doc_key", "error"])
+    parsed = parse(keyed, keep=["shard", "source_file", "ordinal", "doc_kind", "doc_key", "error"], groups=tuple({"biblio": 0} | dict.fromkeys(project.groups_of(template))))
     if limit is not None:
         parsed = project.limited(parsed, ["shard"], ["ordinal"], F.col("error_kind").isNull(), limit)
     parsed = parsed.persist()  # five sinks read it; a lost executor's part is parsed again

@@ -1,11 +1,13 @@
-"""Archives that land in a folder, taken in as they come."""
+"""Files and archives that land in a folder, taken in as they come. Every record stands by itself, so no state is kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators.parse import parse
+from ..sources.archives import records_of_contents
 
 
 def landing(spark: SparkSession, path: str) -> DataFrame:
@@ -13,6 +15,18 @@ def landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.[xX][mM][lL]").schema("value string").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
+def landing_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the records of *.zip archives: shard, source_file, ordinal, raw, error."""
+    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return records_of_contents(files)
+
+
 def parsed_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed rows as files land; stateless, so it needs no watermark."""
+    """Parsed rows as files land."""
     return parse(landing(spark, path))
+
+
+def parsed_archive_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed rows with shard, source_file, ordinal, doc_key as archives land; archives that can't be opened have error."""
+    d = landing_archives(spark, path)
+    return parse(d.withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal"))))
