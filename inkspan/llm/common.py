@@ -1,13 +1,12 @@
-"""What the operators of this package share: reading tables, shared scratch space, distributed prefix sums."""
+"""What the operators of this package share: reading tables, tables in the shared folder, distributed prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: Words everywhere in this package: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,20 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_inkspan_scratch", None)
-    if not found:
-        found = spark._inkspan_scratch = "file://" + tempfile.mkdtemp(prefix="inkspan-")
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors."""
     path = scratch(df.sparkSession, name)

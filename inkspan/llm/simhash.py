@@ -15,8 +15,8 @@ from .common import table, written
 from .components import components
 from .tokens import slices
 
-#: Beyond so many fingerprints in one block bucket, pairs are found by their neighbourhoods instead.
-HOT = 4096
+#: Beyond so many fingerprints in one block bucket (256 kB), pairs are found by their neighbourhoods instead.
+HOT = 1 << 15
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -139,22 +139,42 @@ def near_edges(fps: DataFrame, most: int = 3, hot: int = HOT) -> DataFrame:
 
 
 def midpoint_edges(fps: DataFrame, most: int = 3) -> DataFrame:
-    """Edges with the components of all pairs within 3 bits, from the points within 2 bits of each fingerprint."""
+    """Edges with the components of all pairs within 3 bits, from the points within 2 bits of each fingerprint.
+
+    The points are dealt and sorted by their value; the fingerprints that share one (2081 at most, as they are distinct)
+    are streamed: each is linked to the first one within 1 bit of it.
+    """
     if most != 3:
         raise ValueError("midpoints are laid out for 3 bits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.uint64(1) << np.arange(64, dtype=np.uint64)
         flips = np.concatenate([[np.uint64(0)], one, [a ^ b for a, b in combinations(one, 2)]])
-        close = np.arange(len(flips)) <= 64
+        far = np.arange(len(flips)) > 64
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 fp = batch.column("fp").slice(i, 200).to_numpy()
                 z = (fp.view(np.uint64)[:, None] ^ flips).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(z.ravel()), pa.array(np.repeat(fp, len(flips))), pa.array(np.tile(close, len(fp)))], ["z", "fp", "close"])
+                yield pa.RecordBatch.from_arrays([pa.array(z.ravel()), pa.array(np.tile(far, len(fp))), pa.array(np.repeat(fp, len(flips)))], ["z", "far", "fp"])
 
-    met = fps.mapInArrow(run, "z long, fp long, close boolean").groupBy("z").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("all"))
-    return met.where("a is not null and size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (z, far, fp). Only the point at hand and its first fingerprint are held."""
+        now, first = None, 0
+        for batch in batches:
+            z, far, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("z", "far", "fp"))
+            if not len(z):
+                continue
+            new = np.concatenate([[now is None or z[0] != now], z[1:] != z[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(z)), -1))
+            lead = np.where(head < 0, first, fp[head])
+            # without a fingerprint within 1 bit, what lies around a point is no link
+            near = np.where(head < 0, first_near if now is not None else False, ~far[head])
+            keep = near & (lead != fp)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[keep]), pa.array(fp[keep])], ["a", "b"])
+            now, first, first_near = z[-1], lead[-1], near[-1]
+
+    met = fps.mapInArrow(spread, "z long, far boolean, fp long").repartition("z").sortWithinPartitions("z", "far", "fp")
+    return met.mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
@@ -165,7 +185,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     """
     found = written(fingerprints(docs, width), "simhash-fp")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = components(near_edges(nodes.select("fp"), most), "simhash")  # node, root: those with links only
+    comp = components(near_edges(nodes.select("fp"), most), "simhash")  # node, root: those with links only, and no roots
     rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
@@ -226,118 +246,136 @@ def shingle_set(digests: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(digests), np.uint64)[::2])
 
 
-def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """For each sorted set of hashes, the first position of its component over links of Jaccard similarity `least` and more.
+def spanning_edges(fp: np.ndarray, loose: int) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest (positions, differing bits) of fingerprints (rows of 64-bit words) that differ in at most
+    `loose` bits: at every lower limit, what is linked at that limit is linked by its edges."""
+    n, out = len(fp), []
+    left = np.arange(1, n)
+    best, at = np.full(n, loose + 1), np.zeros(n, np.int64)
+    now = 0
+    while len(left):
+        d = np.bitwise_count(fp[left] ^ fp[now]).sum(1, dtype=np.int64)
+        closer = d < best[left]
+        best[left[closer]], at[left[closer]] = d[closer], now
+        k = int(best[left].argmin())
+        now = int(left[k])
+        if best[now] <= loose:
+            out.append((int(at[now]), now, int(best[now])))
+        left = np.delete(left, k)
+    return out
 
-    Exact: of two such sets, the smallest n - ceil(least * n) + 1 hashes have one in common, so each set is compared
-    with those that share one, breadth first among the sets not reached yet.
-    """
-    n = np.array([len(x) for x in sets])
-    root = np.full(len(sets), -1)
-    first = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in sets]
-    at: dict[int, list[int]] = {}
-    for i, x in enumerate(first):
-        for h in x.tolist():
-            at.setdefault(h, []).append(i)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, int)
-    own = np.split(ids, np.cumsum(n)[:-1]) if len(sets) else []
-    mark = np.zeros(len(ids), bool)
-    for start in range(len(sets)):
-        if root[start] >= 0:
-            continue
-        root[start], queue = start, [start]
-        while queue:
-            x = queue.pop()
-            mark[own[x]] = True
-            for h in first[x].tolist():
-                at[h] = [i for i in at[h] if root[i] < 0]
-                for y in at[h]:
-                    if root[y] < 0 and min(n[x], n[y]) >= least * max(n[x], n[y]) - 1e-9:
-                        both = np.count_nonzero(mark[own[y]])
-                        if both >= least * (n[x] + n[y] - both) - 1e-9:
-                            root[y] = start
-                            queue.append(y)
-            mark[own[x]] = False
-    return root
-
-
-def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int = 144) -> DataFrame:
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones: 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def central(fp: np.ndarray, n: int) -> np.ndarray:
+    """The positions of the n fingerprints nearest to the bitwise majority of all: those that most others are copies of."""
+    counts = np.zeros(fp.shape[1] * 64, np.int64)
+    for i in range(0, len(fp), 1 << 12):
+        counts += np.unpackbits(fp[i : i + (1 << 12)].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    middle = np.packbits(counts * 2 > len(fp), bitorder="little").view(np.uint64)
+    return np.argsort(np.bitwise_count(fp ^ middle).sum(1, dtype=np.int64), kind="stable")[:n]
+
+
+#: So many rows of one key (72 bytes each) a task holds at most; of these, so many central ones take part in each portion.
+HELD, HUBS = 1 << 20, 64
+
+
+def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, near): the minimum spanning forests of each key's rows. A key with more than `most` rows is
+    handled in portions, each together with the key's central rows, as copies of one text may be linked through it alone."""
+    rest = None
+
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        k, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        fp = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint64).reshape(-1, 8)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        ends = np.append(starts[1:], len(k))
+        two = starts[ends - starts == 2]
+        d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64)
+        a, b, w = [two[d <= loose]], [two[d <= loose] + 1], [d[d <= loose]]
+        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+            hubs = s + central(fp[s:e], HUBS) if e - s > most else np.zeros(0, np.int64)
+            for c in range(s, e, most):
+                rows = np.union1d(np.arange(c, min(e, c + most)), hubs)
+                if found := spanning_edges(fp[rows], loose):
+                    x, y, z = np.array(found).T
+                    a.append(rows[x]), b.append(rows[y]), w.append(z)
+        a, b, w = (np.concatenate(x) for x in (a, b, w))
+        p, q = node[a], node[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(w.astype(np.int32))], ["a", "b", "d"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        k = t.column("key").to_numpy()
+        cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
+        if not cut and len(k) >= HELD:
+            cut = len(k)
+        if cut:
+            yield linked(t.slice(0, cut))
+        rest = t.slice(cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield linked(rest)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int = 112, sure: int = 46, most: int = 4096) -> DataFrame:
     """docs without near copies: of each group, the row with the smallest doc_id stays. Columns as in docs.
 
     Groups are the components of the links between sets of distinct `width`-word shingles of a Jaccard similarity of
-    `least` (0.8) and more. Candidates share a block key (BANDS of ROWS min-hashes) and differ in at most `loose` (144) of
-    512 SimHash bits: at a similarity s, the share of differing bits is arccos(2s / (1 + s)) / pi, 77 bits at 0.8. Within a
-    bucket only a spanning forest of them is returned. The texts of each component of candidates then meet, and
-    their links are found by the exact similarity of the sets (of 64-bit hashes). Equal sets are one node.
+    `least` (0.8) and more. Rows that share a block key (BANDS of ROWS min-hashes) are compared by their 512-bit SimHash: a
+    minimum spanning forest of each bucket, up to `loose` differing bits. At a similarity s, the share of differing bits
+    is arccos(2s / (1 + s)) / pi: 77 of 512 at 0.8, with a deviation of 8. Pairs with `sure` bits and fewer are links, those
+    between are links if the exact similarity of their sets (of 32-bit hashes) says so, and no set meets more than one
+    other at a time. Whoever is linked at a limit is linked by edges under that limit, so a link that isn't an edge itself
+    is mostly made up of edges that are; 32 buckets make up for most that aren't. Crowded buckets are spread over tasks by
+    ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are one node.
     Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
+    names = {c.lower() for c in docs.columns}
+    node, keys, bits, hashes, row = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("node", "keys", "bits", "hashes", "row"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in slices(batches, "text"):
-            node, keys, bits = [], [], []
+            own, found, wide, held = [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 digests = shingle_digests(t or b"", width)
                 chosen = shingle_set(digests)
-                node.append(xxhash.xxh3_64_intdigest(chosen.tobytes()))
-                keys.append(min_hash_keys(chosen))
-                bits.append(_widest_bits(digests))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(node, np.uint64).view(np.int64)), listed, pa.array(bits, pa.binary())], [*b.schema.names, "__node", "__keys", "__bits"])
-
-    rows = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__node", "long").add("__keys", ArrayType(LongType())).add("__bits", "binary"))
-    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "near-copies")
-    nodes = rows.groupBy("__node").agg(F.first("__keys").alias("keys"), F.first("__bits").alias("s"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
-    dealt = nodes.select(F.col("__node").alias("node"), "s", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            k = t.column("key").to_numpy()
-            cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
-            if cut:
-                yield linked(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield linked(rest)
-
-    def linked(t: pa.Table) -> pa.RecordBatch:
-        k, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint64).reshape(-1, 8)
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        ends = np.append(starts[1:], len(k))
-        a, b = [], []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            left = np.arange(s, e)
-            while len(left):
-                queue, left = [int(left[0])], left[1:]
-                while queue and len(left):
-                    x = queue.pop()
-                    near = np.bitwise_count(fp[left] ^ fp[x]).sum(1) <= loose
-                    hit = left[near].tolist()
-                    a += [node[x]] * len(hit)
-                    b += node[hit].tolist()
-                    queue += hit
-                    left = left[~near]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    edges = dealt.select("key", "node", "s").mapInArrow(link, "a long, b long")
-    met = components(edges, "near-copies")  # without the roots
-    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct())
-    texts = nodes.join(met, F.col("__node") == F.col("node")).select("node", "root", F.col("first.__row").alias("__row"))
-    texts = rows.select("__row", "text").join(texts, "__row").select("node", "root", "text")
-
-    def confirm(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        sets = [shingle_set(shingle_digests(x.as_py() or b"", width)) for x in t.column("text").cast(pa.binary())]
-        return pa.table({"node": t.column("node"), "root": t.column("node").take(pa.array(similar_groups(sets, least)))})
-
-    comp = texts.groupBy("root").applyInArrow(confirm, "node long, root long")
-    grouped = nodes.join(comp, F.col("__node") == F.col("node"), "left").groupBy(F.coalesce("root", "__node").alias("group")).agg(F.min("first").alias("first"))
-    stay = grouped.select(F.col("first.__row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+                own.append(xxhash.xxh3_64_intdigest(chosen.tobytes()))
+                found.append(min_hash_keys(chosen))
+                wide.append(_widest_bits(digests))
+                held.append(np.unique(chosen.astype(np.uint32)).tobytes())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(own, np.uint64).view(np.int64)), listed, pa.array(wide, pa.binary()), pa.array(held, pa.binary())], [*b.schema.names, node, keys, bits, hashes])
+
+    made = StructType([*docs.schema.fields]).add(node, "long").add(keys, ArrayType(LongType())).add(bits, "binary").add(hashes, "binary")
+    rows = written(docs.mapInArrow(run, made).withColumn(row, F.monotonically_increasing_id()), "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
+    nodes = written(rows.groupBy(F.col(node).alias("node")).agg(first), "near-copies-nodes")
+    alone = rows.select(F.col(row).alias("at"), F.col(keys).alias("keys"), F.col(bits).alias("s"))
+    blocks = nodes.select("node", F.col("first.row").alias("at")).join(alone, "at").select("node", "s", F.explode("keys").alias("key"), F.xxhash64(F.slice("keys", 1, 4)).alias("near"))
+    dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
+    edges = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")), "near-copies-edges")
+    sets = nodes.select("node", F.col("first.row").alias("at")).join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("node", "set")
+    open_ = edges.where(F.col("d") > sure).select("a", "b")
+    pairs = open_.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
+            ok = np.array([jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least - 1e-9 for p, q in zip(x, y)], bool)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+
+    links = edges.where(F.col("d") <= sure).select("a", "b").unionByName(pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
+    comp = components(links, "near-copies")
+    grouped = nodes.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
+    stay = grouped.select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm import chat, forest, mixing, multiset, packing, pii, quality, simhash, substrings, token_output, tokens
-from inkspan.llm.common import scratch
+from inkspan.llm import chat, components, forest, mixing, multiset, packing, pii, quality, simhash, substrings, token_output, tokens
+from inkspan.sources.scratch import scratch
 
 LONG = "one two three four five six seven eight nine ten. " * 60
 ROWS = [(0, LONG, "a"), (1, LONG, "a"), (2, None, None), (3, "", "b"), (4, "Hello, World! naïve café", "b"), (5, "x " * 3000, "c"), (6, "para one\npara two\nlast", "a"), (7, LONG.replace("seven", "zeven"), "c"), (None, "no id here", "a"), (4, "Hello, World! naïve café", "b")]
@@ -287,19 +287,51 @@ def test_near_copies_below_the_limit_stay(spark):
     assert kept == set(range(40))
 
 
-def test_similar_groups():
-    """Against all pairs."""
+def test_spanning_edges():
+    """At every limit, the forest's edges under it link what all pairs under it link."""
     rng = np.random.default_rng(9)
-    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64)) for _ in range(120)]
-    root = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if 5 * len(a & b) >= 4 * len(a | b):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert simhash.similar_groups(sets, 0.8).tolist() == root and len(set(root)) < len(sets)
-    assert simhash.similar_groups([], 0.8).tolist() == []
+    fp = rng.integers(0, 1 << 6, (60, 8)).astype(np.uint64)
+    edges = simhash.spanning_edges(fp, 24)
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    for limit in (4, 10, 16, 24):
+        x, y = np.nonzero(np.triu((d <= limit) & (d > -1), 1))
+        e = np.array([(a, b) for a, b, w in edges if w <= limit]).reshape(-1, 2)
+        for a, b in ((x, y),) if not len(x) else ((x, y), (e[:, 0], e[:, 1])):
+            node, root = components.labels(a.astype(np.int64), b.astype(np.int64))
+            got = dict(zip(node.tolist(), root.tolist()))
+            if a is x:
+                want = got
+        assert got == want
+    assert simhash.spanning_edges(fp[:1], 24) == []
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, one_task):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (420, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long"), "t", one_task=one_task).collect()}
+    root = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {x: got.get(x, x) for x in root} == root
+    assert components.components(spark.createDataFrame([], "a long, b long"), "t", one_task=one_task).count() == 0
+
+
+def test_near_copies_in_one_crowded_bucket(spark):
+    """Many edits of one text, portions of few rows: one is left; texts beside them stay."""
+    rng = np.random.default_rng(6)
+    base = [f"word{x}" for x in rng.integers(0, 1 << 30, 300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        words = list(base)
+        for i in rng.choice(300, 4, False):
+            words[i] = f"other{i}{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(20)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _node int, _row int")
+    out = simhash.one_of_each(df, most=50)
+    assert sorted(r.doc_id for r in out.collect()) == [0, *range(1000, 1020)] and out.columns == df.columns
 
 
 def _recall(spark, x, k=20):
