@@ -30,8 +30,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.
 class WordEncoder:
     """encode(texts) gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives.
 
-    For word_bpe_49k.json: white space always ends a piece and is dropped, so a text's ids are those of its
-    white-space separated words in turn. Arrow splits the plain ones into letters and marks, which go to the library's
+    For word_bpe_49k.json: white space always ends a piece and is dropped, and no special token holds any, so a text's ids
+    are those of its white-space separated words in turn. Arrow splits the plain ones into letters and marks, which go to the library's
     BPE model itself (the normaliser is the identity on them); all others go through the whole library, in one call
     for many words. Up to max_units letters, marks and other words are kept from call to call.
     """
@@ -40,7 +40,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.max_units = self.tok.model, max_units
         mark = self.tok.encode("\x00", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None

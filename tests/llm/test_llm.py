@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from inkspan.llm import chat, components, forest, mixing, multiset, packing, pii, quality, simhash, substrings, token_output, tokens
 from inkspan.sources.scratch import scratch
 
 LONG = "one two three four five six seven eight nine ten. " * 60
-ROWS = [(0, LONG, "a"), (1, LONG, "a"), (2, None, None), (3, "", "b"), (4, "Hello, World! naïve café", "b"), (5, "x " * 3000, "c"), (6, "para one\npara two\nlast", "a"), (7, LONG.replace("seven", "zeven"), "c"), (None, "no id here", "a"), (4, "Hello, World! naïve café", "b")]
+ROWS = [(8, "a <|endoftext|> b<|startoftext|>", "b"), (0, LONG, "a"), (1, LONG, "a"), (2, None, None), (3, "", "b"), (4, "Hello, World! naïve café", "b"), (5, "x " * 3000, "c"), (6, "para one\npara two\nlast", "a"), (7, LONG.replace("seven", "zeven"), "c"), (None, "no id here", "a"), (4, "Hello, World! naïve café", "b")]
 
 
 @pytest.fixture(scope="module")
@@ -24,9 +25,11 @@ def empty(docs):
     return docs.where("false")
 
 
+UNTOUCHED = tokenizers.Tokenizer.from_file(tokens.default_tokenizer())
+
+
 def ids_of(t):
-    e = tokens.encoder(tokens.default_tokenizer())
-    return e.tok.encode(t or "", add_special_tokens=False).ids
+    return UNTOUCHED.encode(t or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -36,7 +39,7 @@ def crc(ids):
 def test_encoder_is_exact():
     import pyarrow as pa
 
-    texts = [t for _, t, _ in ROWS] + ["don't J̌ ǰ İx ΑΣ a\x00b <|endoftext|> !!x ﬁ é 42.1"]
+    texts = [t for _, t, _ in ROWS] + ["don't J̌ ǰ İx ΑΣ a\x00b <|endoftext|> !!x ﬁ é 42.1", "a <|endoftext|> b", "x<|startoftext|>y<|endoftext|><|ENDOFTEXT|>", "<|endoftext |>", "<|endoftext|>" * 50, "z" * 100_000, "\u3000a\u2028b\xa0c"]
     ids, at = tokens.encoder(tokens.default_tokenizer()).encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(t) for t in texts]
 
