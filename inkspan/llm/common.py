@@ -15,10 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors."""
+def few_parts(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df in at most `per_core` parts a core of the cluster: for narrow rows, whose files would be tiny otherwise."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors. narrow: rows of
+    a few numbers, written as few_parts()."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (few_parts(df) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

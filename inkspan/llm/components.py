@@ -74,13 +74,13 @@ def components(edges: DataFrame, name: str, rounds: int = 60, one_task: int = ON
     the lineage. Rounds grow with the logarithm of the size. Self-loops are ignored; no edges: no rows.
     """
     own = edges.where("a <> b").select("a", "b").mapInArrow(lambda b: _stars(b, ("a", "b"), ONE_TASK), "a long, b long")
-    now = written(own, f"{name}-edges")
+    now = written(own, f"{name}-edges", narrow=True)
     if now.count() <= one_task:
         return now.coalesce(1).mapInArrow(lambda b: _stars(b, ("node", "root")), "node long, root long")
     now, before = now.distinct(), None
     for _ in range(rounds):
         large = _star(now, True).where("a <> b").distinct()
-        now = written(_star(large, False).where("a <> b").distinct(), f"{name}-round")
+        now = written(_star(large, False).where("a <> b").distinct(), f"{name}-round", narrow=True)
         r = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if (r[0], r[1]) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import table, written
+from .common import few_parts, table, written
 from .components import components
 from .tokens import slices
 
@@ -131,7 +131,7 @@ def near_edges(fps: DataFrame, most: int = 3, hot: int = HOT) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in block_keys(3 + most, 3)])
     # a collision of xxhash64 only brings strangers together, who then fail the Hamming check
     dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
-    found = written(dealt.select("key", "fp").mapInArrow(lambda b: _runs(b, most, hot), "a long, b long"), "simhash-runs")
+    found = written(dealt.select("key", "fp").mapInArrow(lambda b: _runs(b, most, hot), "a long, b long"), "simhash-runs", narrow=True)
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
         return found
@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     Equal fingerprints are one node, so copies cost one row each. Null text: fingerprint zero, linked like any other.
     Null doc_id: kept; it never names a component that has another. Repeated rows: kept. Empty table: no rows.
     """
-    found = written(fingerprints(docs, width), "simhash-fp")
+    found = written(fingerprints(docs, width), "simhash-fp", narrow=True)
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comp = components(near_edges(nodes.select("fp"), most), "simhash")  # node, root: those with links only, and no roots
     rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return few_parts(found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 #: Min-hashes of a shingle set: BANDS keys of ROWS each. At a Jaccard similarity s two sets share no key with a chance of
@@ -356,11 +356,11 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     made = StructType([*docs.schema.fields]).add(node, "long").add(keys, ArrayType(LongType())).add(bits, "binary").add(hashes, "binary")
     rows = written(docs.mapInArrow(run, made).withColumn(row, F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
-    nodes = written(rows.groupBy(F.col(node).alias("node")).agg(first), "near-copies-nodes")
+    nodes = written(rows.groupBy(F.col(node).alias("node")).agg(first), "near-copies-nodes", narrow=True)
     alone = rows.select(F.col(row).alias("at"), F.col(keys).alias("keys"), F.col(bits).alias("s"))
     blocks = nodes.select("node", F.col("first.row").alias("at")).join(alone, "at").select("node", "s", F.explode("keys").alias("key"), F.xxhash64(F.slice("keys", 1, 4)).alias("near"))
     dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
-    edges = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")), "near-copies-edges")
+    edges = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")), "near-copies-edges", narrow=True)
     sets = nodes.select("node", F.col("first.row").alias("at")).join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("node", "set")
     open_ = edges.where(F.col("d") > sure).select("a", "b")
     pairs = open_.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
