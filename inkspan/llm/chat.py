@@ -32,13 +32,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, block: int = 128) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, block: int = 4096) -> DataFrame:
     """turns (conv_id, turn, role, text): one row per window: conv_id, window, formatted, first_new, loss.
 
     A conversation's turns in order (turn, role, text; nulls first) are cut into spans at turns: with prefix sums of
     tokens, a span ends before the turn that would take it over budget - system turn - history (a single larger turn
-    has a span of its own), and after every `block` turns, so that work grows with the turns and no row here holds a
-    whole conversation. A window: the system turn (if the first turn is one), the last turns before the span that
+    has a span of its own). Rows hold `block` turns (more than any span can: a turn's price is 4 at least), so that no row
+    holds a whole conversation; only where such a row ends, a span ends early. A window: the system turn (if the first turn is one), the last turns before the span that
     fit into `history`, the span. loss: (start, length) in code points of the assistant texts of the span; repeated
     turns bear none. first_new: the first turn of the window that isn't repeated (0 in the first window). window
     ascends within a conversation from 0, with gaps.
@@ -48,7 +48,8 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, blo
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cost", tokens(F.col("text")).cast("long"))
     so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("i", F.count(F.lit(1)).over(so_far) - 1).withColumn("end", F.sum("cost").over(so_far)).withColumn("top", F.first(F.when(F.col("role") == "system", F.struct("role", "text", "cost"))).over(so_far))
-    most = min(block, history // 4)  # a turn's price is 4 at least: no more turns can be repeated
+    most = history // 4  # a turn's price is 4 at least: no more turns can be repeated
+    block = max(block, most, budget // 4)
     own = F.floor(F.col("i") / block).cast("int")
     t = t.withColumn("block", F.explode(F.when(F.col("i") % block >= block - most, F.array(own, own + 1)).otherwise(F.array(own))))
     c = t.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text", (F.col("end") - F.col("cost")).alias("before"), "end"))).alias("t"), F.first("top").alias("top"))
@@ -67,7 +68,8 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, blo
     def window(a: Column, k: Column) -> Column:
         b = F.coalesce(F.get(F.col("cuts"), k + 1), F.col("n"))
         first = (F.col("block") == 0) & (k == 0)
-        h = F.size(F.filter(F.slice("body", F.lit(1), a), lambda x: before(a) - x["before"] > history))
+        far = F.greatest(a - most, F.lit(0))  # what lies further back can't be repeated
+        h = far + F.size(F.filter(F.slice("body", far + 1, a - far), lambda x: before(a) - x["before"] > history))
         return F.struct(
             (F.col("block") * block + k).alias("window"),
             F.when(first, 0).otherwise(F.col("sys") + a - h).alias("first_new"),
