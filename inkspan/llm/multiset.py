@@ -74,23 +74,32 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
     return df.drop(*[f"__{k}_{c}" for k in "sq" for c in used])
 
 
-def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 4096, steps: int = 256) -> DataFrame:
     """docs with next: struct of `columns` of the following row in descending doc_id (ties by text; nulls last), after
-    the last row that of the first. Ranges of doc_id of about per_bucket rows are windows of their own; each gets the
-    first row of the range below, looked up over one row for each range."""
-    r = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, width = r.lo or 0, max(1, -(-((r.hi or 0) - (r.lo or 0) + 1) // max(1, -(-r.n // per_bucket))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    d = docs.withColumn("__bucket", bucket)
-    tops = d.select("__bucket").distinct()
-    down = Window.orderBy(F.col("__bucket").desc())
+    the last row that of the first. Ranges of doc_id are windows of their own: `steps` ranges of about as many rows each,
+    from quantiles of the ids, so that ids far out don't empty the others; each of them cut evenly into ranges of about
+    per_bucket rows. Each range gets the first row of the range below, looked up over one row for each range. Rows
+    of equal ids stay together."""
+    q = [k / steps for k in range(1, steps)]
+    r = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.percentile_approx("doc_id", q, 100 * steps).alias("q")).first()
+    edges = sorted({x for x in [r.lo, *(r.q or []), r.hi] if x is not None}) or [0]
+    within = max(1, -(-r.n // (per_bucket * steps)))
+    marks = F.array(*[F.lit(x).cast("long") for x in edges])
+    names = {c.lower() for c in docs.columns}
+    bucket, lead, rank, head_, for_ = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("bucket", "lead", "rank", "head", "for"))
+    step = F.greatest(F.size(F.filter(marks, lambda x: x <= F.col("doc_id"))), F.lit(1))
+    low, high = F.element_at(marks, step).cast("double"), F.element_at(marks, F.least(step + 1, F.lit(len(edges)))).cast("double")
+    part = F.least(F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * within), F.lit(within - 1))
+    d = docs.withColumn(bucket, F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise((step - 1).cast("long") * within + F.greatest(part, F.lit(0)).cast("long")))
+    tops = d.select(bucket).distinct()
+    down = Window.orderBy(F.col(bucket).desc())  # one row a range: `steps` times the ranges in a step
     everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.withColumn("__for", F.coalesce(F.lag("__bucket").over(down), F.last("__bucket").over(everything)))
-    w = Window.partitionBy("__bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")).desc())
-    d = d.withColumn("__lead", F.lead(F.struct(*columns)).over(w)).withColumn("__rank", F.row_number().over(w))
+    tops = tops.withColumn(for_, F.coalesce(F.lag(bucket).over(down), F.last(bucket).over(everything)))
+    w = Window.partitionBy(bucket).orderBy(F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")).desc())
+    d = d.withColumn(lead, F.lead(F.struct(*columns)).over(w)).withColumn(rank, F.row_number().over(w))
     # the ranges' first rows come from the same shuffle as the rest
-    head = d.where("__rank = 1").select("__bucket", F.struct(*columns).alias("__head")).join(tops, "__bucket").select(F.col("__for").alias("__bucket"), "__head")
-    return d.join(head, "__bucket", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__bucket", "__lead", "__head", "__rank")
+    head = d.where(F.col(rank) == 1).select(bucket, F.struct(*columns).alias(head_)).join(tops, bucket).select(F.col(for_).alias(bucket), head_)
+    return d.join(head, bucket, "left").withColumn("next", F.coalesce(lead, head_)).drop(bucket, lead, head_, rank)
 
 
 def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
