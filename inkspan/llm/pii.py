@@ -8,21 +8,22 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:-\p{Lu}[\p{Ll}\p{M}]+)?"
+#: A word of a name. Patterns here are possessive or bounded: no text is held on the stack or tried again from its middle.
+_NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}[\p{Ll}\p{M}]++)?+"
 #: Titles that show a person's gender.
 MALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
 #: Kinds of entities in the order in which they are tried, each with its pattern.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,40}\.[A-Za-z]{2,24}+(?![A-Za-z0-9-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3})["']?[^\s"',;]{6,}["']?""",
+    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3})["']?+[^\s"',;]{6,}+["']?+""",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE)})\b\.? {_NAME}(?: {_NAME})?",
+    "name": rf"\b(?:{'|'.join(MALE + FEMALE)})\b\.?+ {_NAME}(?: {_NAME})?+",
 }
 PATTERN = "|".join(KINDS.values())
 #: All entities but names hold one of these marks; names need a title.
@@ -49,11 +50,14 @@ def _pick(d: Column, i, letters: str) -> Column:
     return F.substr(F.lit(letters), _number(d, i, len(letters)) + 1, F.lit(1))
 
 
-def _same_classes(v: Column, d: Column) -> Column:
-    """v with every letter and digit replaced by one of its class and script; hex strings stay hex; marks stay."""
+def _same_classes(v: Column, d: Column, counted: Column | None = None) -> Column:
+    """v with every letter and digit replaced by one of its class and script; hex strings stay hex; marks stay. counted: whether
+    what a letter or digit becomes depends on how many come before it, not on its place, so that marks make no difference."""
+    no_mark = lambda i: F.length(F.regexp_replace(F.substr(v, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
     hexed = v.rlike("^[0-9a-f]+[\"']?$") & v.rlike("[a-f]") & v.rlike("[0-9]")
 
     def one(c: Column, i: Column) -> Column:
+        i = i if counted is None else F.when(counted, no_mark(i)).otherwise(i)
         lower = F.when(hexed, _pick(d, i, "abcdef")).otherwise(_pick(d, i, "abcdefghijklmnopqrstuvwxyz"))
         return (
             F.when(c.between("0", "9"), _pick(d, i, "0123456789"))
@@ -75,37 +79,56 @@ _SYLLABLES = {
 }
 
 
-def _name(v: Column, d: Column) -> Column:
-    """The title stays; given and family names are made up in the same script, number and gender."""
-    title = F.regexp_extract(v, rf"^(?:{'|'.join(MALE + FEMALE)})\.?", 0)
-    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
-    words = F.split(F.ltrim(F.substr(v, F.length(title) + 1)), "(?=[ -])|(?<=[ -])")
+#: A person's title, as it stands before the name.
+_TITLE = rf"^(?:{'|'.join(MALE + FEMALE)})\b\.?+"
+
+
+def name_parts(v: Column) -> Column:
+    """The words of a titled name as entities: struct(kind, v) of the given name (male or female) and the family name; of
+    a single word, the family name."""
+    title = F.regexp_extract(v, _TITLE, 0)
+    words = F.split(F.ltrim(F.substr(v, F.length(title) + 1)), " ", 2)
+    given = F.when(F.replace(title, F.lit("."), F.lit("")).isin(*FEMALE), "given female").otherwise("given male")
+    one = lambda kind, x: F.struct(kind.alias("kind"), x.alias("v"))
+    return F.when(F.size(words) > 1, F.array(one(given, F.get(words, F.lit(0))), one(F.lit("family"), F.get(words, F.lit(1))))).otherwise(F.array(one(F.lit("family"), F.get(words, F.lit(0)))))
+
+
+def _made_name(v: Column, kind: Column, d: Column) -> Column:
+    """A made-up word in the same script, hyphens in their places; given names end as the gender does."""
 
     def made(script: str) -> Column:
         syllables, male_end, female_end = (F.array(*map(F.lit, x.split())) for x in _SYLLABLES[script])
         part = lambda i, k: F.get(syllables, _number(d, i * 8 + k, len(_SYLLABLES[script][0].split())))
         word = lambda i: F.initcap(F.concat(part(i, 0), part(i, 1), part(i, 2)))
-        ending = lambda i: F.when((i == 0) & (F.size(words) > 1), F.when(female, F.get(female_end, _number(d, i * 8 + 7, 3))).otherwise(F.get(male_end, _number(d, i * 8 + 7, 3)))).otherwise(part(i, 5))
-        return F.array_join(F.transform(words, lambda w, i: F.when(w.isin(" ", "-"), w).otherwise(F.concat(word(i), ending(i)))), "")
+        ending = lambda i: F.when(kind == "given female", F.get(female_end, _number(d, i * 8 + 7, 3))).when(kind == "given male", F.get(male_end, _number(d, i * 8 + 7, 3))).otherwise(part(i, 5))
+        return F.array_join(F.transform(F.split(v, "-"), lambda w, i: F.concat(word(i), ending(i))), "-")
 
-    return F.concat(title, F.lit(" "), F.when(v.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(v.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin")))
+    return F.when(v.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(v.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
+
+
+def identity(v: Column, kind: Column) -> Column:
+    """What the same entity has in common in all its spellings: addresses and hosts in lower case, numbers without the marks
+    between their digits, labels of secrets aside."""
+    digits = F.regexp_replace(v, "[^0-9A-Za-z+]", "")
+    return F.when(kind == "email", F.lower(v)).when(kind.isin("card", "ssn", "phone", "iban"), digits).otherwise(v)
 
 
 def surrogate(v: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The keyed surrogate of an entity. Format: letters and digits keep their class, marks their place. An email's
     domain becomes one under "example" with its own ending, an address one of network 10, a phone keeps its country code, a
     secret its label. Card numbers are not made to pass the checksum, so that no real one can arise."""
-    d = _digest(v, key, attempt)
+    d = _digest(identity(v, kind), key, attempt)
     local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
     label = F.substring_index(domain, ".", 1)
     email = F.concat(_same_classes(local, d), F.lit("@"), _same_classes(label, F.sha2(d, 256)), F.lit(".example."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", F.lit("10"), *[_number(d, i, 256).cast("string") for i in range(3)])
     code = F.regexp_extract(v, r"^\+\d{1,3}[ .-]", 0)
-    phone = F.concat(code, _same_classes(F.substr(v, F.length(code) + 1), d))
+    number = _same_classes(v, d, kind.isin("card", "ssn", "phone", "iban"))
+    phone = F.concat(code, F.substr(number, F.length(code) + 1))
     head = F.regexp_extract(v, r"""^[A-Za-z_-]+\s*[=:]\s*["']?""", 0)
     secret = F.concat(head, _same_classes(F.substr(v, F.length(head) + 1), d))
     access = F.concat(F.substr(v, F.lit(1), F.lit(4)), _same_classes(F.substr(v, F.lit(5)), d))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "key", access).when(kind == "name", _name(v, d)).otherwise(_same_classes(v, d))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "key", access).when(kind.isin("family", "given male", "given female"), _made_name(v, kind, d)).otherwise(number)
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
@@ -136,23 +159,48 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """docs with every detected entity in text replaced by its surrogate, and n_entities; other columns stay.
 
-    Equal entities have equal surrogates in all documents, different ones of a kind different ones. Only texts with
-    entities are shuffled: their entities meet the surrogates, and are put back by the text's digest.
+    Equal entities have equal surrogates in all documents, different ones of a kind different ones. Spellings of one
+    address or number (case of letters, marks between digits) differ in their surrogates as they do in the text. Names
+    are replaced by their words, so Mr. John Smith and Mr. Smith still share a family name; where a text has a name with
+    its title, the same given and family name without one are replaced there, too, and so is the family name by itself.
+    Only texts with entities are shuffled: their entities meet the surrogates, and are put back by the text's digest.
     Null text: null, 0 entities. Repeated rows: alike. An own column n_entities gives way. Empty table: no rows.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
+    names = {c.lower() for c in kept}
+    md5, found, map_, given, family = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("md5", "found", "map", "given", "family"))
     d = docs.select(*kept)
-    found = d.where(F.col("text").rlike(_HINT)).withColumn("__found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     with_any = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    rows = written(found.where(F.size("__found") > 0).withColumn("__md5", F.md5(F.col("text").cast("binary"))), "pii-rows")
-    each = rows.select("__md5", F.explode(F.array_distinct("__found")).alias("v")).distinct()
-    entities = written(each.select("v").distinct().select(kind_of(F.col("v")).alias("kind"), "v"), "pii-entities")
-    known = surrogates(entities, key)
-    maps = each.join(known, "v").groupBy("__md5").agg(F.map_from_entries(F.collect_set(F.struct("v", "s"))).alias("__map"))
+    rows = d.where(F.col("text").rlike(_HINT)).withColumn(found, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size(found) > 0)
+    rows = written(rows.withColumn(found, F.transform(found, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("v")))).withColumn(md5, F.md5(F.col("text").cast("binary"))), "pii-rows")
+    each = rows.select(F.col(md5).alias("md5"), F.explode(F.array_distinct(found)).alias("e")).select("md5", "e.kind", "e.v").distinct()
+    # a name is the entities that are its words
+    words = F.explode(F.when(F.col("kind") == "name", name_parts(F.col("v"))).otherwise(F.array(F.struct("kind", "v")))).alias("e")
+    each = written(each.select("md5", words).select("md5", "e.kind", "e.v").distinct(), "pii-each")
+    known = surrogates(each.select("kind", "v").distinct(), key)
+    maps = each.join(known, ["kind", "v"]).groupBy("md5").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "v").alias("k"), "s"))).alias(map_))
+    of = lambda kind, v: F.element_at(F.col(map_), F.concat_ws(":", kind, v))
+
+    def filled(e: Column) -> Column:
+        own = F.array_join(F.transform(name_parts(e["v"]), lambda p: of(p["kind"], p["v"])), " ")
+        return F.when(e["kind"] == "name", F.concat(F.regexp_extract(e["v"], _TITLE, 0), F.lit(" "), own)).otherwise(of(e["kind"], e["v"]))
+
+    # columns of their own, made before the join: below they stand within a function of each part of a text
+    spoken = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), lambda e: name_parts(e["v"]))))
+    rows = rows.withColumn(given, spoken).withColumn(family, F.filter(given, lambda p: p["kind"] == "family")).withColumn(given, F.filter(given, lambda p: p["kind"] != "family"))
+    changed = rows.join(maps, F.col(md5) == F.col("md5"))
+    word = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{M}-])"), p["v"], F.lit(r"(?![\p{L}\p{M}-])"))
+
+    def untitled(part: Column) -> Column:
+        """A given name only before another word of a name, a family name by itself; \x01: already replaced."""
+        with_given = F.aggregate(given, part, lambda t, p: F.regexp_replace(t, F.concat(word(p), F.lit(r"(?= \p{Lu})")), F.concat(F.lit("\x01"), of(p["kind"], p["v"]))))
+        with_family = F.aggregate(family, with_given, lambda t, p: F.regexp_replace(t, word(p), of(p["kind"], p["v"])))
+        return F.replace(with_family, F.lit("\x01"), F.lit(""))
+
     parts = F.split("text", PATTERN)
-    filled = F.array_append(F.transform("__found", lambda v: F.element_at(F.col("__map"), v)), F.lit(""))
-    text = F.array_join(F.zip_with(parts, filled, lambda p, s: F.concat(p, s)), "")
-    changed = rows.join(maps, "__md5").select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.size("__found").alias("n_entities"))
+    plain = F.when(F.size(family) > 0, F.transform(parts, untitled)).otherwise(parts)
+    text = F.array_join(F.zip_with(plain, F.array_append(F.transform(found, filled), F.lit("")), lambda p, s: F.concat(p, s)), "")
+    changed = changed.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.size(found).alias("n_entities"))
     return d.where(~with_any).withColumn("n_entities", F.lit(0)).unionByName(changed)
 
 

@@ -135,6 +135,16 @@ def test_near_copies(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_next_of_wide_and_uneven_ids(spark):
+    """Ids at both ends of long, far out and repeated ones."""
+    ids = [-(1 << 63), (1 << 63) - 1, 0, 5, 5, None, *range(1000, 1400), 1 << 60]
+    d = spark.createDataFrame([(x, f"t{i:04}", 7, "o") for i, x in enumerate(ids)], "doc_id long, text string, _bucket int, _lead string")
+    out = multiset.with_next(d, ["text"], per_bucket=4, steps=16)
+    got = {r.text: r.next.text for r in out.collect()}
+    order = [r[2] for r in sorted(((x is not None, x or 0, f"t{i:04}") for i, x in enumerate(ids)), reverse=True)]
+    assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)} and out.columns == [*d.columns, "next"]
+
+
 def test_multiset(docs, empty, spark):
     d = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = multiset.with_multiset(multiset.with_multiset(spark.createDataFrame([("a\nb\nc. d", "c. d\na\nb", "a\nb", "c. d")], "x string, y string, p string, q string"), "x", "fx"), "y", "fy")
@@ -178,6 +188,30 @@ def test_pii(spark, docs, empty):
     assert s.select("s").distinct().count() == s.count() == many.count()
 
 
+def test_pii_coreference(spark):
+    """Spellings of one person, address and number stay recognisable as one; others stay apart."""
+    text = "Mr. John Smith and Mr Smith wrote. Mr. Smith, John Smith, Smith; Smithson stays. Mrs Eva Smith-Bond. Господин Иван Петров. J.Smith@corp.org j.smith@corp.org j.smith@corp.com 4041-8949-7460-8795 4041 8949 7460 8795 4041894974608796"
+    d = spark.createDataFrame([(1, text, "a", "b", "c"), (2, "Mr. Smith alone", "a", "b", "c"), (3, "John Smith stays here", "a", "b", "c")], "doc_id long, text string, _md5 string, _found string, _map string")
+    out = pii.replace_pii(d)
+    r = {x.doc_id: x for x in out.collect()}
+    assert out.columns == [*d.columns, "n_entities"] and r[1]._md5 == "a" and r[3].text == "John Smith stays here"
+    w = r[1].text
+    given, family = w.split()[1:3]
+    assert w.startswith(f"Mr. {given} {family} and Mr {family} wrote. Mr. {family}, {given} {family}, {family}; Smithson stays. Mrs ") and r[2].text == f"Mr. {family} alone"
+    assert "John" not in w and "Eva" not in w and "Bond" not in w and "Иван" not in w and "Господин " in w
+    a, b, c, *numbers = w[w.index("Господин") :].split(". ")[1].split(" ")
+    assert a != b and a.lower() == b.lower() and a[0].isupper() and a[:7].lower() == b[:7] and c.lower() != b.lower()
+    one, two = "".join(numbers[0].split("-")), "".join(numbers[1:5])
+    assert one == two and len(one) == 16 and numbers[0].count("-") == 3 and numbers[5] != one
+
+
+def test_pii_hard_texts(spark):
+    """Long runs neither crash nor take long."""
+    texts = ["x@" + "a." * 6000, "x" * 200_000, "a@" * 50_000, "1" * 100_000, "1-" * 50_000, "Mr. " + "A" + "b" * 100_000, "+1" * 50_000, "password=" + "'" * 50_000, "AB12" * 30_000, "Mr " * 5_000, "x@b" + ".c" * 60 + ".com", "Mr. Ann Bo " * 3000]
+    out = pii.replace_pii(spark.createDataFrame([(i, t + " end") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(out) == len(texts) and all(r.text.endswith(" end") for r in out)
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok &lt;| &amp; \n x"
     rows = [(1, 0, "system", "be nice"), *[(1, k, ("user", "assistant")[k % 2 == 0], f"{said} {k} " * 40) for k in range(1, 9)], (2, 0, None, None), (None, 0, "assistant", "y"), (3, 0, "system", "only")]
