@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -13,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .tokens import slices
 
-#: At most so many labelled rows are used to fit; by a hash of doc_id, so alike at every size.
-MOST_LABELLED = 8000
+#: At most so many labelled rows are used to fit, and of these so many as have this many indicators together (4 bytes each);
+#: by a hash of doc_id, so alike at every size.
+MOST_LABELLED, MOST_INDICATORS = 8000, 16_000_000
 #: An n-gram's indicators: present at all, and with at least these shares of the text's n-grams.
 SHARES = (0.0, 0.005, 0.02, 0.08, 0.25, 0.6)
 
@@ -129,19 +131,31 @@ def _held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> NbSvm:
-    """Fits on `most` labelled rows at most (crc32(doc_id) mod 5 not 0, quality not null, lowest hashes first)."""
-    picked = labels.where(~_held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(most)
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, indicators_in_all: int = MOST_INDICATORS) -> NbSvm:
+    """Fits on `most` labelled rows at most (crc32(doc_id) mod 5 not 0, quality not null, lowest hashes first), and on no
+    more of them than have `indicators_in_all` indicators together, so that what the driver holds is bounded in bytes."""
+    by = [F.md5(F.col("doc_id").cast("string")), F.col("quality")]
+    picked = labels.where(~_held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(*by).limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            f = [indicators(t or b"").astype(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(f, pa.list_(pa.int64()))], ["doc_id", "quality", "found"])
+            f = [indicators(t or b"").view(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(f, pa.list_(pa.int32())), pa.array(map(len, f), pa.int64())], ["doc_id", "quality", "found", "n"])
 
     # the picked rows are bounded by `most`, so they may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, found array<long>")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    return NbSvm().fit([x.values.to_numpy().astype(np.uint32) for x in got.column("found")], got.column("quality").to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, found array<int>, n long")
+    rows = written(rows, "quality-indicators")
+    sizes = rows.select("doc_id", "quality", "n").toArrow().to_pylist()
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["quality"])):
+        total += r["n"]
+        if total > indicators_in_all:
+            break
+        kept.append(r["doc_id"])
+    if len(kept) < len(sizes):
+        rows = rows.where(F.col("doc_id").isin(kept)) if kept else rows.limit(0)
+    got = rows.select("doc_id", "quality", "found").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    return NbSvm().fit([x.values.to_numpy().view(np.uint32) for x in got.column("found")], got.column("quality").to_numpy())
 
 
 def score_quality(docs: DataFrame, model: NbSvm, cut: float = 0.3) -> DataFrame:
