@@ -107,13 +107,23 @@ def powers_of_two(items: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False, pool: int = 1 << 20) -> DataFrame:
+def pieces(n: int, free: int, limits: Limits):
+    """(start, length, loss) of n ids, of which the first `free` bear no loss, cut where a limit is reached."""
+    a = 0
+    while a < n:
+        end = min(n, a + limits.tokens, max(a, free) + limits.loss)
+        yield a, end - a, max(0, end - max(a, free))
+        a = end
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False, pool: int = 1 << 20, prompt: str | None = None) -> DataFrame:
     """Packs every document's ids (with end_id) into sequences; one row per piece. Map-only: no shuffle.
 
-    docs: doc_id, text (others are ignored). Each task packs its own partition from a pool of about `pool` waiting
+    docs: doc_id, text (others are ignored). prompt: the column of a text whose ids go before and bear no loss, as in
+    instruction data; without it, all ids bear loss. loss: how many ids of a piece do, its last ones. Each task packs its own partition from a pool of about `pool` waiting
     tokens, so memory is bounded and lost tasks rerun alone. Documents beyond a sequence are cut. A task's last,
     partly filled sequence is cut into sequences at powers of two, which need no padding. sequence_id: unique, the
     partition in the upper bits. Null text: empty, so one end id. Null doc_id: kept as null. Repeated rows: packed
@@ -131,10 +141,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         def emit(one: list[tuple]) -> None:
             nonlocal made
             offset = 0
-            for key, start, length, _ in one:
+            for key, start, length, loss in one:
                 doc = kept[key]
                 ids = doc[1][start : start + length]
-                rows.append([doc[0], start, length, zlib.crc32(ids.tobytes()), len(doc[1]), base + made, offset, *([ids] if with_ids else [])])
+                rows.append([doc[0], start, length, zlib.crc32(ids.tobytes()), len(doc[1]), base + made, offset, loss, *([ids] if with_ids else [])])
                 offset += length
                 doc[2] -= length
                 if not doc[2]:
@@ -142,23 +152,23 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
             made += 1
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [[]] * (7 + with_ids)
+            cols = list(zip(*rows)) or [[]] * (8 + with_ids)
             rows.clear()
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array([x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32()))] if with_ids else [])
+            arrays = [pa.array(c, pa.int64()) for c in cols[:8]] + ([pa.array([x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32()))] if with_ids else [])
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
         n = 0
         for batch in slices(batches, "text"):
             ids, at = enc.encode(batch.column("text"))
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                own = np.append(ids[a:b], end_id).astype("<u4")
+            before, first = enc.encode(batch.column(prompt)) if prompt else (ids[:0], np.zeros(batch.num_rows + 1, np.int64))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                own = np.concatenate([before[first[k] : first[k + 1]], ids[at[k] : at[k + 1]], [end_id]]).astype("<u4")
                 kept[n] = [doc_id, own, len(own)]
-                start, most = 0, min(limits.tokens, limits.loss)
-                while len(own) - start >= most:
-                    emit([(n, start, most, most)])
-                    start += most
-                if start < len(own):
-                    packer.add(n, start, len(own) - start, len(own) - start)
+                for piece in pieces(len(own), int(first[k + 1] - first[k]), limits):
+                    if piece[1] == limits.tokens:
+                        emit([(n, *piece)])
+                    else:
+                        packer.add(n, *piece)
                 n += 1
             if packer.tokens > pool:
                 while packer.tokens > pool // 4:
@@ -172,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
                 emit(x)
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(run, schema)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
