@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have: the given ones with as many underscores behind them as it takes."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def few_parts(df: DataFrame, per_core: int = 4) -> DataFrame:
     """df in at most `per_core` parts a core of the cluster: for narrow rows, whose files would be tiny otherwise."""
     return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
@@ -34,15 +40,15 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], size: str,
     bucket must follow the wanted order in coarse steps, so that no task has to hold a whole group: sums within
     a bucket, and sums over buckets (one row each), are two windows.
     """
-    b, inner = f"__{out}_bucket", f"__{out}_inner"
+    b, inner, total, base = free_names(df, f"_{out}_bucket", f"_{out}_inner", f"_{out}_sum", f"_{out}_base")
     df = df.withColumn(b, bucket)
     keys = [F.col(c) for c in [*group, b]]
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys).agg(F.sum(size).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    sums = df.groupBy(*keys).agg(F.sum(size).alias(total)).withColumn(base, F.coalesce(F.sum(total).over(before), F.lit(0)))
     left = df.withColumn(inner, F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, b]]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    joined = left.alias("l").join(sums.select(*group, b, "__base").alias("r"), cond, "left")
-    return joined.select("l.*", F.col("__base").alias("__base")).withColumn(out, F.col(inner) + F.col("__base")).drop(b, inner, "__base")
+    joined = left.alias("l").join(sums.select(*group, b, base).alias("r"), cond, "left")
+    return joined.select("l.*", F.col(base)).withColumn(out, F.col(inner) + F.col(base)).drop(b, inner, base)

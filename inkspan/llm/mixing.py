@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sum, table, written
+from .common import WORD, free_names, running_sum, table, written
 
 #: The golden ratio's fractional part; slot i of the schedule lies at the fractional part of (i + 0.5) * GOLDEN.
 GOLDEN = 0.6180339887498949
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     targets = written(with_blocks(source_targets(d, weights, share, most), block, least), "mix-targets")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     small = d.withColumn("__h", order)
-    # hash prefixes as buckets: their number follows the input (256 * 16 a source at least)
+    # hash prefixes as buckets: 4096 to a source, each sorted by itself
     placed = running_sum(small, ["source"], [F.col("__h"), F.col("doc_id"), F.col("size")], "size", "start", F.substring("__h", 1, 3))
     placed = placed.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.start", "t.source_size", "t.position", "t.target", "t.n_blocks")
     # block b holds words floor(b * source_size / n_blocks) up to the next block's; the last word's block: see below
@@ -106,10 +106,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     Only the documents at the edge of a source's last blocks are taken in part, so rounding moves a source by less than
     a document or two. Documents without words go. Repeated rows (equal doc_id and text) are counted together.
     """
-    copies = mix(docs, **settings).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("__copies"))
-    d = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(copies.where("__copies > 0"), F.col("__key") == F.col("key"))
-    d = d.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))).where("__nth = 1")
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    copies = mix(docs, **settings).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"))
+    key, nth, copy, own = free_names(docs, "_key", "_nth", "_copy", "_copies")
+    copies = copies.where("copies > 0").withColumnsRenamed({"key": f"{key}_of", "copies": own})
+    d = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(copies, F.col(key) == F.col(f"{key}_of"))
+    d = d.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))).where(F.col(nth) == 1)
+    return d.withColumn(copy, F.explode(F.sequence(F.lit(1), own))).select(*docs.columns)
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
