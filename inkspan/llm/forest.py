@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -95,10 +95,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64,
     each pair of blocks is one bounded group that builds its forest and returns k rows for each query, and the best k
     of all blocks are kept. A query's candidates in a block are at least share * rows and k of each range of lengths,
     each row counted once and the query's own not at all (all, if fewer): on directionless data few don't reach a
-    recall of 0.9, as nearby angles differ little from others. Every row is indexed. Candidates are ranked by the exact inner product in double precision, ties to the smaller vec_id; copies
-    of a vector share all strings, so they are found together.
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or another
-    length than most. Repeated ids: each row is a candidate, but for a query's own id. Fewer candidates: all of them.
+    recall of 0.9, as nearby angles differ little from others. Every row is indexed. Candidates are ranked by the exact inner product in double
+    precision, ties to the smaller vec_id; copies of a vector share all strings, so they are found together.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of each length
+    are searched by themselves. Repeated ids: each row is a candidate, but for a query's own id. Fewer candidates: all of them.
     """
     def usable(df: DataFrame, name: str) -> DataFrame:
         e = F.col("embedding")
@@ -140,9 +140,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64,
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
     met = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
-    # bounded: k rows from each block of vectors
-    best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    # a task keeps the best k of a query of what it has before anything is shuffled, and ranks are streamed
+    nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
