@@ -58,6 +58,23 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_instruction_data(spark):
+    """Prompts bear no loss; each of the three limits binds somewhere; nothing is lost."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["ask"] * int(rng.integers(0, 40))) or None, " ".join(["say"] * int(rng.integers(0, 60)))) for i in range(300)] + [(300, "ask " * 500, "say " * 500), (301, None, None)]
+    limits = packing.Limits(64, 3, 24)
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, question string, text string").repartition(2), limits=limits, prompt="question").collect()
+    seq = {}
+    for r in out:
+        seq.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss for r in s)) for s in seq.values()]
+    assert all(t <= 64 and k <= 3 and x <= 24 for t, k, x in sums) and {64} <= {t for t, _, _ in sums} and {3} <= {k for _, k, _ in sums} and {24} <= {x for _, _, x in sums}
+    for i, q, a in rows:
+        own = sorted((r.start, r.length, r.loss) for r in out if r.doc_id == i)
+        n, m = len(ids_of(q)), len(ids_of(a)) + 1
+        assert [s for s, _, _ in own] == np.cumsum([0, *(k for _, k, _ in own)])[:-1].tolist() and sum(k for _, k, _ in own) == n + m and sum(x for _, _, x in own) == m
+
+
 def test_packer_limits():
     p = packing.VectorPacker(packing.Limits(10, 2, 6), cut=False)
     for k, (n, loss) in enumerate([(5, 5), (5, 1), (3, 3), (2, 0), (1, 1)]):
@@ -414,3 +431,162 @@ def test_likeness_of_long_repetitive_texts(spark):
     less = d.select("n", multiset.combine(F.col("f_whole"), F.col("f_cut"), -1).alias("x"), multiset.combine(F.col("f_cut"), F.col("f_whole"), -1).alias("y"), "f_whole", "f_cut")
     back = less.select(multiset.combine(F.col("x"), F.col("f_cut")).alias("x"), multiset.combine(F.col("y"), F.col("f_whole")).alias("y"), "f_whole", "f_cut").collect()
     assert all(f(r.x) == f(r.f_whole) and f(r.y) == f(r.f_cut) for r in back)
+
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1": "doc_id held_out score predicted", "op2": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op3": "doc_id text", "op4": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op6": "doc_id n_bytes n_removed n_spans kept_sha256", "op7": "doc_id fingerprint component_id", "op8": "query_id rank vec_id score",
+    "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id size source_size target taken",
+}
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    """Every registered query on the smallest tables, collected once."""
+    from inkspan.llm.registry import QUERIES
+
+    return {name.split("_")[0]: q(spark, SF).collect() for name, q in QUERIES.items()}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return sorted((r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+def test_columns_of_all_queries(results, corpus):
+    for op, columns in COLUMNS.items():
+        assert set(columns.split()) <= set(results[op][0].asDict()), op
+        if op not in ("op2", "op4", "op8"):
+            assert sorted(r.doc_id for r in results[op]) == [i for i, _, _ in corpus], op
+    assert results["pipeline"]
+
+
+def test_quality_query(results, spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [r for r in results["op1"] if r.held_out and r.doc_id in labels]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in results["op1"])
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held) > 0
+
+
+def test_chat_query(results, spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    convs = {-1: [(0, "user", said), (1, "assistant", said)]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        convs.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    want = set()
+    for c, turns in convs.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        want.add((c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    assert {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in results["op2"]} == want
+
+
+def test_fingerprint_query(results, corpus):
+    order = corpus[::-1]
+    by = {}
+    for k, (i, t, _) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        by[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited)
+    prints = {}
+    for r in results["op5"]:
+        assert (r.n_chars, r.edited_sha256) == by[r.doc_id][:2] and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        for text, fp in ((by[r.doc_id][2], r.fingerprint), (by[r.doc_id][3], r.edited_fingerprint)):
+            prints.setdefault("\n".join(sorted(text.split("\n"))), set()).add(fp)
+    assert all(len(v) == 1 for v in prints.values()) and len({min(v) for v in prints.values()}) == len(prints)
+
+
+def test_packing_and_token_queries(results, corpus):
+    ids = {i: [*ids_of(t)] for i, t, _ in corpus}
+    pieces = {}
+    for r in results["op4"]:
+        own = [*ids[r.doc_id], 1]
+        assert r.doc_tokens == len(own) and crc(own[r.start : r.start + r.length]) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, _, _ in corpus:
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at
+            at += length
+        assert at == len(ids[i]) + 1
+    start = 0
+    for r in sorted(results["op9"], key=lambda r: r.doc_id):
+        own = [*ids[r.doc_id], 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(own), crc(own))
+        start += len(own)
+
+
+def test_mixing_query_against_sql(results):
+    """Sizes and totals in SQL; targets by filling the sources up to their caps step by step."""
+    import duckdb
+
+    sql = f"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size FROM '{SF}/documents.parquet')
+        SELECT doc_id, size, cast(sum(size) OVER (PARTITION BY source) AS bigint), source FROM d"""
+    rows = duckdb.sql(sql).fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size) for r in results["op10"]) == sorted(r[:3] for r in rows)
+    total = {s: n for _, _, n, s in rows}
+    target = _targets(total)
+    source = {i: s for i, _, _, s in rows}
+    taken = dict.fromkeys(total, 0)
+    for r in results["op10"]:
+        assert abs(r.target - target[source[r.doc_id]]) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - target[s]) <= max(50, 0.01 * target[s]) for s in total)
+
+
+def _targets(total):
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(total.values()), set(order), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] >= 2 * total[s]}
+        if not full:
+            return target | share
+        for s in full:
+            target[s] = 2 * total[s]
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+def test_targets_stop_at_their_caps(spark):
+    """Small sources with large weights are capped, and what is over goes to the others by weight."""
+    rows = [(f"s{k}", n) for k, n in enumerate((10, 1000, 5000, 3, 700, 20, 0))] + [(None, 40)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    want = _targets(dict(rows))
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 for s in want) and abs(sum(got.values()) - 1.5 * sum(n for _, n in rows)) < 1e-6
+    assert got["s0"] == 20 and got["s3"] == 6
+
+
+def test_repeats_query(results, corpus):
+    from collections import Counter
+
+    texts = {i: t.encode() for i, t, _ in corpus}
+    c = Counter(b[s : s + 200] for b in texts.values() for s in range(len(b) - 199))
+    for r in results["op6"]:
+        b = texts[r.doc_id]
+        m = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - 199):
+            if c[b[s : s + 200]] > 1:
+                m[s : s + 200] = True
+        kept = bytes(x for x, q in zip(b, m) if not q)
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(m.sum()), int((m[1:] < m[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_search_query(results, spark):
+    v = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r.embedding is not None}
+    ids = np.array(sorted(v))
+    x = np.stack([v[i] for i in ids])
+    hit = n = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ v[q]
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]]
+        own = sorted((r.rank, r.vec_id) for r in results["op8"] if r.query_id == q)
+        assert [k for k, _ in own] == list(range(1, min(20, len(ids) - 1) + 1))
+        hit += len({i for _, i in own} & set(best.tolist()))
+        n += len(best)
+    assert hit >= 0.9 * n
