@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 #: 8 lanes modulo 2**32 for equality, and 128 counters of 32 bits (2 to a long) for likeness.
 LANES, FIELDS = 8, 32
@@ -21,7 +21,8 @@ def with_multiset(df: DataFrame, text: str, out: str) -> DataFrame:
     its own vector. Counters: each clause of a paragraph (between line ends and marks) has a vector of 128 bits, summed;
     no text has 2**32 clauses. n counts clauses. Null: as the empty text. The hashes are columns of their own, so each is computed once.
     """
-    t, d, h = F.coalesce(F.col(text), F.lit("")), f"__{out}_digests", (f"__{out}_h0", f"__{out}_h1")
+    d, *h = free_names(df, f"_{out}_digests", f"_{out}_h0", f"_{out}_h1")
+    t = F.coalesce(F.col(text), F.lit(""))
     clauses = F.filter(F.split(t, r"[\n.,!?;:|]+\s*"), lambda x: x != "")
     df = df.withColumn(d, F.transform(F.split(t, "\n"), lambda p: F.sha2(p.cast("binary"), 256)))
     df = df.withColumn(h[0], F.transform(clauses, lambda x: F.xxhash64(x))).withColumn(h[1], F.transform(h[0], lambda x: F.xxhash64(x, F.lit(1))))
@@ -66,12 +67,14 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
     vectors, an estimate of the share of clauses in common; equal fingerprints: 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     used = sorted({c for p in pairs.values() for c in p})
-    df = df.select("*", *[_signed(F.col(c)).alias(f"__s_{c}") for c in used])
-    df = df.select("*", *[dot(f"__s_{c}", f"__s_{c}").alias(f"__q_{c}") for c in used])
+    sums = dict(zip(used, free_names(df, *[f"_s_{c}" for c in used])))
+    squares = dict(zip(used, free_names(df, *[f"_q_{c}" for c in used])))
+    df = df.select("*", *[_signed(F.col(c)).alias(sums[c]) for c in used])
+    df = df.select("*", *[dot(sums[c], sums[c]).alias(squares[c]) for c in used])
     for name, (a, b) in pairs.items():
-        size = F.sqrt(F.col(f"__q_{a}") * F.col(f"__q_{b}"))
-        df = df.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(f"__s_{a}", f"__s_{b}") / size))).otherwise(0.0))
-    return df.drop(*[f"__{k}_{c}" for k in "sq" for c in used])
+        size = F.sqrt(F.col(squares[a]) * F.col(squares[b]))
+        df = df.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(sums[a], sums[b]) / size))).otherwise(0.0))
+    return df.drop(*sums.values(), *squares.values())
 
 
 def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 4096, steps: int = 256) -> DataFrame:
@@ -85,8 +88,7 @@ def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 4096, steps
     edges = sorted({x for x in [r.lo, *(r.q or []), r.hi] if x is not None}) or [0]
     within = max(1, -(-r.n // (per_bucket * steps)))
     marks = F.array(*[F.lit(x).cast("long") for x in edges])
-    names = {c.lower() for c in docs.columns}
-    bucket, lead, rank, head_, for_ = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("bucket", "lead", "rank", "head", "for"))
+    bucket, lead, rank, head_, for_ = free_names(docs, "_bucket", "_lead", "_rank", "_head", "_for")
     step = F.greatest(F.size(F.filter(marks, lambda x: x <= F.col("doc_id"))), F.lit(1))
     low, high = F.element_at(marks, step).cast("double"), F.element_at(marks, F.least(step + 1, F.lit(len(edges)))).cast("double")
     part = F.least(F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * within), F.lit(within - 1))

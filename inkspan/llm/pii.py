@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import free_names, table, written
 
 #: A word of a name. Patterns here are possessive or bounded: no text is held on the stack or tried again from its middle.
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}[\p{Ll}\p{M}]++)?+"
@@ -167,9 +167,8 @@ def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     Null text: null, 0 entities. Repeated rows: alike. An own column n_entities gives way. Empty table: no rows.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
-    names = {c.lower() for c in kept}
-    md5, found, map_, given, family = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("md5", "found", "map", "given", "family"))
     d = docs.select(*kept)
+    md5, found, map_, given, family = free_names(d, "_md5", "_found", "_map", "_given", "_family")
     with_any = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
     rows = d.where(F.col("text").rlike(_HINT)).withColumn(found, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size(found) > 0)
     rows = written(rows.withColumn(found, F.transform(found, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("v")))).withColumn(md5, F.md5(F.col("text").cast("binary"))), "pii-rows")

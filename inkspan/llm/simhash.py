@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import few_parts, table, written
+from .common import few_parts, free_names, table, written
 from .components import components
 from .tokens import slices
 
@@ -335,8 +335,7 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are one node.
     Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
-    names = {c.lower() for c in docs.columns}
-    node, keys, bits, hashes, row = (next(x for x in (f"_{n}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for n in ("node", "keys", "bits", "hashes", "row"))
+    node, keys, bits, hashes, row = free_names(docs, "_node", "_keys", "_bits", "_hashes", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -433,6 +433,38 @@ def test_likeness_of_long_repetitive_texts(spark):
     assert all(f(r.x) == f(r.f_whole) and f(r.y) == f(r.f_cut) for r in back)
 
 
+EXTRA = "fp long, key long, size string, rank int, n string, _row int, _bucket int, _own_digests int, _key int, first string, score string, conv string"
+
+
+def test_long_texts_empty_tables_and_extra_columns(spark):
+    """Every operator on long unbroken texts, on no rows, and beside columns named as its own."""
+    texts = ["x" * 300_000, "é" * 100_000, " " * 100_000, "a b " * 30_000, "\n" * 50_000, None, ""]
+    d = spark.createDataFrame([(i, t, "s", *[None] * 12) for i, t in enumerate(texts)], f"doc_id long, text string, source string, {EXTRA}")
+    turns = d.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), "text", "rank", "n", "first")
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0], 0, "r") for i in range(7)], "vec_id long, embedding array<double>, rank int, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+
+    def marked(x):
+        x = multiset.with_multiset(multiset.with_next(x, ["text"]), "text", "own")
+        return multiset.with_likeness(x, {"near": ("own", "own")})
+
+    for x, n in ((d, 7), (d.where("false"), 0)):
+        assert quality.score_quality(x, quality.fit_quality(x, labels)).count() == n
+        assert chat.read_windows(chat.format_windows(turns.limit(n))).count() == n
+        assert pii.replace_pii(x).count() == n and pii.replace_pii(x).columns == [*d.columns, "n_entities"]
+        packed = packing.pack_documents(x).collect()
+        assert len({r.doc_id for r in packed}) == n and sum(r.length for r in packed) == sum(len(ids_of(t)) + 1 for t in texts[:n])
+        assert marked(x).count() == n and marked(x).columns == [*d.columns, "next", "own", "near"]
+        assert substrings.remove_repeats(x).count() == n
+        assert simhash.near_duplicates(x).count() == n and simhash.one_of_each(x).columns == d.columns
+        path = scratch(spark, "t")
+        assert token_output.read_token_files(token_output.write_token_files(x, path), path).count() == n
+        assert mixing.mix(x).count() == n and mixing.mixed(x).columns == d.columns
+        v = vectors.limit(n)
+        assert forest.search(v, v, k=3).count() == 3 * n
+    assert {r.doc_id for r in simhash.one_of_each(d).collect()} >= {0, 1, 2, 3} and len(simhash.one_of_each(d).collect()) == 4
+
+
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1": "doc_id held_out score predicted", "op2": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op3": "doc_id text", "op4": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
