@@ -157,7 +157,7 @@ def write_archive_set(spark: SparkSession, source: str, out: str, limit: int | N
     .unsupported.tsv under out. limit: so many written records per archive at most. Returns the manifest rows."""
     raw = read_archives(spark, source, limit)
     # archives are few and large: their records are dealt out, so that parsing doesn't wait for the largest archive
-    raw = raw.repartition(max(spark.sparkContext.defaultParallelism, 2 * raw.rdd.getNumPartitions()))
+    raw = raw.repartition(4 * spark.sparkContext.defaultParallelism)
     keyed = raw.withColumn("doc_kind", C.doc_kind(F.col("source_file"))).withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal")))
     parsed = parse(keyed, keep=["shard", "source_file", "ordinal", "doc_kind", "doc_key", "error"], groups=tuple({"biblio": 0} | dict.fromkeys(project.groups_of(template))))
     if limit is not None:
