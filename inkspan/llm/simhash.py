@@ -360,8 +360,11 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     blocks = nodes.select("node", F.col("first.row").alias("at")).join(alone, "at").select("node", "s", F.explode("keys").alias("key"), F.xxhash64(F.slice("keys", 1, 4)).alias("near"))
     dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
     edges = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")), "near-copies-edges", narrow=True)
-    sets = nodes.select("node", F.col("first.row").alias("at")).join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("node", "set")
     open_ = edges.where(F.col("d") > sure).select("a", "b")
+    # sets of the nodes in question only, so that no others go through the joins of the pairs
+    asked = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
+    sets = nodes.join(asked, "node").select("node", F.col("first.row").alias("at")).join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("node", "set")
+    sets = written(sets, "near-copies-sets")
     pairs = open_.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
