@@ -494,11 +494,16 @@ def test_columns_of_all_queries(results, corpus):
     assert results["pipeline"]
 
 
-def test_quality_query(results, spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    held = [r for r in results["op1"] if r.held_out and r.doc_id in labels]
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in results["op1"])
-    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held) > 0
+def test_quality_query(results):
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in results["op1"])
+
+
+def test_quality_on_held_out_labels(spark):
+    """On the next larger tables: the smallest hold out 19 labels only, too few for a share."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in quality.op1_nb_svm_quality(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
 def test_chat_query(results, spark):
