@@ -9,12 +9,26 @@ from .forest import op8_hash_prefix_forest
 from .mixing import op10_source_schedule
 from .multiset import op5_multiset_fingerprints
 from .packing import op4_vector_packing
+from .pieces import op13_score_agenda_pieces
 from .pii import op3_pii_surrogates
 from .quality import op1_nb_svm_quality
 from .simhash import op7_simhash_near_dedup
 from .substrings import op6_repeated_substrings
 from .token_output import op9_bit_plane_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_chat_windows, op3_pii_surrogates, op4_vector_packing, op5_multiset_fingerprints, op6_repeated_substrings, op7_simhash_near_dedup, op8_hash_prefix_forest, op9_bit_plane_token_ids, op10_source_schedule)}
+_OPERATORS = (
+    op1_nb_svm_quality,
+    op2_chat_windows,
+    op3_pii_surrogates,
+    op4_vector_packing,
+    op5_multiset_fingerprints,
+    op6_repeated_substrings,
+    op7_simhash_near_dedup,
+    op8_hash_prefix_forest,
+    op9_bit_plane_token_ids,
+    op10_source_schedule,
+    op13_score_agenda_pieces,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
