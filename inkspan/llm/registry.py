@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat import op2_chat_windows
 from .forest import op8_hash_prefix_forest
+from .merkle import MERKLE_SQL, op11_merkle_manifest
 from .mixing import op10_source_schedule
 from .multiset import op5_multiset_fingerprints
 from .packing import op4_vector_packing
@@ -27,8 +28,9 @@ _OPERATORS = (
     op8_hash_prefix_forest,
     op9_bit_plane_token_ids,
     op10_source_schedule,
+    op11_merkle_manifest,
     op13_score_agenda_pieces,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
