@@ -29,8 +29,11 @@ def few_parts(df: DataFrame, per_core: int = 4) -> DataFrame:
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors. narrow: rows of
     a few numbers, written as few_parts()."""
-    path = scratch(df.sparkSession, name)
-    (few_parts(df) if narrow else df).write.parquet(path)
+    return written_at(few_parts(df) if narrow else df, scratch(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +55,9 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], size: str,
         cond = cond & c
     joined = left.alias("l").join(sums.select(*group, b, base).alias("r"), cond, "left")
     return joined.select("l.*", F.col(base)).withColumn(out, F.col(inner) + F.col(base)).drop(b, inner, base)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table of written_at() that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .chat import op2_chat_windows
+from .exponion import CODES_SQL, op12_exponion_codes
 from .forest import op8_hash_prefix_forest
 from .merkle import MERKLE_SQL, op11_merkle_manifest
 from .mixing import op10_source_schedule
@@ -29,8 +30,9 @@ _OPERATORS = (
     op9_bit_plane_token_ids,
     op10_source_schedule,
     op11_merkle_manifest,
+    op12_exponion_codes,
     op13_score_agenda_pieces,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL, "op12_exponion_codes": CODES_SQL}
