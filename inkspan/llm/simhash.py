@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -265,10 +265,36 @@ def spanning_edges(fp: np.ndarray, loose: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; two empty ones: 1."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def exact_links(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of positions of distinct values whose Jaccard similarity is `least` or more, enough to connect all whom such
+    pairs with one of `asking` (positions) connect beyond what equal labels connect already. A position is compared with
+    those only that are not connected with it yet, by counting the bits of the values that two sets at least have."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    _, of, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    of = np.where(shared[of], (np.cumsum(shared) - 1)[of], -1)
+    width = -(-int(shared.sum()) // 64) * 8
+    bits = np.zeros((n, width), np.uint8)
+    for k, (end, m) in enumerate(zip(np.cumsum(size).tolist(), size.tolist())):
+        own = of[end - m : end]
+        row = np.zeros(width * 8, bool)
+        row[own[own >= 0]] = True
+        bits[k] = np.packbits(row)
+    words = bits.view(np.uint64)
+    labels, out = labels.copy(), []
+    for x in asking.tolist():
+        rest = np.flatnonzero((labels != labels[x]) & (size >= least * size[x] - 1e-9) & (least * size <= size[x] + 1e-9))
+        for i in range(0, len(rest), 1024):
+            at = rest[i : i + 1024]
+            both = np.bitwise_count(words[at] & words[x]).sum(1, dtype=np.int64)
+            near = at[both >= (least - 1e-9) * (size[at] + size[x] - both)]
+            for y in near[np.unique(labels[near], return_index=True)[1]].tolist():
+                if labels[y] != labels[x]:
+                    out.append((x, y))
+                    labels[labels == labels[y]] = labels[x]
+    return out
 
 
 def central(fp: np.ndarray, n: int) -> np.ndarray:
@@ -296,17 +322,16 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> I
         ends = np.append(starts[1:], len(k))
         two = starts[ends - starts == 2]
         d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64)
-        a, b, w = [two[d <= loose]], [two[d <= loose] + 1], [d[d <= loose]]
+        a, b = [two[d <= loose]], [two[d <= loose] + 1]
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
             hubs = s + central(fp[s:e], HUBS) if e - s > most else np.zeros(0, np.int64)
             for c in range(s, e, most):
                 rows = np.union1d(np.arange(c, min(e, c + most)), hubs)
                 if found := spanning_edges(fp[rows], loose):
-                    x, y, z = np.array(found).T
-                    a.append(rows[x]), b.append(rows[y]), w.append(z)
-        a, b, w = (np.concatenate(x) for x in (a, b, w))
-        p, q = node[a], node[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(w.astype(np.int32))], ["a", "b", "d"])
+                    x, y, _ = np.array(found).T
+                    a.append(rows[x]), b.append(rows[y])
+        a, b = (np.concatenate(x) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -322,18 +347,92 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> I
         yield linked(rest)
 
 
-def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int = 112, sure: int = 46, most: int = 4096) -> DataFrame:
+#: A group of near copies is searched by one task up to so many texts and so many bytes of their sets; a larger one in portions
+#: of that size, each with HUBS common texts of the group.
+PORTION, PORTION_BYTES = 2048, 4 << 20
+
+
+def _links_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, node, set, label, asks) sorted by keys: exact_links of each run of equal keys."""
+    held: list[pa.Table] = []
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        node = t.column("node").to_numpy()
+        node, first = np.unique(node, return_index=True)  # a hub may be in its own portion, too
+        sets = [np.frombuffer(x, np.uint32) for x in t.column("set").take(pa.array(first)).to_pylist()]
+        label, asks = t.column("label").to_numpy()[first], t.column("asks").to_numpy(zero_copy_only=False)
+        asking = np.flatnonzero(np.isin(node, t.column("node").to_numpy()[asks]))
+        a, b = np.array(exact_links(sets, label, asking, least), np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        k = np.stack([t.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)] if len(k) else [0]
+        for s, e in zip(cuts, cuts[1:]):
+            run = t.slice(s, e - s)
+            if held and [held[0].column(c)[0].as_py() for c in keys] != k[s].tolist():
+                yield links(pa.concat_tables(held))
+                held.clear()
+            held.append(run)
+    if held:
+        yield links(pa.concat_tables(held))
+
+
+def verified_links(sets: DataFrame, least: float) -> DataFrame:
+    """sets (root, node, set): edges (a, b) of a Jaccard similarity of `least` and more, which connect all whom such pairs
+    within a root connect.
+
+    A root of up to PORTION texts is one task's work. A larger one is first searched in portions, dealt by hash, with HUBS
+    common texts in each. Where that leaves more than one component, all texts outside the largest one are compared with
+    all of the root, block by block; so nothing is missed, and a family that hangs together costs no more than its portions."""
+    work = lambda d, keys: d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _links_of_groups(b, keys, least), "a long, b long")
+    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"))
+    of = lambda n, b: F.greatest(F.ceil(n / PORTION), F.ceil(b / PORTION_BYTES)).cast("int")
+    large = written(size.select("root", of(F.col("n"), F.col("bytes")).alias("portions")).where("portions > 1"), "near-copies-large", narrow=True)
+    as_own = [F.col("node").alias("label"), F.lit(True).alias("asks")]
+    if large.isEmpty():
+        return work(sets.select("root", F.lit(0).alias("part"), "node", "set", *as_own), ["root", "part"])
+    small = sets.join(large, "root", "left_anti").select("root", F.lit(0).alias("part"), "node", "set", *as_own)
+    crowd = written(sets.join(large, "root").withColumn("hash", F.xxhash64("node")), "near-copies-crowd")
+    own = F.pmod("hash", F.col("portions")).cast("int")
+    hubs = _smallest(crowd, HUBS).join(crowd, ["root", "hash"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    parts = small.unionByName(crowd.select("root", own.alias("part"), "node", "set", *as_own)).unionByName(hubs.select("root", "part", "node", "set", *as_own))
+    links = written(work(parts, ["root", "part"]), "near-copies-links", narrow=True)
+    # what the portions have left apart
+    so_far = components(links, "near-copies-portions").select("node", F.col("root").alias("label"))
+    named = written(crowd.select("root", "node", "portions", "hash", F.length("set").alias("bytes")).join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-copies-named", narrow=True)
+    most = named.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    apart = named.join(most, "root").where("label <> most").groupBy("root").agg(F.first("most").alias("most"), of(F.count("*"), F.sum("bytes")).alias("blocks"))
+    apart = written(apart, "near-copies-apart", narrow=True)
+    if apart.isEmpty():
+        return links
+    told = crowd.select("root", "node", "set", "portions", "hash").join(named.select("node", "label"), "node").join(apart, "root")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = told.select("root", own.alias("part"), cells("blocks").alias("block"), "node", "set", "label", F.lit(False).alias("asks"))
+    block = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
+    left = told.where("label <> most").select("root", cells("portions").alias("part"), block.alias("block"), "node", "set", "label", F.lit(True).alias("asks"))
+    return links.unionByName(work(left.unionByName(right), ["root", "part", "block"]))
+
+
+def _smallest(crowd: DataFrame, n: int) -> DataFrame:
+    """root, hash: the n smallest hashes of each root, first within each part of the input, so that no root meets in one task."""
+    w = Window.partitionBy("root", "salt").orderBy("hash")
+    some = crowd.select("root", "hash", F.pmod(F.shiftright("hash", 20), F.col("portions")).alias("salt")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    return some.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("hash"))).where(F.col("k") <= n).select("root", "hash")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int = 112, most: int = 4096) -> DataFrame:
     """docs without near copies: of each group, the row with the smallest doc_id stays. Columns as in docs.
 
-    Groups are the components of the links between sets of distinct `width`-word shingles of a Jaccard similarity of
-    `least` (0.8) and more. Rows that share a block key (BANDS of ROWS min-hashes) are compared by their 512-bit SimHash: a
-    minimum spanning forest of each bucket, up to `loose` differing bits. At a similarity s, the share of differing bits
-    is arccos(2s / (1 + s)) / pi: 77 of 512 at 0.8, with a deviation of 8. Pairs with `sure` bits and fewer are links, those
-    between are links if the exact similarity of their sets (of 32-bit hashes) says so, and no set meets more than one
-    other at a time. Whoever is linked at a limit is linked by edges under that limit, so a link that isn't an edge itself
-    is mostly made up of edges that are; 32 buckets make up for most that aren't. Crowded buckets are spread over tasks by
-    ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are one node.
-    Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
+    Groups are the components of the links between sets of distinct `width`-word shingles (as 32-bit hashes) of a Jaccard
+    similarity of `least` (0.8) and more. Candidates first: rows that share a block key (BANDS of ROWS min-hashes) are compared
+    by their 512-bit SimHash, in a minimum spanning forest of each bucket up to `loose` differing bits. At a similarity s,
+    the share of differing bits is arccos(2s / (1 + s)) / pi: 77 of 512 at 0.8, with a deviation of 8, 112 at 0.63. What such
+    a forest connects is a family; texts that are linked are in one family, whether or not the forest has their edge.
+    The sets of a family then meet, and only exact similarities make links (verified_links). Crowded buckets are spread over
+    tasks by ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are
+    one node. Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
     node, keys, bits, hashes, row = free_names(docs, "_node", "_keys", "_bits", "_hashes", "_row")
 
@@ -359,22 +458,13 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     alone = rows.select(F.col(row).alias("at"), F.col(keys).alias("keys"), F.col(bits).alias("s"))
     blocks = nodes.select("node", F.col("first.row").alias("at")).join(alone, "at").select("node", "s", F.explode("keys").alias("key"), F.xxhash64(F.slice("keys", 1, 4)).alias("near"))
     dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
-    edges = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")), "near-copies-edges", narrow=True)
-    open_ = edges.where(F.col("d") > sure).select("a", "b")
-    # sets of the nodes in question only, so that no others go through the joins of the pairs
-    asked = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-    sets = nodes.join(asked, "node").select("node", F.col("first.row").alias("at")).join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("node", "set")
-    sets = written(sets, "near-copies-sets")
-    pairs = open_.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
-            ok = np.array([jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least - 1e-9 for p, q in zip(x, y)], bool)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-    links = edges.where(F.col("d") <= sure).select("a", "b").unionByName(pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
-    comp = components(links, "near-copies")
+    edges = dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long")
+    families = written(components(edges, "near-copies-families"), "near-copies-family", narrow=True)
+    members = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+    # sets of families only, each once
+    asked = nodes.select("node", F.col("first.row").alias("at")).join(members, "node")
+    sets = written(asked.join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("root", "node", "set"), "near-copies-sets")
+    comp = components(verified_links(sets, least), "near-copies")
     grouped = nodes.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.row").alias(row))
     return rows.join(stay, row, "left_semi").select(*docs.columns)
