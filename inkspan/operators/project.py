@@ -20,14 +20,18 @@ def priority_date() -> Column:
     return F.array_min(F.filter(F.transform("priority", lambda e: F.nullif(e["parent_date"], F.lit(""))), lambda d: d.isNotNull()))
 
 
+def biblio_columns() -> list[Column]:
+    """The flat analytic row of a parsed record."""
+    return [
+        F.col("source_format"), F.col("country").alias("country_code"), F.col("doc_number"), F.col("kind_code"), *[c.alias(n) for n, c in _numbers().items()],
+        F.col("publication_date"), F.col("filing_date"), F.col("title").alias("invention_title"), F.col("applicants"), F.col("assignees"), F.col("inventors"),
+        F.col("ipc").alias("ipc_classifications"), F.col("us").alias("us_classifications"), priority_date().alias("priority_date"),
+    ]
+
+
 def biblio(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """The flat analytic row of each parsed record."""
-    ok = parsed.where("error_kind IS NULL")
-    return ok.select(
-        *keys, "source_format", F.col("country").alias("country_code"), "doc_number", "kind_code", *[c.alias(n) for n, c in _numbers().items()],
-        "publication_date", "filing_date", F.col("title").alias("invention_title"), "applicants", "assignees", "inventors",
-        F.col("ipc").alias("ipc_classifications"), F.col("us").alias("us_classifications"), priority_date().alias("priority_date"),
-    )
+    return parsed.where("error_kind IS NULL").select(*keys, *biblio_columns())
 
 
 def claims(parsed: DataFrame, keys: list[str]) -> DataFrame:

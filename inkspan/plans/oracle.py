@@ -112,6 +112,13 @@ for _c, _b in ((8, "\\u0008"), (9, "\\t"), (10, "\\n"), (12, "\\u000c"), (13, "\
 _LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')"
 _BUCKETS = "[['summary', 'section'], ['summary', 'heading']]"
 
+#: The archives: records that are skipped apart, tagged text apart, the others by doc_id; equal names keep their folders.
+_APART = "m = 5 AND turn % 5 < 4 AND (doc_id // 30) % 2 = 0"
+_ZIPS = f"""z AS (SELECT *, CASE WHEN {_APART} THEN 'odd' ELSE 'week' || (doc_id // 4) % 2 END AS folder,
+    CASE WHEN {_APART} THEN 'ipgskipped' ELSE CASE WHEN m = 4 THEN 'pftaps' ELSE 'ipg' END || doc_id % 4 END AS stem FROM d),
+named AS (SELECT stem, count(DISTINCT folder) AS folders FROM z GROUP BY ALL),
+y AS (SELECT z.*, CASE WHEN folders > 1 THEN folder || '/' || stem ELSE stem END AS shard FROM z JOIN named USING (stem))"""
+
 ORACLE = {
     "formats": _sql(f"SELECT doc_id, {_FORMAT} AS source_format, {_ERROR} AS error_kind FROM d"),
     "page_formats": "SELECT 'UnsupportedRoot' AS error_kind, 'html' AS error_msg, count(*) AS pages FROM pages",
@@ -149,6 +156,10 @@ ORACLE = {
         || list_transform(rest, lambda x, i: CASE WHEN i < 3 THEN 'BSUM/PAR' ELSE 'DETD/PAR' END) || list_transform(said, lambda x: 'CLMS/NUM') || list_transform(said, lambda x: 'CLMS/PAR') || list_transform(said, lambda x: 'CLMS/PA1')) AS what FROM d WHERE m = 4), LATERAL (SELECT split_part(what, '/', 1) AS section, split_part(what, '/', 2) AS tag) GROUP BY ALL"""),
     "shard_roundtrip": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE {_GOOD}"),
     "pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, cast(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS bigint) AS documents_before FROM d WHERE {_GOOD}"),
+    "archive_records": _sql(f""", {_ZIPS} SELECT shard, stem || '.zip' AS source_file, cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS integer) AS ordinal,
+        {_OWN_KEY.replace('cast(doc_id + 1 AS varchar)', 'NULL')} AS doc_key FROM y"""),
+    "archive_set": _sql(f""", {_ZIPS} SELECT *, written AS frames, unsupported AS listed FROM (SELECT shard, stem || '.zip' AS source_file, 'grant' AS doc_kind, {_SKIPS.format('written', 'supplemental', 'unsupported', 'malformed')} FROM y GROUP BY ALL)
+        UNION ALL SELECT 'ipa' || r_regionkey, 'ipa' || r_regionkey || '.zip', 'application', 0, 0, 0, 0, 0, 0 FROM region"""),
     "by_application_number": _sql(f"SELECT doc_id, {_SERIAL} AS application_number, filed AS other_filed FROM d WHERE m IN (0, 1, 4)"),
     "identifiers": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p || coalesce(nullif(ltrim(n, '0'), ''), '0') AS number, CASE p WHEN 'D' THEN 'S' WHEN 'RE' THEN 'E' WHEN 'PP' THEN NULL ELSE 'B1' END AS kind, CASE WHEN l_linenumber % 2 = 0 THEN cast(l_suppkey AS varchar) ELSE l_suppkey || '7' END AS serial
         FROM (SELECT *, ['', 'D', 'RE', 'PP', 'H'][l_partkey % 5 + 1] AS p, lpad(cast(l_partkey AS varchar), 7, '0') AS n FROM lineitem)""",

@@ -203,6 +203,43 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_pointers(rows, index).select("shard", "doc_key", "patent_number", before.cast("long").alias("documents_before"))
 
 
+def _zipped(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as ZIP archives, with equal names in two folders; some of the records that are skipped are an archive of
+    their own, and each region makes an archive without any record."""
+    path, id_ = scratch(spark, "zips"), F.col("doc_id")
+    apart, tagged_text = (id_ % 6 == 5) & (F.floor(id_ / 6) % 5 < 4) & (F.floor(id_ / 30) % 2 == 0), id_ % 6 == 4
+    name = F.when(apart, "ipgskipped.zip").otherwise(F.concat(F.when(tagged_text, "pftaps").otherwise("ipg"), (id_ % 4).cast("string"), F.lit(".zip")))
+    folder = F.when(apart, "odd").otherwise(F.concat(F.lit("week"), (F.floor(id_ / 4) % 2).cast("string")))
+    # in an archive, a record of XML begins with a declaration
+    bare = ~tagged_text & ~F.col("raw").startswith("<?xml")
+    raw = F.concat(F.when(bare, '<?xml version="1.0"?>').otherwise(""), "raw", F.lit("\n"))
+    entry = F.when(tagged_text, "pftaps.txt").otherwise("all.xml")
+    records = corpus(spark, sf_dir).select(folder.alias("folder"), name.alias("name"), entry.alias("entry"), id_.alias("ordinal"), raw.alias("raw"))
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    key = F.concat(F.lit("ipa"), F.col("r_regionkey").cast("string"), F.lit(".zip"))
+    empty = region.select(F.lit("odd").alias("folder"), key.alias("name"), F.lit("none.xml").alias("entry"), F.lit(0).cast("long").alias("ordinal"), F.col("r_name").alias("raw"))
+    archives.write_archives(records.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(empty), path).count()
+    return path
+
+
+def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of archives by the data source."""
+    r = archives.read_archives(spark, _zipped(spark, sf_dir))
+    return r.select("shard", "source_file", "ordinal", F.nullif(C.doc_key(F.col("raw"), F.lit(-2)), F.lit("-1")).alias("doc_key"))
+
+
+def archive_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written as a set of shards: their manifests, and how much their indexes and lists of unsupported records hold."""
+    out = scratch(spark, "archive-set")
+    m = sinks.write_archive_set(spark, _zipped(spark, sf_dir), out)
+    index = shards.read_index(spark, out).groupBy("shard").agg(F.count("*").alias("frames"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.unsupported.tsv").text(out)
+    place = F.regexp_extract("_metadata.file_path", r"archive-set-[0-9a-f]+/(.*)\.unsupported\.tsv$", 1)
+    listed = lines.groupBy(place.alias("shard")).agg((F.count("*") - 1).alias("listed"))  # less the header
+    some = [F.coalesce(c, F.lit(0)).alias(c) for c in ("frames", "listed")]
+    return m.join(index, "shard", "left").join(listed, "shard", "left").select(*m.columns, *some)
+
+
 def by_application_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = project.biblio(_parsed(spark, sf_dir, "biblio"), ["doc_id"]).select("doc_id", "application_number")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") + 1000000).alias("number"), F.date_format("o_orderdate", "yyyyMMdd").alias("other_filed"))
@@ -264,6 +301,6 @@ def concatenated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     biblio, formats, page_formats, party_names, classifications, priority, priority_dates, claims, claim_counts, abstracts, abstract_blocks, descriptions, description_parts, claim_blocks, frontmatter, markdown, whole_documents, drawings,
-    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, shard_roundtrip, pointers, by_application_number, identifiers, labels_of_applications,
+    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, shard_roundtrip, pointers, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
     entities, blank_lines, decoded_lengths, archive_names, concatenated_titles,
 )}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -82,34 +82,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("error", F.when(F.col("raw").rlike(r"\A\s*+\z"), F.concat(F.lit("empty input '"), "path", F.lit("'")))).orderBy("path")
 
 
-_ARCHIVE = "shard string, source_file string, ordinal int, raw string, error string"
+_ARCHIVE = "path string, shard string, source_file string, ordinal int, raw string, error string"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 5
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    cols = list(zip(*rows)) or [[]] * 6
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _ARCHIVE.split(", ")])
 
 
-def _records(name: str, archive: BinaryIO, limit: int | None) -> Iterator[tuple]:
-    """Rows of one archive. limit: it stops after so many records that can be parsed. What can't be opened: one error row."""
-    shard = name[:-4]
+def _records(known: tuple[str, str, str], archive: BinaryIO, limit: int | None) -> Iterator[tuple]:
+    """Rows of one archive, known as (path, shard, source_file). limit: it stops after so many records that can be parsed.
+    What can't be opened: one error row."""
     try:
         with zipfile.ZipFile(archive) as z:
             entry = next((i.filename for i in z.infolist() if not i.is_dir() and (i.filename.endswith((".xml", ".XML")) or is_aps_name(i.filename))), None)
             if entry is None:
-                yield shard, name, None, None, "No XML entry found in zip"
+                yield *known, None, None, "No XML entry found in zip"
                 return
             good = 0
             with z.open(entry) as f:
                 for k, raw in enumerate(stream_records(f, is_aps_name(entry))):
-                    yield shard, name, k, raw, None
+                    yield *known, k, raw, None
                     if limit is not None:
                         good += _parses(raw)
                         if good >= limit:
                             return
     except (zipfile.BadZipFile, pa.ArrowInvalid, EOFError, OSError, NotImplementedError, RuntimeError) as e:
-        yield shard, name, None, None, f"{type(e).__name__}: {e}"
+        yield *known, None, None, f"{type(e).__name__}: {e}"
 
 
 def _parses(raw: str) -> bool:
@@ -118,11 +118,12 @@ def _parses(raw: str) -> bool:
     return api.is_parsable(raw)
 
 
-def _batched(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for r in rows:
+def archive_batches(known: tuple[str, str, str], archive: BinaryIO, limit: int | None = None, headers: bool = False, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of one archive. headers: the first has neither ordinal nor raw nor error."""
+    held, size = [(*known, None, None, None)] if headers else [], 0
+    for r in _records(known, archive, limit):
         held.append(r)
-        size += len(r[3] or "")
+        size += len(r[4] or "")
         if size > most or len(held) == 200:
             yield _rows(held)
             held, size = [], 0
@@ -130,15 +131,19 @@ def _batched(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBa
         yield _rows(held)
 
 
-def read_archives(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All *.zip files below path: shard, source_file, ordinal, raw, error. FileNotFoundError if there is none.
+def read_archives(spark: SparkSession, path: str, limit: int | None = None, headers: bool = False, only: list[str] | None = None) -> DataFrame:
+    """All *.zip files below path, or `only` those of some shards, as a DataFrame of the format patent_archives; see
+    ArchiveSource. FileNotFoundError if there is none at all."""
+    from .archive_format import ArchiveSource, archive_list, register
 
-    One archive is one task, which opens it by its path and reads it as a stream: neither the archive nor its entry is
-    held. The first entry that is named as XML or tagged text is read, as UTF-8 or else Latin-1. limit: reading stops
-    after so many records of an archive that can be parsed. An archive that can't be opened is a row with an error.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
-    names = sorted(_some(files, ".zip", path).inputFiles())
+    register(spark)
+    archive_list(path)  # FileNotFoundError here, not in a task
+    given = {"headers": str(headers).lower(), "limit": limit, "only": None if only is None else json.dumps(only)}
+    return spark.read.format(ArchiveSource.name()).options(**{k: v for k, v in given.items() if v is not None}).load(path)
+
+
+def open_archives(paths: DataFrame, headers: bool = False) -> DataFrame:
+    """paths (path): the records of these archives. Equal names are kept apart by their paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from urllib.parse import unquote
@@ -149,22 +154,49 @@ def read_archives(spark: SparkSession, path: str, limit: int | None = None) -> D
             for p in b.column("path").to_pylist():
                 store, place = fs.FileSystem.from_uri(p)
                 place = place if store.get_file_info(place).type != fs.FileType.NotFound else unquote(place)
+                name = place.rsplit("/", 1)[-1]
                 with store.open_input_file(place) as f:
-                    yield from _batched(_records(unquote(p).rsplit("/", 1)[-1], f, limit))
+                    yield from archive_batches((p, name[:-4], name), f, None, headers)
 
-    listed = spark.createDataFrame([(p,) for p in names], "path string").repartition(len(names), "path")  # one row an archive
-    return listed.mapInArrow(run, _ARCHIVE)
+    return paths.select("path").mapInArrow(run, _ARCHIVE)
 
 
-def records_of_contents(files: DataFrame) -> DataFrame:
-    """The records of archives given as rows of path and content, as a binaryFile stream gives them."""
+def write_archives(records: DataFrame, path: str) -> DataFrame:
+    """records (folder, name, entry, ordinal, raw) as ZIP archives <path>/<folder>/<name> of one entry each, its records in
+    order; a null raw adds nothing. Returns the archives' paths. One task writes an archive, as a stream, under a temporary
+    name that is moved into place when it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                yield from _batched(_records(p.rsplit("/", 1)[-1], io.BytesIO(data), None))
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        now, done, opened = None, [], []
 
-    return files.select("path", "content").mapInArrow(run, _ARCHIVE)
+        def close() -> None:
+            for x in reversed(opened):
+                x.close()
+            if now is not None:
+                store.move(done[-1][0], done[-1][1])
+            opened.clear()
+
+        for b in batches:
+            for folder, name, entry, raw in zip(*(b.column(c).to_pylist() for c in ("folder", "name", "entry", "raw"))):
+                if (folder, name) != now:
+                    close()
+                    now = folder, name
+                    store.create_dir(f"{root}/{folder}", recursive=True)
+                    done.append((f"{root}/{folder}/.{uuid.uuid4().hex}", f"{root}/{folder}/{name}"))
+                    opened.append(store.open_output_stream(done[-1][0]))
+                    opened.append(zipfile.ZipFile(opened[0], "w", zipfile.ZIP_DEFLATED))
+                    opened.append(opened[1].open(entry, "w", force_zip64=True))
+                opened[2].write((raw or "").encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in done], pa.string())], ["path"])
+
+    dealt = records.select("folder", "name", "entry", "ordinal", "raw").repartition("folder", "name").sortWithinPartitions("folder", "name", "ordinal")
+    return dealt.mapInArrow(run, "path string")
 
 
 def split(files: DataFrame, aps) -> DataFrame:

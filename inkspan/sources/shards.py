@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 LEVEL = 9
 
@@ -29,18 +30,26 @@ def parse_index(shard: str, text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def frames(docs: DataFrame) -> DataFrame:
-    """docs (shard, ordinal, doc_key, text) with frame, offset and length within the shard."""
+def compressed(df: DataFrame, text: str, frame: str) -> DataFrame:
+    """df with the column text as a zstandard frame each, null where it is null, in its place. Map-only."""
+    names = [frame if c == text else c for c in df.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
-            f = [z.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "ordinal", "doc_key")), pa.array(f, pa.binary()), pa.array(map(len, f), pa.int64())], ["shard", "ordinal", "doc_key", "frame", "length"])
+            f = pa.array([None if t is None else z.compress(t.encode()) for t in b.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([f if c == text else b.column(c) for c in b.schema.names], names)
+
+    fields = [StructField(frame, BinaryType()) if f.name == text else f for f in df.schema.fields]
+    return df.mapInArrow(run, StructType(fields))
+
 
-    f = docs.select("shard", F.col("ordinal").cast("int"), "doc_key", "text").mapInArrow(run, "shard string, ordinal int, doc_key string, frame binary, length long")
+def frames(docs: DataFrame) -> DataFrame:
+    """docs (shard, ordinal, doc_key, text) with frame, offset and length within the shard."""
+    d = docs.select("shard", F.col("ordinal").cast("int").alias("ordinal"), "doc_key", F.coalesce("text", F.lit("")).alias("text"))
+    f = compressed(d, "text", "frame").withColumn("length", F.length("frame").cast("long"))
     before = Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return f.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
@@ -82,15 +91,23 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(f"{path}/*.idx", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.idx$", 1).alias("shard"), "value")
+    """doc_key, shard, offset, length of all index files below path; a shard is named by its place below path."""
+    store, root = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    names = sorted(f.path[len(root) :].strip("/")[:-4] for f in found if f.path.endswith(".idx"))  # names only; one an archive
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
         for b in batches:
-            rows = [r for s, t in zip(b.column("shard").to_pylist(), b.column("value").to_pylist()) for r in parse_index(s, t)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_key", "shard", "offset", "length"])
-
-    return lines.mapInArrow(run, "doc_key string, shard string, offset long, length long")
+            for s in b.column("shard").to_pylist():
+                with store.open_input_stream(f"{root}/{s}.idx") as f:
+                    rows = parse_index(s, f.read().decode())
+                cols = list(zip(*rows)) or [[]] * 4
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_key", "shard", "offset", "length"])
+
+    listed = spark.createDataFrame([(n,) for n in names], "shard string").repartition(max(1, len(names)), "shard")
+    return listed.mapInArrow(run, "doc_key string, shard string, offset long, length long")
 
 
 def read_documents(pointers: DataFrame, path: str) -> DataFrame:

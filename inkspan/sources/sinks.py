@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from ..functions import columns as C
 from ..functions import templates
 from ..operators import project
 from ..operators.parse import parse
+from .archive_format import SET_SCHEMA, archive_list, register
 from .archives import read_archives
-from .shards import write_shards
+from .shards import compressed
 
 #: Between documents that are put into one text.
 DOC_SEPARATOR = "\n\n\n\n"
@@ -37,62 +39,37 @@ def json_escapes(line: Column) -> Column:
     return F.replace(out, pair, F.lit("\\\\"))
 
 
-def biblio_json(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and line: one JSON object per record that parsed, nulls written out. parsed has doc_key, doc_kind, source_file."""
-    names = {"applicants": "applicant_names", "assignees": "assignee_names", "inventors": "inventor_names"}
-    extra = [c for c in ("doc_key", "doc_kind", "source_file") if c not in keys]
-    b = project.biblio(parsed, [*keys, *extra]).withColumnsRenamed(names)
-    for n in (*names.values(), "ipc_classifications", "us_classifications"):
-        b = b.withColumn(n, F.coalesce(n, F.array().cast("array<string>")))
-    return b.select(*keys, json_escapes(F.to_json(F.struct(*JSON_FIELDS), {"ignoreNullFields": "false"})).alias("line"))
-
+_LIST_NAMES = {"applicants": "applicant_names", "assignees": "assignee_names", "inventors": "inventor_names"}
 
-def write_lines(lines: DataFrame, path: str, suffix: str, header: str = "") -> DataFrame:
-    """lines (shard, ordinal, line) as one file <shard><suffix> each under path; returns shard and lines.
 
-    A shard's lines are streamed by one task, in order, under a temporary name that is moved into place at the end.
-    A shard without lines has no file.
-    """
+def _json_line() -> Column:
+    """The line of a row that has all JSON_FIELDS."""
+    lists = (*_LIST_NAMES.values(), "ipc_classifications", "us_classifications")
+    values = [(F.coalesce(F.col(n), F.array().cast("array<string>")) if n in lists else F.col(n)).alias(n) for n in JSON_FIELDS]
+    return json_escapes(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
 
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        now, sink, tmp, done = None, None, "", []
-
-        def close() -> None:
-            if sink is not None:
-                sink.close()
-                store.move(tmp, f"{root}/{now}{suffix}")
-
-        for b in batches:
-            for shard, line in zip(b.column("shard").to_pylist(), b.column("line").to_pylist()):
-                if sink is None or shard != now:
-                    close()
-                    now, tmp = shard, f"{root}/.{shard}-{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(tmp)
-                    sink.write(header.encode())
-                    done.append([shard, 0])
-                sink.write(f"{line}\n".encode())
-                done[-1][1] += 1
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["shard", "lines"])
-
-    return lines.select("shard", "ordinal", "line").repartition("shard").sortWithinPartitions("shard", "ordinal").select("shard", "line").mapInArrow(run, "shard string, lines long")
+def biblio_json(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and line: one JSON object per record that parsed, nulls written out. parsed has doc_key, doc_kind, source_file."""
+    extra = [c for c in ("doc_key", "doc_kind", "source_file") if c not in keys]
+    return project.biblio(parsed, [*keys, *extra]).withColumnsRenamed(_LIST_NAMES).select(*keys, _json_line().alias("line"))
 
 
-def unsupported(parsed: DataFrame) -> DataFrame:
-    """shard, ordinal, line of the records that are skipped as unsupported."""
+def skip_reason() -> Column:
+    """What the list of unsupported records says."""
     kind, said = F.col("error_kind"), F.lit("source detection failed: ")
-    reason = (
+    return (
         F.when(kind == "UnsupportedRoot", F.concat(said, F.lit("unsupported XML root '"), F.col("error_msg"), F.lit("'")))
         .when(kind == "UnknownFormat", F.concat(said, F.lit("unknown XML format")))
         .when(kind == "ConflictingVersionMarkers", F.concat(said, F.lit("conflicting XML version markers")))
         .otherwise(F.col("error_msg"))
     )
+
+
+def unsupported(parsed: DataFrame) -> DataFrame:
+    """shard, ordinal, line of the records that are skipped as unsupported."""
     skip = C.skip_class(F.col("error_kind"), F.col("error_msg"))
-    return parsed.where(skip == "Unsupported").select("shard", "ordinal", F.concat_ws("\t", "doc_key", reason).alias("line"))
+    return parsed.where(skip == "Unsupported").select("shard", "ordinal", F.concat_ws("\t", "doc_key", skip_reason()).alias("line"))
 
 
 def manifest_json(parsed: DataFrame) -> DataFrame:
@@ -152,26 +129,52 @@ def write_concatenated(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("path", "markdown").orderBy("path").mapInArrow(run, "name string")
 
 
+def archive_set_rows(raw: DataFrame, limit: int | None = None, template: str = templates.DEFAULT) -> DataFrame:
+    """raw (shard, source_file, ordinal, raw, error) as rows of the format patent_archive_set: each record is parsed once, and
+    becomes a frame with its line of JSON, or what it is skipped for. Rows without ordinal name their shard.
+
+    Archives are few and large: their records are dealt out to be parsed, rendered and compressed, and only frames are
+    brought together again by shard. An archive that couldn't be opened makes the job fail."""
+    spread = raw.repartition(4 * raw.sparkSession.sparkContext.defaultParallelism)
+    broken = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "source_file", "error"))).otherwise(F.col("ordinal"))
+    keyed = spread.select("shard", "source_file", broken.cast("int").alias("ordinal"), "raw", C.doc_kind(F.col("source_file")).alias("doc_kind"))
+    keyed = keyed.withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal")))
+    kept = ["shard", "source_file", "ordinal", "doc_kind", "doc_key"]
+    p = parse(keyed, keep=kept, groups=tuple({"biblio": 0} | dict.fromkeys(project.groups_of(template))))
+    ok = F.col("error_kind").isNull()
+    text = F.when(ok, templates.render(project.sections(), template)).alias("text")
+    p = p.select(*kept, "error_kind", "error_msg", text, *project.biblio_columns()).withColumnsRenamed(_LIST_NAMES)
+    skip = F.when(F.col("ordinal").isNotNull() & ~ok, C.skip_class(F.col("error_kind"), F.col("error_msg")))
+    p = p.select(*kept, "text", F.when(ok, _json_line()).alias("biblio"), skip.alias("skip"), F.when(skip == "Unsupported", skip_reason()).alias("reason"))
+    out = compressed(p, "text", "frame")
+    if limit is not None:
+        out = project.limited(out, ["shard"], ["ordinal"], F.col("frame").isNotNull(), limit)
+    return out.select(*(x.split()[0] for x in SET_SCHEMA.split(", "))).repartition("shard").sortWithinPartitions("shard", "ordinal")
+
+
+def write_set(rows: DataFrame, out: str, replace: bool = False) -> None:
+    """Commits rows of archive_set_rows to out as a whole, or leaves out as it was. replace: what is there goes."""
+    register(rows.sparkSession)
+    rows.write.format("patent_archive_set").mode("overwrite" if replace else "append").option("path", out).save()
+
+
+def read_manifests(spark: SparkSession, out: str) -> DataFrame:
+    """shard, source_file, doc_kind, written, supplemental, unsupported, malformed of all shards below out."""
+    names = "patents_written long, supplemental_skipped long, unsupported_skipped long, malformed_skipped long"
+    m = spark.read.schema(f"stem string, source_file string, doc_kind string, {names}").option("multiLine", "true")
+    m = m.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.manifest.json").json(out)
+    counts = [F.col("patents_written").alias("written"), *[F.col(f"{k}_skipped").alias(k) for k in ("supplemental", "unsupported", "malformed")]]
+    return m.select(F.col("stem").alias("shard"), "source_file", "doc_kind", *counts)
+
+
 def write_archive_set(spark: SparkSession, source: str, out: str, limit: int | None = None, template: str = templates.DEFAULT) -> DataFrame:
     """Reads the archives below source and writes each one's .zst, .idx, .biblio.jsonl, .manifest.json and, if it has any,
-    .unsupported.tsv under out. limit: so many written records per archive at most. Returns the manifest rows."""
-    raw = read_archives(spark, source, limit)
-    # archives are few and large: their records are dealt out, so that parsing doesn't wait for the largest archive
-    raw = raw.repartition(4 * spark.sparkContext.defaultParallelism)
-    keyed = raw.withColumn("doc_kind", C.doc_kind(F.col("source_file"))).withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal")))
-    parsed = parse(keyed, keep=["shard", "source_file", "ordinal", "doc_kind", "doc_key", "error"], groups=tuple({"biblio": 0} | dict.fromkeys(project.groups_of(template))))
-    if limit is not None:
-        parsed = project.limited(parsed, ["shard"], ["ordinal"], F.col("error_kind").isNull(), limit)
-    parsed = parsed.persist()  # five sinks read it; a lost executor's part is parsed again
+    .unsupported.tsv under out, in one pass and one commit: all of them or, if an archive can't be read, none (ValueError).
+    Archives without records have their files, too; equal names in different folders stay apart by their folders.
+    limit: so many written records per archive at most. Returns the manifest rows, by shard."""
+    shards = [s for _, s, _ in archive_list(source)]
     try:
-        broken = parsed.where("error IS NOT NULL").select("source_file", "error").first()
-        if broken is not None:
-            raise ValueError(f"{broken.source_file}: {broken.error}")
-        write_shards(project.markdown(parsed, ["shard", "ordinal", "doc_key"], template).withColumnRenamed("markdown", "text"), out).count()
-        write_lines(biblio_json(parsed, ["shard", "ordinal"]), out, ".biblio.jsonl").count()
-        write_lines(unsupported(parsed), out, ".unsupported.tsv", "doc_key\treason\n").count()
-        write_lines(manifest_json(parsed), out, ".manifest.json").count()  # last: it says that the others are whole
-        rows = project.manifest(parsed, ["shard", "source_file", "doc_kind"]).orderBy("shard")
-        return spark.createDataFrame(rows.toArrow())  # one row an archive
-    finally:
-        parsed.unpersist()
+        write_set(archive_set_rows(read_archives(spark, source, limit, headers=True), limit, template), out)
+    except PySparkException as e:
+        raise ValueError(str(e).split("\n")[0]) from e
+    return read_manifests(spark, out).where(F.col("shard").isin(shards)).orderBy("shard")
