@@ -154,6 +154,12 @@ ORACLE = {
     "split_tagged": _sql("SELECT 'pftaps' || doc_id // 60 AS file, cast(row_number() OVER (PARTITION BY doc_id // 60 ORDER BY doc_id) - 1 AS integer) AS ordinal, prefix || short AS doc_key FROM d WHERE m = 4"),
     "tagged_fields": _sql("""SELECT doc_id, section, tag, count(*) AS n FROM (SELECT doc_id, unnest(['PATN/WKU', 'PATN/SRC', 'PATN/APN', 'PATN/APT', 'PATN/TTL', 'PATN/ISD', 'PATN/APD', 'INVT/NAM', 'INVT/CTY', 'INVT/NAM', 'ASSG/NAM', 'ASSG/COD', 'CLAS/OCL', 'CLAS/XCL', 'CLAS/ICL', 'CLAS/ICL', 'ABST/PAL', 'BSUM/PAC', 'DETD/TBL', 'CLMS/STM']
         || list_transform(rest, lambda x, i: CASE WHEN i < 3 THEN 'BSUM/PAR' ELSE 'DETD/PAR' END) || list_transform(said, lambda x: 'CLMS/NUM') || list_transform(said, lambda x: 'CLMS/PAR') || list_transform(said, lambda x: 'CLMS/PA1')) AS what FROM d WHERE m = 4), LATERAL (SELECT split_part(what, '/', 1) AS section, split_part(what, '/', 2) AS tag) GROUP BY ALL"""),
+    "tagged_values": _sql("""SELECT doc_id, tag, array_to_string(x, '|') AS joined FROM (SELECT doc_id, unnest([{'tag': 'TBL', 'x': ['1   2' || chr(10) || '---' || chr(10) || '3   4']}, {'tag': 'ICL', 'x': ['A42B  300', 'A42B 124']},
+        {'tag': 'PAL', 'x': [rtrim(first) || CASE WHEN rtrim(first) = '' THEN '' ELSE ' ' END || 'goes on.']},
+        {'tag': 'PAR', 'x': list_transform(rest, lambda x: rtrim(x)) || list_transform(said, lambda x, i: rtrim(i || '. ' || x) || ' and more')}]) AS t FROM d WHERE m = 4), LATERAL (SELECT t.tag AS tag, t.x AS x) WHERE len(x) > 0"""),
+    "tagged_inventors": _sql("""SELECT doc_id, cast(i AS integer) AS pos, CASE i WHEN 0 THEN nullif(trim(buyer), '') ELSE 'Bo' END AS last_name, CASE i WHEN 0 THEN 'Ann' END AS first_name,
+        CASE i WHEN 0 THEN 'Town' END AS city, NULL::varchar AS state, NULL::varchar AS country, i = 0 AS first_named FROM (SELECT *, unnest(range(2)) AS i FROM d WHERE m = 4)"""),
+    "tagged_claims": _sql(f"SELECT doc_id, cast(i AS integer) AS number, trim({_SAID}) AS text FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i, unnest(said) AS x FROM d WHERE m = 4)"),
     "shard_roundtrip": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE {_GOOD}"),
     "pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, cast(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS bigint) AS documents_before FROM d WHERE {_GOOD}"),
     "archive_records": _sql(f""", {_ZIPS} SELECT shard, stem || '.zip' AS source_file, cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS integer) AS ordinal,

@@ -177,8 +177,25 @@ def split_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).groupBy("doc_id", "section", "tag").agg(F.count("*").alias("n"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return tagged.fields(c.where(C.is_aps(F.col("raw"))), ["doc_id"]).groupBy("doc_id", "section", "tag").agg(F.count("*").alias("n"))
+    return tagged.fields(c.where(C.is_aps(F.col("raw"))), ["doc_id"])
+
+
+def tagged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded values: fields that go on over lines, as they are and where layout is kept."""
+    return _tagged(spark, sf_dir).where("tag IN ('PAR', 'PAL', 'TBL', 'ICL')").groupBy("doc_id", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "|").alias("joined"))
+
+
+def tagged_inventors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged.inventors(_tagged(spark, sf_dir), ["doc_id"])
+
+
+def tagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged.claims(_tagged(spark, sf_dir), ["doc_id"])
 
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
@@ -301,6 +318,6 @@ def concatenated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     biblio, formats, page_formats, party_names, classifications, priority, priority_dates, claims, claim_counts, abstracts, abstract_blocks, descriptions, description_parts, claim_blocks, frontmatter, markdown, whole_documents, drawings,
-    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, shard_roundtrip, pointers, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
+    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, tagged_values, tagged_inventors, tagged_claims, shard_roundtrip, pointers, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
     entities, blank_lines, decoded_lengths, archive_names, concatenated_titles,
 )}
