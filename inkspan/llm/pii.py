@@ -8,14 +8,24 @@ from pyspark.sql.window import Window
 
 from .common import free_names, table, written
 
-#: A word of a name. Patterns here are possessive or bounded: no text is held on the stack or tried again from its middle.
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}[\p{Ll}\p{M}]++)?+"
-#: Titles that show a person's gender.
-MALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+#: Titles that show a person's gender, and those that don't.
+MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Rev")
+_TITLES = "|".join(MALE + FEMALE + NEUTRAL)
+#: What people say before their own names.
+CUES = ("my name is", "full name:", "name:", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "mi chiamo", "меня зовут", "με λένε")
+_CUES = "|".join(CUES)
+#: Small words within family names, and words before which a capital word is no name.
+_PARTICLE = r"(?:da|de|di|du|del|della|den|der|dos|la|le|van|von|zu|bin|ibn|al|el|ten|ter)"
+_ARTICLE = r"(?i:the|a|an|this|that|each|every|any|no|der|die|das|ein|eine|le|la|les|un|une|el|los|las|una)"
+#: A word of a name: inner capitals, apostrophes and hyphens, or an initial. Patterns here are possessive or bounded: no text is
+#: held on the stack or tried again from its middle.
+_WORD = rf"(?!(?:{_TITLES})\b)\p{{Lu}}(?:\.|[\p{{L}}\p{{M}}]*+(?:['’-][\p{{L}}\p{{M}}]++)*+)"
+_NAME = rf"(?:{_PARTICLE} ){{0,3}}{_WORD}(?: (?:{_PARTICLE} ){{0,3}}{_WORD}){{0,4}}"
 #: Kinds of entities in the order in which they are tried, each with its pattern.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,40}\.[A-Za-z]{2,24}+(?![A-Za-z0-9-])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){0,40}\.[\p{L}\p{M}]{2,24}+(?![\p{L}\p{N}-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3})["']?+[^\s"',;]{6,}+["']?+""",
@@ -23,11 +33,14 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE)})\b\.?+ {_NAME}(?: {_NAME})?+",
+    # after a title or a cue, or a line of two words and more above one of a house number and a street
+    "name": rf"\b(?:{_TITLES})\b\.?+ {_NAME}|(?<![\p{{L}}\p{{N}}])(?iu:{_CUES}) {_NAME}|(?<![^\n]){_WORD} {_NAME}(?=\n\d{{1,5}}[A-Za-z]? \p{{Lu}})",
 }
 PATTERN = "|".join(KINDS.values())
-#: All entities but names hold one of these marks; names need a title.
-_HINT = rf"[@\d]|(?i:password|passwd|pwd|token|secret|api)|\b(?:{'|'.join(MALE + FEMALE)})\b"
+#: All entities but names hold one of these marks; names need a title or a cue, or a house number below them.
+_HINT = rf"[@\d]|(?i:password|passwd|pwd|token|secret|api)|\b(?:{_TITLES})\b|(?iu:{_CUES})"
+#: Country codes of one and two digits; all others have three. Fixed values of the numbering plan.
+_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def kind_of(v: Column) -> Column:
@@ -65,6 +78,13 @@ def _same_classes(v: Column, d: Column, counted: Column | None = None) -> Column
             .when(c.between("A", "Z"), _pick(d, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .when(c.rlike(r"^\p{IsCyrillic}$"), F.when(F.lower(c) == c, _pick(d, i, "абвгдежзиклмнопрстуфхцчшэюя")).otherwise(_pick(d, i, "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ")))
             .when(c.rlike(r"^\p{IsGreek}$"), F.when(F.lower(c) == c, _pick(d, i, "αβγδεζηθικλμνξοπρστυφχψω")).otherwise(_pick(d, i, "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")))
+            .when(c.rlike(r"^\p{IsHan}$"), _pick(d, i, "山川田中村木林森石原水火土金月日"))
+            .when(c.rlike(r"^\p{IsHiragana}$"), _pick(d, i, "あいうえおかきくけこさしすせそ"))
+            .when(c.rlike(r"^\p{IsKatakana}$"), _pick(d, i, "アイウエオカキクケコサシスセソ"))
+            .when(c.rlike(r"^\p{IsHangul}$"), _pick(d, i, "가나다라마바사아자차카타파하"))
+            .when(c.rlike(r"^\p{Lu}$"), _pick(d, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            .when(c.rlike(r"^\p{L}$"), lower)
+            .when(c.rlike(r"^\p{N}$"), _pick(d, i, "0123456789"))
             .otherwise(c)
         )
 
@@ -79,29 +99,49 @@ _SYLLABLES = {
 }
 
 
-#: A person's title, as it stands before the name.
-_TITLE = rf"^(?:{'|'.join(MALE + FEMALE)})\b\.?+"
+#: What stands before a name: a title or a cue.
+_LEAD = rf"^(?:(?:{_TITLES})\b\.?+|(?iu:{_CUES})) "
+
+
+def lead(v: Column) -> Column:
+    """What stands before the words of a name; empty if nothing does."""
+    return F.regexp_extract(v, _LEAD, 0)
+
+
+def name_words(v: Column) -> Column:
+    """The words of a name as struct(kind, v): given (male or female where the title says so), initial, particle, and the last
+    as family."""
+    words = F.split(F.substr(v, F.length(lead(v)) + 1), " ")
+    title = F.regexp_extract(lead(v), r"^[^. ]+", 0)
+    given = F.when(title.isin(*FEMALE), "given female").when(title.isin(*MALE), "given male").otherwise("given")
+    kind = lambda w, i: F.when(i == F.size(words) - 1, "family").when(w.rlike(rf"^{_PARTICLE}$"), "particle").when(w.endswith("."), "initial").otherwise(given)
+    return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), w.alias("v")))
 
 
 def name_parts(v: Column) -> Column:
-    """The words of a titled name as entities: struct(kind, v) of the given name (male or female) and the family name; of
-    a single word, the family name."""
-    title = F.regexp_extract(v, _TITLE, 0)
-    words = F.split(F.ltrim(F.substr(v, F.length(title) + 1)), " ", 2)
-    given = F.when(F.replace(title, F.lit("."), F.lit("")).isin(*FEMALE), "given female").otherwise("given male")
-    one = lambda kind, x: F.struct(kind.alias("kind"), x.alias("v"))
-    return F.when(F.size(words) > 1, F.array(one(given, F.get(words, F.lit(0))), one(F.lit("family"), F.get(words, F.lit(1))))).otherwise(F.array(one(F.lit("family"), F.get(words, F.lit(0)))))
+    """The words of a name that get surrogates."""
+    return F.filter(name_words(v), lambda w: w["kind"] != "particle")
+
+
+def spelled_name(email: Column, text: Column) -> Column:
+    """Given and family name, as entities, of an address whose local part spells them, if the text has them side by side."""
+    words = F.split(F.regexp_extract(email, r"^(\p{L}{2,40}[._-]\p{L}{2,40})@", 1), "[._-]")
+    one = lambda kind, k: F.struct(F.lit(kind).alias("kind"), F.initcap(F.get(words, F.lit(k))).alias("v"))
+    both = F.array(one("given", 0), one("family", 1))
+    return F.when((F.size(words) == 2) & F.contains(text, F.concat_ws(" ", F.transform(both, lambda x: x["v"]))), both).otherwise(F.array().cast("array<struct<kind:string,v:string>>"))
 
 
 def _made_name(v: Column, kind: Column, d: Column) -> Column:
-    """A made-up word in the same script, hyphens in their places; given names end as the gender does."""
+    """A made-up word in the same script, hyphens and apostrophes in their places, a single letter before one stays single;
+    given names end as the gender does."""
 
     def made(script: str) -> Column:
         syllables, male_end, female_end = (F.array(*map(F.lit, x.split())) for x in _SYLLABLES[script])
         part = lambda i, k: F.get(syllables, _number(d, i * 8 + k, len(_SYLLABLES[script][0].split())))
         word = lambda i: F.initcap(F.concat(part(i, 0), part(i, 1), part(i, 2)))
         ending = lambda i: F.when(kind == "given female", F.get(female_end, _number(d, i * 8 + 7, 3))).when(kind == "given male", F.get(male_end, _number(d, i * 8 + 7, 3))).otherwise(part(i, 5))
-        return F.array_join(F.transform(F.split(v, "-"), lambda w, i: F.concat(word(i), ending(i))), "-")
+        whole = lambda w, i: F.when(w.rlike(r"^\p{L}\p{M}*['’-]?$"), F.upper(F.substr(part(i, 3), F.lit(1), F.lit(1)))).otherwise(F.concat(word(i), ending(i)))
+        return F.array_join(F.transform(F.split(v, "(?<=['’-])"), lambda w, i: F.concat(whole(w, i), F.regexp_extract(w, "['’-]?$", 0))), "")
 
     return F.when(v.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(v.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
@@ -122,13 +162,13 @@ def surrogate(v: Column, kind: Column, key: str, attempt: Column) -> Column:
     label = F.substring_index(domain, ".", 1)
     email = F.concat(_same_classes(local, d), F.lit("@"), _same_classes(label, F.sha2(d, 256)), F.lit(".example."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", F.lit("10"), *[_number(d, i, 256).cast("string") for i in range(3)])
-    code = F.regexp_extract(v, r"^\+\d{1,3}[ .-]", 0)
+    code = F.regexp_extract(v, _CODE, 0)
     number = _same_classes(v, d, kind.isin("card", "ssn", "phone", "iban"))
     phone = F.concat(code, F.substr(number, F.length(code) + 1))
     head = F.regexp_extract(v, r"""^[A-Za-z_-]+\s*[=:]\s*["']?""", 0)
     secret = F.concat(head, _same_classes(F.substr(v, F.length(head) + 1), d))
     access = F.concat(F.substr(v, F.lit(1), F.lit(4)), _same_classes(F.substr(v, F.lit(5)), d))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "key", access).when(kind.isin("family", "given male", "given female"), _made_name(v, kind, d)).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "key", access).when(kind.isin("family", "given", "given male", "given female"), _made_name(v, kind, d)).when(kind == "initial", F.concat(_pick(d, 0, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("."))).otherwise(number)
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
@@ -160,44 +200,51 @@ def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """docs with every detected entity in text replaced by its surrogate, and n_entities; other columns stay.
 
     Equal entities have equal surrogates in all documents, different ones of a kind different ones. Spellings of one
-    address or number (case of letters, marks between digits) differ in their surrogates as they do in the text. Names
-    are replaced by their words, so Mr. John Smith and Mr. Smith still share a family name; where a text has a name with
-    its title, the same given and family name without one are replaced there, too, and so is the family name by itself.
-    Only texts with entities are shuffled: their entities meet the surrogates, and are put back by the text's digest.
-    Null text: null, 0 entities. Repeated rows: alike. An own column n_entities gives way. Empty table: no rows.
+    address or number (case of letters, marks between digits) differ in their surrogates as they do in the text. Names are
+    found by titles, by what people say before their own names, by an address below them, and by email addresses that spell
+    them. They are replaced by their words, particles aside, so Mr. John Smith and Mr. Smith still share a family name. Where a
+    text has a name, its given names are replaced before another capital word, too, and its family name by itself, but
+    not after an article. Only texts with entities are shuffled: their entities meet the surrogates, and are put back by the
+    text's digest. Null text: null, 0 entities. Repeated rows: alike. An own column n_entities gives way. Empty table: no rows.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
     d = docs.select(*kept)
-    md5, found, map_, given, family = free_names(d, "_md5", "_found", "_map", "_given", "_family")
+    md5, found, map_, spoken = free_names(d, "_md5", "_found", "_map", "_spoken")
     with_any = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
     rows = d.where(F.col("text").rlike(_HINT)).withColumn(found, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size(found) > 0)
-    rows = written(rows.withColumn(found, F.transform(found, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("v")))).withColumn(md5, F.md5(F.col("text").cast("binary"))), "pii-rows")
-    each = rows.select(F.col(md5).alias("md5"), F.explode(F.array_distinct(found)).alias("e")).select("md5", "e.kind", "e.v").distinct()
-    # a name is the entities that are its words
-    words = F.explode(F.when(F.col("kind") == "name", name_parts(F.col("v"))).otherwise(F.array(F.struct("kind", "v")))).alias("e")
-    each = written(each.select("md5", words).select("md5", "e.kind", "e.v").distinct(), "pii-each")
+    rows = rows.withColumn(found, F.transform(found, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("v"))))
+    # the words of a text's names, once each
+    told = F.flatten(F.transform(F.filter(found, lambda e: e["kind"].isin("name", "email")), lambda e: F.when(e["kind"] == "name", name_parts(e["v"])).otherwise(spelled_name(e["v"], F.col("text")))))
+    rows = written(rows.withColumn(spoken, F.array_distinct(told)).withColumn(md5, F.md5(F.col("text").cast("binary"))), "pii-rows")
+    entities = F.array_union(F.filter(found, lambda e: e["kind"] != "name"), F.col(spoken))
+    each = written(rows.select(F.col(md5).alias("md5"), F.explode(entities).alias("e")).select("md5", "e.kind", "e.v").distinct(), "pii-each")
     known = surrogates(each.select("kind", "v").distinct(), key)
     maps = each.join(known, ["kind", "v"]).groupBy("md5").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "v").alias("k"), "s"))).alias(map_))
     of = lambda kind, v: F.element_at(F.col(map_), F.concat_ws(":", kind, v))
+    any_given = lambda v: F.coalesce(*[of(F.lit(k), v) for k in ("given female", "given male", "given")])
+    changed = rows.join(maps, F.col(md5) == F.col("md5"))
 
     def filled(e: Column) -> Column:
-        own = F.array_join(F.transform(name_parts(e["v"]), lambda p: of(p["kind"], p["v"])), " ")
-        return F.when(e["kind"] == "name", F.concat(F.regexp_extract(e["v"], _TITLE, 0), F.lit(" "), own)).otherwise(of(e["kind"], e["v"]))
+        word = lambda w: F.when(w["kind"] == "particle", w["v"]).when(w["kind"] == "given", any_given(w["v"])).otherwise(of(w["kind"], w["v"]))
+        name = F.concat(lead(e["v"]), F.array_join(F.transform(name_words(e["v"]), word), " "))
+        return F.when(e["kind"] == "name", name).otherwise(of(e["kind"], e["v"]))
 
-    # columns of their own, made before the join: below they stand within a function of each part of a text
-    spoken = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), lambda e: name_parts(e["v"]))))
-    rows = rows.withColumn(given, spoken).withColumn(family, F.filter(given, lambda p: p["kind"] == "family")).withColumn(given, F.filter(given, lambda p: p["kind"] != "family"))
-    changed = rows.join(maps, F.col(md5) == F.col("md5"))
-    word = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{M}-])"), p["v"], F.lit(r"(?![\p{L}\p{M}-])"))
+    def alternatives(kinds, behind: str) -> Column:
+        words = F.transform(F.filter(spoken, lambda p: p["kind"].isin(*kinds)), lambda p: F.concat(F.lit(r"\Q"), p["v"], F.lit(r"\E")))
+        return F.when(F.size(words) > 0, F.concat(F.lit(r"(?:"), F.array_join(F.array_distinct(words), "|"), F.lit(rf"){behind}")))
+
+    # columns of their own, made before the texts are cut: below they stand within a function of each part of a text
+    before = rf"(?<![\p{{L}}\p{{M}}'’-])(?<!(?<![\p{{L}}\p{{M}}]){_ARTICLE} )"
+    words = F.concat_ws("|", alternatives(("given", "given male", "given female"), r"(?= \p{Lu})"), alternatives(("family",), r"(?![\p{L}\p{M}'’-])"))
+    changed = changed.withColumn(spoken, F.when(words != "", F.concat(F.lit(f"{before}(?:"), words, F.lit(")"))))
 
     def untitled(part: Column) -> Column:
-        """A given name only before another word of a name, a family name by itself; \x01: already replaced."""
-        with_given = F.aggregate(given, part, lambda t, p: F.regexp_replace(t, F.concat(word(p), F.lit(r"(?= \p{Lu})")), F.concat(F.lit("\x01"), of(p["kind"], p["v"]))))
-        with_family = F.aggregate(family, with_given, lambda t, p: F.regexp_replace(t, word(p), of(p["kind"], p["v"])))
-        return F.replace(with_family, F.lit("\x01"), F.lit(""))
+        """The parts between a text's own names, and their surrogates, by turns."""
+        said = F.transform(F.regexp_extract_all(part, F.col(spoken), F.lit(0)), lambda w: F.coalesce(of(F.lit("family"), w), any_given(w)))
+        return F.array_join(F.zip_with(F.split(part, F.col(spoken)), F.array_append(said, F.lit("")), lambda p, s: F.concat(p, s)), "")
 
     parts = F.split("text", PATTERN)
-    plain = F.when(F.size(family) > 0, F.transform(parts, untitled)).otherwise(parts)
+    plain = F.when(F.col(spoken).isNotNull(), F.transform(parts, untitled)).otherwise(parts)
     text = F.array_join(F.zip_with(plain, F.array_append(F.transform(found, filled), F.lit("")), lambda p, s: F.concat(p, s)), "")
     changed = changed.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.size(found).alias("n_entities"))
     return d.where(~with_any).withColumn("n_entities", F.lit(0)).unionByName(changed)
