@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -132,8 +131,8 @@ def _held_out(doc_id) -> F.Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, indicators_in_all: int = MOST_INDICATORS) -> NbSvm:
-    """Fits on `most` labelled rows at most (crc32(doc_id) mod 5 not 0, quality not null, lowest hashes first), and on no
-    more of them than have `indicators_in_all` indicators together, so that what the driver holds is bounded in bytes."""
+    """Fits on `most` labelled rows at most (crc32(doc_id) mod 5 not 0, quality not null, lowest hashes first; a
+    doc_id with more rows counts with each), and on no more of them than have `indicators_in_all` indicators together, so that what the driver holds is bounded in bytes."""
     by = [F.md5(F.col("doc_id").cast("string")), F.col("quality")]
     picked = labels.where(~_held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(*by).limit(most)
 
@@ -144,17 +143,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, i
 
     # the picked rows are bounded by `most`, so they may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, found array<int>, n long")
-    rows = written(rows, "quality-indicators")
-    sizes = rows.select("doc_id", "quality", "n").toArrow().to_pylist()
+    rows = written(rows.withColumns({"digest": F.xxhash64("found"), "row": F.monotonically_increasing_id()}), "quality-indicators")
+    # a doc_id may have any number of rows: what comes to the driver is bounded by rows first, then by their indicators
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("quality"), F.col("digest"), F.col("row")]
     total, kept = 0, []
-    for r in sorted(sizes, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["quality"])):
+    for r in rows.orderBy(*order).limit(most).select("row", "n").toArrow().to_pylist():
         total += r["n"]
         if total > indicators_in_all:
             break
-        kept.append(r["doc_id"])
-    if len(kept) < len(sizes):
-        rows = rows.where(F.col("doc_id").isin(kept)) if kept else rows.limit(0)
-    got = rows.select("doc_id", "quality", "found").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+        kept.append(r["row"])
+    got = rows.where(F.col("row").isin(kept)) if kept else rows.limit(0)
+    got = got.select("doc_id", "quality", "digest", "found").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("digest", "ascending")])
     return NbSvm().fit([x.values.to_numpy().view(np.uint32) for x in got.column("found")], got.column("quality").to_numpy())
 
 
