@@ -28,11 +28,13 @@ def _unrole(c: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """A turn's price: runs of letters and digits, single marks, and 4 for the template."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4
+    """A turn's price, at least about what a tokenizer makes of it: six letters or digits of a run at most, single signs of
+    scripts without spaces, single marks, and 4 for the template."""
+    alone = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}"
+    return F.regexp_count(text, F.lit(rf"[{alone}]|[\p{{L}}\p{{N}}&&[^{alone}]]{{1,6}}|[^\s\p{{L}}\p{{N}}]")) + 4
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, block: int = 4096) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, block: int = 4096, price: str | None = None) -> DataFrame:
     """turns (conv_id, turn, role, text): one row per window: conv_id, window, formatted, first_new, loss.
 
     A conversation's turns in order (turn, role, text; nulls first) are cut into spans at turns: with prefix sums of
@@ -41,11 +43,14 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, blo
     holds a whole conversation; only where such a row ends, a span ends early. A window: the system turn (if the first turn is one), the last turns before the span that
     fit into `history`, the span. loss: (start, length) in code points of the assistant texts of the span; repeated
     turns bear none. first_new: the first turn of the window that isn't repeated (0 in the first window). window
-    ascends within a conversation from 0, with gaps.
+    ascends within a conversation from 0, with gaps. price: a column of the turns' token counts, with what the template
+    adds (4 at least); without it, tokens().
     Null text or role: empty. Null conv_id: a conversation of its own. Repeated rows: repeated turns. Empty table: no
     rows. One exchange, by conv_id; the windows are streamed over sorted turns.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cost", tokens(F.col("text")).cast("long"))
+    cost = tokens(F.col("text")) if price is None else F.greatest(F.coalesce(F.col("cost"), F.lit(0)), F.lit(4))
+    given = [] if price is None else [F.col(price).alias("cost")]
+    t = turns.select("conv_id", "turn", *given, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cost", cost.cast("long"))
     so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("i", F.count(F.lit(1)).over(so_far) - 1).withColumn("end", F.sum("cost").over(so_far)).withColumn("top", F.first(F.when(F.col("role") == "system", F.struct("role", "text", "cost"))).over(so_far))
     most = history // 4  # a turn's price is 4 at least: no more turns can be repeated
