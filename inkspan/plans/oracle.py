@@ -160,8 +160,21 @@ ORACLE = {
     "tagged_inventors": _sql("""SELECT doc_id, cast(i AS integer) AS pos, CASE i WHEN 0 THEN nullif(trim(buyer), '') ELSE 'Bo' END AS last_name, CASE i WHEN 0 THEN 'Ann' END AS first_name,
         CASE i WHEN 0 THEN 'Town' END AS city, NULL::varchar AS state, NULL::varchar AS country, i = 0 AS first_named FROM (SELECT *, unnest(range(2)) AS i FROM d WHERE m = 4)"""),
     "tagged_claims": _sql(f"SELECT doc_id, cast(i AS integer) AS number, trim({_SAID}) AS text FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i, unnest(said) AS x FROM d WHERE m = 4)"),
+    "elements_below": _sql("""SELECT doc_id, name, n FROM (SELECT doc_id, unnest(CASE m WHEN 2 THEN [{'name': 'CLM', 'n': k}, {'name': 'PARA', 'n': k}, {'name': 'PTEXT', 'n': 2 * k}, {'name': 'PDAT', 'n': 3 * k}, {'name': 'BOLD', 'n': k}, {'name': 'CLMSTEP', 'n': k}]
+        WHEN 3 THEN [{'name': 'heading', 'n': 1}, {'name': 'claim', 'n': k}, {'name': 'claim-text', 'n': 3 * k}, {'name': 'dependent-claim-reference', 'n': k}]
+        ELSE [{'name': 'claim', 'n': k + 1}, {'name': 'claim-text', 'n': k + least(k, 1)}, {'name': 'b', 'n': greatest(k - 1, 0)}, {'name': 'claim-ref', 'n': greatest(k - 1, 0)}] END) AS x
+        FROM (SELECT doc_id, m, cast(len(said) AS bigint) AS k FROM d WHERE m < 4)), LATERAL (SELECT x.name AS name, x.n AS n) WHERE n > 0"""),
+    "element_paths": _sql(f"""SELECT doc_id, CASE m WHEN 0 THEN 'us-patent-grant' WHEN 1 THEN 'us-patent-application' WHEN 2 THEN 'PATDOC' ELSE 'patent-application-publication' END AS root,
+        CASE m WHEN 0 THEN 'lang=EN dtd-version=v4' || CASE WHEN turn % 8 = 0 THEN '' ELSE '.' END || turn % 8 || ' file=US' || number || '-X.XML' WHEN 1 THEN 'lang=EN dtd-version=v4.' || turn % 7 || ' file=US' || number || '-X.XML' WHEN 2 THEN 'DTD=2.5' ELSE '' END AS attributes,
+        replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS title FROM d WHERE m < 4"""),
+    "prologs": _sql("""SELECT doc_id, CASE WHEN m < 4 OR (m = 5 AND turn % 5 < 3) THEN '1.0' END AS xml_version, CASE WHEN m < 2 THEN 'UTF-8' END AS encoding, NULL::varchar AS standalone,
+        CASE WHEN m = 0 THEN 'us-patent-grant' WHEN m = 1 THEN 'us-patent-application' WHEN m = 2 THEN 'PATDOC' WHEN m = 3 THEN 'patent-application-publication' WHEN m = 5 AND turn % 5 = 3 THEN 'us-patent-application' END AS doctype, NULL::varchar AS public_id,
+        CASE WHEN m = 0 THEN 'us-patent-grant-v4' || turn % 8 || '.dtd' WHEN m = 1 THEN 'us-patent-application-v4' || turn % 7 || '.dtd' WHEN m = 2 THEN 'ST32-US-Grant-025xml.dtd' WHEN m = 3 THEN CASE WHEN turn % 2 = 0 THEN 'pap-v15-2001-01-31.dtd' ELSE 'pap-v16-2002-01-01.dtd' END END AS system_id,
+        CASE WHEN m < 2 THEN ' ' WHEN m = 3 THEN '' END AS subset FROM d"""),
     "shard_roundtrip": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE {_GOOD}"),
     "pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, cast(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS bigint) AS documents_before FROM d WHERE {_GOOD}"),
+    "bucketed_pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, true AS has_frame FROM d WHERE {_GOOD}"),
+    "looked_up": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE m < 2 AND doc_id IN (SELECT c_custkey FROM customer)"),
     "archive_records": _sql(f""", {_ZIPS} SELECT shard, stem || '.zip' AS source_file, cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS integer) AS ordinal,
         {_OWN_KEY.replace('cast(doc_id + 1 AS varchar)', 'NULL')} AS doc_key FROM y"""),
     "archive_set": _sql(f""", {_ZIPS} SELECT *, written AS frames, unsupported AS listed FROM (SELECT shard, stem || '.zip' AS source_file, 'grant' AS doc_kind, {_SKIPS.format('written', 'supplemental', 'unsupported', 'malformed')} FROM y GROUP BY ALL)

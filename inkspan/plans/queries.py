@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import columns as C
-from ..operators import joins, project, tagged
+from ..operators import joins, project, tagged, trees
 from ..operators.parse import detect, parse
-from ..sources import archives, shards, sinks
+from ..sources import archives, keys, shards, sinks
 from ..sources.scratch import scratch
 from .corpus import corpus
 from .oracle import ORACLE
@@ -198,6 +200,34 @@ def tagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.claims(_tagged(spark, sf_dir), ["doc_id"])
 
 
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.elements(corpus(spark, sf_dir).where("doc_id % 6 < 4"), ["doc_id"])  # the families of XML that parse
+
+
+def elements_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each name are below the claims, of all forms of claims."""
+    found = _elements(spark, sf_dir)
+    both = [trees.below(found, ["doc_id"], n) for n in ("claims", "subdoc-claims", "CL")]
+    return both[0].unionByName(both[1]).unionByName(both[2]).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+def element_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by their paths, entities as written, and attributes of the root."""
+    found = _elements(spark, sf_dir)
+    title = [
+        ("us-patent-grant", "us-bibliographic-data-grant", "invention-title"), ("us-patent-application", "us-bibliographic-data-application", "invention-title"),
+        ("PATDOC", "SDOBI", "B500", "B540", "STEXT", "PDAT"), ("patent-application-publication", "subdoc-bibliographic-information", "technical-information", "title-of-invention"),
+    ]
+    at = [trees.path(found, ["doc_id"], *p).select("doc_id", F.col("own_text").alias("title")) for p in title]
+    root = found.where("depth = 1").select("doc_id", F.col("name").alias("root"), F.array_join(F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), " ").alias("attributes"))
+    return root.join(at[0].unionByName(at[1]).unionByName(at[2]).unionByName(at[3]), "doc_id")
+
+
+def prologs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir).select("doc_id", trees.prolog(F.col("raw")).alias("p"))
+    return c.select("doc_id", "p.*")
+
+
 def _written(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     path = scratch(spark, "archives")
     p = _keyed(spark, sf_dir, *project.groups_of(project.templates.DEFAULT))
@@ -220,6 +250,24 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_pointers(rows, index).select("shard", "doc_key", "patent_number", before.cast("long").alias("documents_before"))
 
 
+def bucketed_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join, of tables that are written in buckets of its keys."""
+    _, index = _written(spark, sf_dir)
+    rows = project.biblio(_keyed(spark, sf_dir, "biblio"), ["shard", "doc_key"]).select("shard", "doc_key", "patent_number")
+    put = lambda df, name: joins.write_bucketed(df, f"{name}_{uuid.uuid4().hex}", scratch(spark, name), buckets=16)
+    both = joins.with_pointers(put(rows, "biblio_rows"), put(index, "index_rows"))
+    return both.select("shard", "doc_key", "patent_number", (F.col("length") > 0).alias("has_frame"))
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the keys that customers' numbers make, through the sorted index."""
+    path, _ = _written(spark, sf_dir)
+    keys.write_key_index(spark, path)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    wanted = customers.select(F.concat(F.lit("US"), F.lpad((F.col("c_custkey") + 1000000).cast("string"), 8, "0"), F.lit("-X")).alias("doc_key"))
+    return keys.documents_of(spark, path, wanted).select("doc_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _zipped(spark: SparkSession, sf_dir: str) -> str:
     """The corpus as ZIP archives, with equal names in two folders; some of the records that are skipped are an archive of
     their own, and each region makes an archive without any record."""
@@ -318,6 +366,6 @@ def concatenated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     biblio, formats, page_formats, party_names, classifications, priority, priority_dates, claims, claim_counts, abstracts, abstract_blocks, descriptions, description_parts, claim_blocks, frontmatter, markdown, whole_documents, drawings,
-    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, tagged_values, tagged_inventors, tagged_claims, shard_roundtrip, pointers, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
+    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, tagged_values, tagged_inventors, tagged_claims, elements_below, element_paths, prologs, shard_roundtrip, pointers, bucketed_pointers, looked_up, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
     entities, blank_lines, decoded_lengths, archive_names, concatenated_titles,
 )}
