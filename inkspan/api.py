@@ -13,6 +13,7 @@ from .functions import columns as C
 from .functions import templates
 from .functions.records import GROUPS, RECORD, Model, StructureError, model, parse_record, record
 from .functions.writeback import write_model
+from .sources.archives import split_records
 
 _ROOT = re.compile(C.ROOT_PATTERN)
 _FAMILY = {"patent-application-publication": "application", "us-patent-application": "application", "us-patent-grant": "grant", "PATDOC": "grant"}
@@ -227,7 +228,7 @@ def _each(column: pa.Array, f) -> list:
 
 def register(spark: SparkSession) -> None:
     """SQL functions patent_format(xml), patent_to_markdown(xml[, template]), patent_to_xml(xml), parse_patent(xml), and table
-    functions patent_claims(xml) and patent_priority(xml).
+    functions patent_claims(xml), patent_priority(xml), patent_parties(xml) and patent_records(text), the records of a file's text.
 
     Arrow batches; null for null and for what can't be parsed, but parse_patent gives such rows with error_kind. A
     template that can't be read fails the query.
@@ -274,7 +275,23 @@ def register(spark: SparkSession) -> None:
             for i, e in enumerate((parse_record(xml, *detect(xml), ("biblio",))["priority"] or []) if xml is not None else []):
                 yield i, e["relationship"], e["parent"], e["parent_date"], e["child"]
 
+    @F.udtf(returnType="role string, pos int, name string, first_named boolean")
+    class PatentParties:
+        def eval(self, xml: str):
+            row = parse_record(xml, *detect(xml), ("biblio",)) if xml is not None else {}
+            for role in ("applicant", "assignee", "inventor"):
+                for i, name in enumerate(row.get(f"{role}s") or []):
+                    yield role, i, name, role == "inventor" and name == row["first_inventor"]
+
+    @F.udtf(returnType="ordinal int, raw string")
+    class PatentRecords:
+        def eval(self, text: str):
+            tagged = text is not None and detect(text)[0] == "UsptoGrantApsGreenBook"
+            yield from enumerate(split_records(text or "", tagged))
+
     for name, f in (("patent_format", patent_format), ("patent_to_markdown", patent_to_markdown), ("patent_to_xml", patent_to_xml), ("parse_patent", parse_patent)):
         spark.udf.register(name, f)
     spark.udtf.register("patent_claims", PatentClaims)
     spark.udtf.register("patent_priority", PatentPriority)
+    spark.udtf.register("patent_parties", PatentParties)
+    spark.udtf.register("patent_records", PatentRecords)

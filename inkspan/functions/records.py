@@ -710,13 +710,15 @@ def record(m: Model, groups=tuple(GROUPS)) -> dict:
     return out
 
 
-def parse_record(raw: str | None, form: str | None, error_kind: str | None = None, error_msg: str | None = None, groups=tuple(GROUPS)) -> dict:
-    """One row of the wanted groups. What fails is in error_kind and error_msg; nothing is raised."""
+def parse_record(raw: str | None, form: str | None, error_kind: str | None = None, error_msg: str | None = None, groups=tuple(GROUPS), read=None) -> dict:
+    """One row of the wanted groups, by read(raw, groups) if it is given. What fails is in error_kind and error_msg; nothing
+    is raised."""
     empty = {n: None for g in groups for n in names_of(GROUPS[g])} | {"error_kind": None, "error_msg": None}
     if form is None:
         return empty | {"error_kind": error_kind or "Malformed", "error_msg": error_msg or ""}
     try:
-        return empty | record(model(raw or "", form, groups), groups)
+        found = read(raw or "", groups) if read else record(model(raw or "", form, groups), groups)
+        return empty | {k: v for k, v in found.items() if k in empty}
     except StructureError as e:
         return empty | {"error_kind": "UnsupportedStructure", "error_msg": str(e)}
     except ValueError as e:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.columns import is_aps, resolved_format, root_name, version_markers
+from ..functions.formats import FORMATS
 from ..functions.records import _ERRORS, GROUPS, parse_record
 
 #: So many bytes of records are parsed in one go, one record at least, so that a worker's memory doesn't follow row counts.
@@ -38,7 +39,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) ->
 
 
 def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with source_format, error_kind, error_msg; columns of these names give way. Null and blank: Malformed."""
+    """df with source_format, error_kind, error_msg; columns of these names give way. Null and blank: Malformed. Formats that
+    were added are asked first, in the order in which they were."""
     kept = [c for c in df.columns if c not in ("source_format", "error_kind", "error_msg")]
     root, aps, found, families, done = (free_name(df, f"_{x}") for x in ("root", "aps", "found", "families", "done"))
     # one select a step: in one expression, the markers would be searched anew for each use of what they give
@@ -46,7 +48,11 @@ def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
     f, g = version_markers(F.col(raw), F.col(root))
     d = d.select("*", f.alias(found), g.alias(families))
     d = d.withColumn(done, resolved_format(F.col(raw), F.col(root), F.col(aps), F.col(found), F.col(families)))
-    return d.select(*kept, F.col(f"{done}.format").alias("source_format"), F.col(f"{done}.error_kind").alias("error_kind"), F.col(f"{done}.error_msg").alias("error_msg"))
+    own = [F.when(m, F.lit(n)) for n, a in FORMATS.items() if (m := a.matches(F.col(raw))) is not None]
+    added = F.coalesce(*own, F.lit(None).cast("string")) if own else F.lit(None).cast("string")
+    d = d.withColumn(aps, added)
+    unless = lambda c: F.when(F.col(aps).isNull(), F.col(f"{done}.{c}")) if own else F.col(f"{done}.{c}")
+    return d.select(*kept, F.coalesce(aps, f"{done}.format").alias("source_format"), unless("error_kind").alias("error_kind"), unless("error_msg").alias("error_msg"))
 
 
 def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
@@ -59,11 +65,11 @@ def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None, groups
     keep = [c for c in (df.columns if keep is None else keep) if c != raw and c not in record.names and c != "source_format"]
     d = detect(df, raw).select(*keep, "source_format", F.col(raw), "error_kind", "error_msg")
     out = StructType([*d.select(*keep, "source_format").schema.fields, *record.fields])
-    arrow = to_arrow_schema(record)
+    arrow, readers = to_arrow_schema(record), {n: a.parse_row for n, a in FORMATS.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, raw):
-            rows = [parse_record(*x, groups) for x in zip(*(b.column(c).to_pylist() for c in (raw, "source_format", "error_kind", "error_msg")))]
+            rows = [parse_record(*x, groups, readers.get(x[1])) for x in zip(*(b.column(c).to_pylist() for c in (raw, "source_format", "error_kind", "error_msg")))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keep, "source_format"]), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], out.names)
 
     return d.mapInArrow(run, out)
