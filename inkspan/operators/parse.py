@@ -73,3 +73,23 @@ def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None, groups
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keep, "source_format"]), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], out.names)
 
     return d.mapInArrow(run, out)
+
+
+def write_back(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """df with each record written back as XML from its model; those that can't be parsed, or whose format can't be written
+    (tagged text), are left out. Map-only, in one pass of Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .. import api
+
+        for b in slices(batches, raw):
+            found = []
+            for x in b.column(raw).to_pylist():
+                try:
+                    found.append(None if x is None else api.parse(x).to_xml())
+                except ValueError:
+                    found.append(None)
+            xml = pa.array(found, pa.string())
+            yield pa.RecordBatch.from_arrays([xml if c == raw else b.column(c) for c in b.schema.names], b.schema.names).filter(xml.is_valid())
+
+    return df.mapInArrow(run, df.schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: In every abstract's second paragraph: nested marks, an element without a Markdown form, an entity.
 MADE_OF = "Made of <b>steel</b> and <i>H<sub>2</sub>O</i>, &ldquo;pure&rdquo;."
 
@@ -130,7 +132,26 @@ def _tagged() -> Column:
     return _put(body, wku=key, apn=F.concat("number", F.when(turn < 2, "&").otherwise("")), title=F.col("title"), filed=F.col("filed"), buyer=F.col("buyer"), seller=F.col("seller"), first=F.col("first"), brief=F.array_join(F.slice(para, 1, 2), ""), long=F.array_join(F.slice(para, 3, F.greatest(F.size("rest"), F.lit(1))), ""), claims=_each(F.col("said"), said), **{"class": F.col("class_")})
 
 
+#: Where the records of a session's tables are, once they are made.
+_MADE: dict[tuple[str, str], str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of made_corpus(), which are written once a session and folder of tables: all queries read the same ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _MADE.get(key)
+    if path is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = path if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+    made = made_corpus(spark, sf_dir)
+    if path is None:
+        path = scratch(spark, "corpus")
+        made.write.parquet(path)
+        _MADE[key] = path
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def made_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw record for each document: doc_id, shard, raw. By doc_id mod 6: a grant of version 4.0 to 4.7, an application of
     4.0 to 4.6, a grant of 2.5, an application of 1.5 or 1.6, tagged text (utility, design, reissue, plant), and in turn
     two supplemental roots, an unknown root, conflicting markers, and broken XML."""

@@ -7,10 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import api
 from ..functions import columns as C
 from ..operators import joins, project, tagged, trees
-from ..operators.parse import detect, parse
+from ..operators.parse import detect, parse, write_back
 from ..sources import archives, keys, shards, sinks
 from ..sources.scratch import scratch
 from .corpus import corpus
@@ -153,8 +152,7 @@ def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written back as XML and parsed again: they say what they said."""
-    api.register(spark)
-    again = corpus(spark, sf_dir).select("doc_id", F.call_function("patent_to_xml", "raw").alias("raw")).where("raw IS NOT NULL")
+    again = write_back(corpus(spark, sf_dir).select("doc_id", "raw"))
     p = parse(again, groups=("biblio", "abstract", "description", "claims"))
     b = project.biblio(p, ["doc_id", "abstract", "claims", "md_description"]).withColumnsRenamed({"applicants": "applicant_names", "assignees": "assignee_names", "inventors": "inventor_names"})
     return b.select("doc_id", "source_format", *_SCALARS, *_joined(_LISTS), "priority_date", F.col("abstract").alias("abstract_text"), F.size("claims").cast("long").alias("claims"), F.col("md_description").alias("description"))

@@ -87,7 +87,8 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["shard", "documents", "bytes"])
 
-    return frames(docs).repartition("shard").sortWithinPartitions("shard", "ordinal").mapInArrow(run, "shard string, documents long, bytes long")
+    # the window over lengths has dealt the frames out by shard already
+    return frames(docs).sortWithinPartitions("shard", "ordinal").mapInArrow(run, "shard string, documents long, bytes long")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

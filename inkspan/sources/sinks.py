@@ -16,6 +16,7 @@ from ..operators import project
 from ..operators.parse import parse
 from .archive_format import SET_SCHEMA, archive_list, register
 from .archives import read_archives
+from .scratch import kept
 from .shards import compressed
 
 #: Between documents that are put into one text.
@@ -104,7 +105,8 @@ def write_markdown_files(docs: DataFrame, path: str) -> DataFrame:
 def write_concatenated(docs: DataFrame, path: str) -> DataFrame:
     """docs (path, markdown) in the order of paths as part files under path, which make one text if put together in the
     order of their names: four line ends stand between documents, none before the first or after the last. Returns the
-    names of the parts. Ranges of paths are written by a task each."""
+    names of the parts. Ranges of paths are written by a task each. The documents are made once, and kept to be sorted."""
+    docs = kept(docs.select("path", "markdown"), "concatenated")
     lowest = docs.agg(F.min("path")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
