@@ -71,15 +71,8 @@ def schedule(blocks: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     return ranked.select(F.col("id").alias("slot"), "source", "position", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch"))
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 8192, least: int = 2000, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (the words that the mix takes of it) of docs (doc_id, text, source),
-    and key, the hash of doc_id and text.
-
-    Each source's documents are shuffled (by a keyed hash of doc_id, then doc_id, then size), laid end to end and cut
-    into n_blocks blocks of equal words (up to one); the schedule says how often each block is taken. A document takes
-    from each block it touches. Prefix sums run in buckets of the hash, so a hot source is spread over many tasks.
-    Null text or no words: taken 0. Null source: a source of its own. Repeated rows: each counts. Empty table: no rows.
-    """
+def _mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 8192, least: int = 2000, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """What mix() returns, with position and the block of a document's first word, and the schedule."""
     key = F.xxhash64("doc_id", "text").alias("key")
     d = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", key), "mix-sizes")
     targets = written(with_blocks(source_targets(d, weights, share, most), block, least), "mix-targets")
@@ -93,25 +86,58 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     of = lambda w: F.floor(((w.cast("decimal(28,0)") + 1) * F.col("n_blocks") - 1) / F.col("source_size")).cast("long")
     touched = placed.where("size > 0").withColumn("block", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("size") - 1))))
     touched = touched.withColumn("part", F.least(edge(F.col("block") + 1), F.col("start") + F.col("size")) - F.greatest(edge(F.col("block")), F.col("start")))
-    times = schedule(targets).groupBy("position", "block").agg(F.count("*").alias("times"))
+    slots = schedule(targets)
+    times = slots.groupBy("position", "block").agg(F.count("*").alias("times"))
     taken = touched.join(times, ["position", "block"]).groupBy("position", "start").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     # (position, start) names a document that has words
     out = placed.join(taken, ["position", "start"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), "key")
+    took = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
+    first = F.when(F.col("size") > 0, of(F.col("start"))).alias("first_block")
+    return out.select("doc_id", "source", "size", "source_size", "target", took, "key", "position", first), slots
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (the words that the mix takes of it) of docs (doc_id, text, source),
+    and key, the hash of doc_id and text. Settings: weights, share, most (see source_targets), block and least (with_blocks), seed.
+
+    Each source's documents are shuffled (by a keyed hash of doc_id, then doc_id, then size), laid end to end and cut
+    into n_blocks blocks of equal words (up to one); the schedule says how often each block is taken. A document takes
+    from each block it touches. Prefix sums run in buckets of the hash, so a hot source is spread over many tasks.
+    Null text or no words: taken 0. Null source: a source of its own. Repeated rows: each counts. Empty table: no rows.
+    """
+    return _mix(docs, **settings)[0].drop("position", "first_block")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """docs as the mix has them: each whole document as often as it is taken, to the nearest number; columns as in docs.
+    """docs as the mix has them, in the order of the schedule; columns as in docs. Settings as for mix().
 
-    Only the documents at the edge of a source's last blocks are taken in part, so rounding moves a source by less than
-    a document or two. Documents without words go. Repeated rows (equal doc_id and text) are counted together.
+    A document stands as a whole as often as all of it is taken, and once more as a piece, its first words, where some of it
+    is; so each source has the words that are taken of it. A copy stands at the slot of its first block in its epoch. Rows are
+    dealt out by ranges of slots and sorted, so that any stretch of the output has the sources by their weights. n_chars, if
+    there, follows the text of a piece. Documents without words go. Repeated rows (equal doc_id and text) are taken together.
     """
-    copies = mix(docs, **settings).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"))
-    key, nth, copy, own = free_names(docs, "_key", "_nth", "_copy", "_copies")
-    copies = copies.where("copies > 0").withColumnsRenamed({"key": f"{key}_of", "copies": own})
-    d = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(copies, F.col(key) == F.col(f"{key}_of"))
+    took, slots = _mix(docs, **settings)
+    slots = written(slots.select("slot", "position", "block", "epoch"), "mix-slots", narrow=True)
+    # equal rows are one with all that is taken of them; the place is that of the first
+    at = F.min(F.struct("position", "first_block")).alias("at")
+    per = took.where("taken > 0").groupBy("key").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), at)
+    per = per.select("key", "size", F.expr("taken div size").alias("whole"), (F.col("taken") % F.col("size")).alias("rest"), "at.position", F.col("at.first_block").alias("block"))
+    each = per.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") + (F.col("rest") > 0).cast("long") - 1)))
+    each = each.join(slots, ["position", "block", "epoch"], "left")
+    # a copy beyond what the schedule has of its first block goes anywhere
+    n = (slots.agg(F.max("slot")).first()[0] or 0) + 1
+    slot = F.coalesce("slot", F.pmod(F.xxhash64("key", "epoch"), F.lit(n)))
+    each = each.select("key", slot.alias("slot"), F.when(F.col("epoch") >= F.col("whole"), F.col("rest")).alias("words"))
+    key, nth, place, words, own = free_names(docs, "_key", "_nth", "_slot", "_words", "_own")
+    each = each.withColumnsRenamed({"key": own, "slot": place, "words": words})
+    d = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     d = d.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))).where(F.col(nth) == 1)
-    return d.withColumn(copy, F.explode(F.sequence(F.lit(1), own))).select(*docs.columns)
+    d = d.join(each, F.col(key) == F.col(own))
+    piece = F.regexp_substr("text", F.concat(F.lit(rf"^(?:[\x20\x09-\x0D]*+{WORD}+){{"), F.col(words).cast("string"), F.lit("}+")))
+    d = d.withColumn("text", F.when(F.col(words).isNull(), F.col("text")).otherwise(piece))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col(words).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return d.repartitionByRange(place, key).sortWithinPartitions(place, key).select(*docs.columns)
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
