@@ -172,6 +172,7 @@ ORACLE = {
         CASE WHEN m = 0 THEN 'us-patent-grant-v4' || turn % 8 || '.dtd' WHEN m = 1 THEN 'us-patent-application-v4' || turn % 7 || '.dtd' WHEN m = 2 THEN 'ST32-US-Grant-025xml.dtd' WHEN m = 3 THEN CASE WHEN turn % 2 = 0 THEN 'pap-v15-2001-01-31.dtd' ELSE 'pap-v16-2002-01-01.dtd' END END AS system_id,
         CASE WHEN m < 2 THEN ' ' WHEN m = 3 THEN '' END AS subset FROM d"""),
     "shard_roundtrip": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE {_GOOD}"),
+    "shard_parts": _sql(f"SELECT {_SHARD} AS shard, count(*) AS documents, 2::bigint AS same_files FROM d WHERE {_GOOD} GROUP BY ALL"),
     "pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, cast(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS bigint) AS documents_before FROM d WHERE {_GOOD}"),
     "bucketed_pointers": _sql(f"SELECT {_SHARD} AS shard, {_OWN_KEY} AS doc_key, {_PATENT} AS patent_number, true AS has_frame FROM d WHERE {_GOOD}"),
     "looked_up": _sql(f"SELECT {_OWN_KEY} AS doc_key, md5({_WHOLE}) AS text_md5 FROM d WHERE m < 2 AND doc_id IN (SELECT c_custkey FROM customer)"),

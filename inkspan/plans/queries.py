@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import joins, project, tagged, trees
 from ..operators.parse import detect, parse, write_back
 from ..sources import archives, keys, shards, sinks
-from ..sources.scratch import scratch
+from ..sources.scratch import kept, scratch
 from .corpus import corpus
 from .oracle import ORACLE
 
@@ -240,6 +240,19 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_documents(index, path).select("doc_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def shard_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards whose frames are written by several tasks each, held against those written by one."""
+    docs = _keyed(spark, sf_dir, *project.groups_of("{{title}}\n\n{{abstract}}"))
+    docs = kept(project.markdown(docs, ["shard", "ordinal", "doc_key"], "{{title}}\n\n{{abstract}}").withColumnRenamed("markdown", "text"), "texts")
+    one, many = scratch(spark, "one-task"), scratch(spark, "many-tasks")
+    shards.write_shards(docs, one).count()
+    done = shards.write_shards_in_parts(docs, many, 32)
+    name = F.regexp_extract("path", r"([^/]*)\.(?:zst|idx)$", 1)
+    read = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", "*.{zst,idx}").load(p).select(name.alias("shard"), F.sha2("content", 256).alias("digest"))
+    same = read(one).join(read(many), ["shard", "digest"]).groupBy("shard").agg(F.count("*").alias("same_files"))
+    return done.join(same, "shard", "left").select("shard", "documents", "same_files")
+
+
 def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliographic rows joined with the index of written archives; offsets as the number of documents before."""
     _, index = _written(spark, sf_dir)
@@ -364,6 +377,6 @@ def concatenated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     biblio, formats, page_formats, party_names, classifications, priority, priority_dates, claims, claim_counts, abstracts, abstract_blocks, descriptions, description_parts, claim_blocks, frontmatter, markdown, whole_documents, drawings,
-    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, tagged_values, tagged_inventors, tagged_claims, elements_below, element_paths, prologs, shard_roundtrip, pointers, bucketed_pointers, looked_up, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
+    manifest, limited, doc_keys, unsupported_lines, manifest_lines, json_lines, json_strings, rewritten, split_records, split_tagged, tagged_fields, tagged_values, tagged_inventors, tagged_claims, elements_below, element_paths, prologs, shard_roundtrip, shard_parts, pointers, bucketed_pointers, looked_up, archive_records, archive_set, by_application_number, identifiers, labels_of_applications,
     entities, blank_lines, decoded_lengths, archive_names, concatenated_titles,
 )}

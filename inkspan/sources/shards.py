@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .scratch import kept
+
 LEVEL = 9
 
 
@@ -59,8 +62,6 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
     task, under a temporary name that is moved into place when it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         now, sink, index, total, tmp, done = None, None, [], 0, "", []
@@ -71,6 +72,7 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
             sink.close()
             with store.open_output_stream(f"{tmp}.idx") as out:
                 out.write("".join(index).encode())
+            store.create_dir(f"{root}/{now}".rsplit("/", 1)[0], recursive=True)
             store.move(tmp, f"{root}/{now}.zst")
             store.move(f"{tmp}.idx", f"{root}/{now}.idx")
             done.append((now, len(index), total))
@@ -79,7 +81,7 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
             for shard, key, frame, offset, length in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_key", "frame", "offset", "length"))):
                 if shard != now:
                     close()
-                    now, index, total, tmp = shard, [], 0, f"{root}/.{shard}-{uuid.uuid4().hex}"
+                    now, index, total, tmp = shard, [], 0, f"{root}/.{uuid.uuid4().hex}"
                     sink = store.open_output_stream(tmp)
                 sink.write(frame)
                 index.append(f"{key}\t{offset}\t{length}\n")
@@ -91,6 +93,76 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
     return frames(docs).sortWithinPartitions("shard", "ordinal").mapInArrow(run, "shard string, documents long, bytes long")
 
 
+def placed_frames(docs: DataFrame, tasks: int) -> DataFrame:
+    """docs (shard, ordinal, doc_key, text) as frames with part, length and offset within the shard, where no task has to see
+    a whole shard: (shard, ordinal) is dealt out by ranges, parts are a task's stretch of a shard, and offsets are
+    prefix sums within a part and over the parts (one row each)."""
+    d = docs.select("shard", F.col("ordinal").cast("int").alias("ordinal"), "doc_key", F.coalesce("text", F.lit("")).alias("text"))
+    f = compressed(d, "text", "frame").withColumn("length", F.length("frame").cast("long"))
+    order = ["shard", "ordinal"]
+    f = kept(f.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "frames")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = f.groupBy("shard", "part").agg(F.sum("length").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    within = Window.partitionBy("shard", "part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    f = f.withColumn("inner", F.coalesce(F.sum("length").over(within), F.lit(0)))
+    return f.join(base.select("shard", "part", "base"), ["shard", "part"]).withColumn("offset", F.col("base") + F.col("inner")).drop("base", "inner")
+
+
+def write_shards_in_parts(docs: DataFrame, path: str, tasks: int) -> DataFrame:
+    """As write_shards(), byte for byte, with the frames of a shard written by several tasks: each writes its parts beside the
+    shards, under names of its attempt, and a list of those that were committed; then the parts of a shard are put together
+    in order, as bytes only. Returns shard, documents, bytes."""
+    spark, stage = docs.sparkSession, f".parts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(f"{root}/{stage}", recursive=True)
+        done: list[list] = []
+        sinks: list = []
+        for b in batches:
+            for shard, part, key, frame, offset in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "doc_key", "frame", "offset"))):
+                if not done or done[-1][:2] != [shard, part]:
+                    for s in sinks:
+                        s.close()
+                    done.append([shard, part, uuid.uuid4().hex, 0, 0])
+                    sinks = [store.open_output_stream(f"{root}/{stage}/{done[-1][2]}.{end}", compression=None) for end in ("frames", "idx")]
+                sinks[0].write(frame)
+                sinks[1].write(f"{key}\t{offset}\t{len(frame)}\n".encode())
+                done[-1][3] += 1
+                done[-1][4] += len(frame)
+        for s in sinks:
+            s.close()
+        cols = list(zip(*done)) or [[]] * 5
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "part", "file", "documents", "bytes"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        whole: dict[str, list[tuple]] = {}
+        for b in batches:  # a row for each part
+            for shard, *rest in zip(*(b.column(c).to_pylist() for c in ("shard", "file", "documents", "bytes"))):
+                whole.setdefault(shard, []).append(rest)
+        for shard, parts in whole.items():
+            for old, end in (("frames", "zst"), ("idx", "idx")):
+                tmp = f"{root}/{stage}/{uuid.uuid4().hex}"
+                with store.open_output_stream(tmp, compression=None) as out:
+                    for file, _, _ in parts:
+                        with store.open_input_stream(f"{root}/{stage}/{file}.{old}", compression=None) as source:
+                            while data := source.read(1 << 20):
+                                out.write(data)
+                store.create_dir(f"{root}/{shard}".rsplit("/", 1)[0], recursive=True)
+                store.move(tmp, f"{root}/{shard}.{end}")
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([sum(p[1] for p in parts)], pa.int64()), pa.array([sum(p[2] for p in parts)], pa.int64())], ["shard", "documents", "bytes"])
+
+    order = ["shard", "part"]
+    placed = placed_frames(docs, tasks).repartition(tasks, *order).sortWithinPartitions(*order, "ordinal")
+    parts = kept(placed.mapInArrow(write, "shard string, part int, file string, documents long, bytes long"), "shard-parts")
+    done = kept(parts.repartition("shard").sortWithinPartitions(*order).mapInArrow(join, "shard string, documents long, bytes long"), "shards-joined")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{stage}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return done
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_key, shard, offset, length of all index files below path; a shard is named by its place below path."""
     store, root = fs.FileSystem.from_uri(path)
