@@ -434,24 +434,29 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     tasks by ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are
     one node. Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
-    node, keys, bits, hashes, row = free_names(docs, "_node", "_keys", "_bits", "_hashes", "_row")
+    node, keys, bits, row = free_names(docs, "_node", "_keys", "_bits", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in slices(batches, "text"):
-            own, found, wide, held = [], [], [], []
+            own, found, wide = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 digests = shingle_digests(t or b"", width)
                 chosen = shingle_set(digests)
                 own.append(xxhash.xxh3_64_intdigest(chosen.tobytes()))
                 found.append(min_hash_keys(chosen))
                 wide.append(_widest_bits(digests))
-                held.append(np.unique(chosen.astype(np.uint32)).tobytes())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(own, np.uint64).view(np.int64)), listed, pa.array(wide, pa.binary()), pa.array(held, pa.binary())], [*b.schema.names, node, keys, bits, hashes])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(own, np.uint64).view(np.int64)), listed, pa.array(wide, pa.binary())], [*b.schema.names, node, keys, bits])
 
-    made = StructType([*docs.schema.fields]).add(node, "long").add(keys, ArrayType(LongType())).add(bits, "binary").add(hashes, "binary")
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            sets = [np.unique(shingle_set(shingle_digests(t or b"", width)).astype(np.uint32)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, pa.binary())], ["root", "node", "set"])
+
+    made = StructType([*docs.schema.fields]).add(node, "long").add(keys, ArrayType(LongType())).add(bits, "binary")
     rows = written(docs.mapInArrow(run, made).withColumn(row, F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
     nodes = written(rows.groupBy(F.col(node).alias("node")).agg(first), "near-copies-nodes", narrow=True)
@@ -461,9 +466,10 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     edges = dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long")
     families = written(components(edges, "near-copies-families"), "near-copies-family", narrow=True)
     members = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    # sets of families only, each once
+    # sets of families only, each once, from their texts
     asked = nodes.select("node", F.col("first.row").alias("at")).join(members, "node")
-    sets = written(asked.join(rows.select(F.col(row).alias("at"), F.col(hashes).alias("set")), "at").select("root", "node", "set"), "near-copies-sets")
+    texts = asked.join(rows.select(F.col(row).alias("at"), "text"), "at").select("root", "node", "text")
+    sets = written(texts.mapInArrow(to_sets, "root long, node long, set binary"), "near-copies-sets")
     comp = components(verified_links(sets, least), "near-copies")
     grouped = nodes.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.row").alias(row))
