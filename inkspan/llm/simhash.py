@@ -451,7 +451,7 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(own, np.uint64).view(np.int64)), listed, pa.array(wide, pa.binary())], [*b.schema.names, node, keys, bits])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             sets = [np.unique(shingle_set(shingle_digests(t or b"", width)).astype(np.uint32)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, pa.binary())], ["root", "node", "set"])
@@ -469,7 +469,7 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     # sets of families only, each once, from their texts
     asked = nodes.select("node", F.col("first.row").alias("at")).join(members, "node")
     texts = asked.join(rows.select(F.col(row).alias("at"), "text"), "at").select("root", "node", "text")
-    sets = written(texts.mapInArrow(to_sets, "root long, node long, set binary"), "near-copies-sets")
+    sets = written(few_parts(texts.mapInArrow(to_sets, "root long, node long, set binary"), 8), "near-copies-sets")
     comp = components(verified_links(sets, least), "near-copies")
     grouped = nodes.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.row").alias(row))
