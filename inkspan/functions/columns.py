@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, by which the formats' texts are trimmed.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Version markers: (format, family, root that the dtd-version test needs, substring). Fixed values of the formats.
+#: Version markers: (format, family, substring). Fixed values of the formats.
 MARKERS = (
     ("UsptoApplicationV15", "application", "pap-v15-2001-01-31.dtd"),
     ("UsptoApplicationV16", "application", "pap-v16"),
@@ -16,6 +18,8 @@ MARKERS = (
     *((f"UsptoApplicationV4{n}", "application", f"us-patent-application-v4{n}") for n in range(7)),
     *((f"UsptoGrantV4{n}", "grant", f"us-patent-grant-v4{n}") for n in range(8)),
 )
+#: Of these, those of version 4 as patterns: kind, name, last version.
+_VERSIONS = (("application", "UsptoApplicationV4", 6), ("grant", "UsptoGrantV4", 7))
 #: Named entities that are decoded in text, in this order. Fixed values.
 ENTITIES = (
     ("&lsqb;", "["), ("&rsqb;", "]"), ("&ldquo;", '"'), ("&rdquo;", '"'), ("&lsquo;", "'"), ("&rsquo;", "'"),
@@ -55,16 +59,23 @@ def _family(root: Column) -> Column:
     return F.when(root.isin("patent-application-publication", "us-patent-application"), "application").when(root.isin("us-patent-grant", "PATDOC"), "grant")
 
 
-def version_markers(raw: Column, root: Column) -> tuple[Column, Column]:
-    """(formats, families) that a record's markers name, as arrays of distinct values."""
+def version_formats(raw: Column, root: Column) -> Column:
+    """The formats that a record's markers name, distinct. Patterns that begin with a literal are searched for by skips, so a
+    record is gone through a few times, not once for each version."""
     family = _family(root)
-    tests = [(name, fam, raw.contains(mark)) for name, fam, mark in MARKERS]
-    tests += [(f"UsptoApplicationV4{n}", "application", (family == "application") & raw.contains(f'dtd-version="v4.{n}')) for n in range(7)]
-    tests += [(f"UsptoGrantV4{n}", "grant", (family == "grant") & raw.contains(f'dtd-version="v4{"." if n else ""}{n}')) for n in range(8)]
+    has = lambda mark: raw.rlike(re.escape(mark))
+    versions = lambda pattern, name: F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), lambda n: F.concat(F.lit(name), F.replace(n, F.lit("."))))
+    fixed = F.array_compact(F.array(*[F.when(has(mark), name) for name, _, mark in MARKERS if not mark.startswith("us-patent")]))
+    some = [versions(rf"us-patent-{kind}-v4([0-{last}])", name) for kind, name, last in _VERSIONS]
+    own = F.when(family == "application", versions(r'dtd-version="v4(\.[0-6])', "UsptoApplicationV4")).when(family == "grant", versions(r'dtd-version="v4(0|\.[1-7])', "UsptoGrantV4"))
+    return F.array_distinct(F.concat(fixed, *some, F.coalesce(own, F.array().cast("array<string>"))))
+
+
+def version_families(raw: Column, found: Column) -> Column:
+    """The families of the formats that markers name, and of doctypes, distinct."""
     doctypes = (("application", "<!DOCTYPE us-patent-application"), ("grant", "<!DOCTYPE us-patent-grant"), ("grant", "<!DOCTYPE PATDOC"))
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(t, name) for name, _, t in tests])))
-    families = F.array_distinct(F.array_compact(F.array(*[F.when(t, fam) for _, fam, t in tests], *[F.when(raw.contains(m), fam) for fam, m in doctypes])))
-    return found, families
+    named = F.transform(found, lambda x: F.when(x.startswith("UsptoApplication"), "application").otherwise("grant"))
+    return F.array_distinct(F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(raw.rlike(re.escape(m)), fam) for fam, m in doctypes]))))
 
 
 def resolved_format(raw: Column, root: Column, aps: Column, found: Column, families: Column) -> Column:
@@ -85,7 +96,8 @@ def resolved_format(raw: Column, root: Column, aps: Column, found: Column, famil
 def source_format(raw: Column) -> Column:
     """struct(format, error_kind, error_msg): exactly one of format and error_kind is set."""
     root = root_name(raw)
-    return resolved_format(raw, root, is_aps(raw), *version_markers(raw, root))
+    found = version_formats(raw, root)
+    return resolved_format(raw, root, is_aps(raw), found, version_families(raw, found))
 
 
 def skip_class(kind: Column, root: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.columns import is_aps, resolved_format, root_name, version_markers
+from ..functions.columns import is_aps, resolved_format, root_name, version_families, version_formats
 from ..functions.formats import FORMATS
 from ..functions.records import _ERRORS, GROUPS, parse_record
 
@@ -45,8 +45,8 @@ def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
     root, aps, found, families, done = (free_name(df, f"_{x}") for x in ("root", "aps", "found", "families", "done"))
     # one select a step: in one expression, the markers would be searched anew for each use of what they give
     d = df.select(*kept, root_name(F.col(raw)).alias(root), is_aps(F.col(raw)).alias(aps))
-    f, g = version_markers(F.col(raw), F.col(root))
-    d = d.select("*", f.alias(found), g.alias(families))
+    d = d.select("*", version_formats(F.col(raw), F.col(root)).alias(found))
+    d = d.select("*", version_families(F.col(raw), F.col(found)).alias(families))
     d = d.withColumn(done, resolved_format(F.col(raw), F.col(root), F.col(aps), F.col(found), F.col(families)))
     own = [F.when(m, F.lit(n)) for n, a in FORMATS.items() if (m := a.matches(F.col(raw))) is not None]
     added = F.coalesce(*own, F.lit(None).cast("string")) if own else F.lit(None).cast("string")
