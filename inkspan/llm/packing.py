@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 from .tokens import default_tokenizer, encoder, slices
 
 
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
                 emit(x)
         yield flush()
 
-    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(lean(run), schema)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

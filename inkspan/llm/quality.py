@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 from .tokens import slices
 
 #: At most so many labelled rows are used to fit, and of these so many as have this many indicators together (4 bytes each);
@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, model: NbSvm, cut: float = 0.3) -> DataFrame:
             s = [model.score(indicators(t or b"")) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= cut) for x in s], pa.int32())], [*kept, "score", "predicted"])
 
-    return docs.select(*kept).mapInArrow(run, out)
+    return docs.select(*kept).mapInArrow(lean(run), out)
 
 
 def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import few_parts, free_names, table, written
+from .common import few_parts, free_names, lean, table, written
 from .components import components
 from .tokens import slices
 
@@ -310,12 +310,21 @@ def central(fp: np.ndarray, n: int) -> np.ndarray:
 HELD, HUBS = 1 << 20, 64
 
 
+_EDGE_NAMES = ["a", "b", "key", "over"]
+
+
 def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, near): the minimum spanning forests of each key's rows. A key with more than `most` rows is
-    handled in portions, each together with the key's central rows, as copies of one text may be linked through it alone."""
-    rest = None
+    """Rows sorted by (key, near): edges (a, b) of the minimum spanning forests of each key's rows. A key with more than `most`
+    rows is handled in portions, each together with the key's central rows, as copies of one text may be linked through it
+    alone. As rows of such a key don't all meet here, it is named, too, (key, over true); so are the first and the last key of
+    the task (over false), which may go on in another one. linked_families() holds these against each other."""
+    rest, first, last = None, None, None
+
+    def named(keys: list[int], over: bool) -> pa.RecordBatch:
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(keys, pa.int64()), pa.array([over] * len(keys), pa.bool_())], _EDGE_NAMES)
 
-    def linked(t: pa.Table) -> pa.RecordBatch:
+    def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         fp = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint64).reshape(-1, 8)
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -331,20 +340,73 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> I
                     x, y, _ = np.array(found).T
                     a.append(rows[x]), b.append(rows[y])
         a, b = (np.concatenate(x) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.bool_())], _EDGE_NAMES)
+        yield named(k[starts[ends - starts > most]].tolist(), True)
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
         k = t.column("key").to_numpy()
+        if len(k):
+            first, last = int(k[0]) if first is None else first, int(k[-1])
         cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
         if not cut and len(k) >= HELD:
             cut = len(k)
         if cut:
-            yield linked(t.slice(0, cut))
+            yield from linked(t.slice(0, cut))
         rest = t.slice(cut).combine_chunks()
     if rest is not None and rest.num_rows:
-        yield linked(rest)
+        yield from linked(rest)
+    if first is not None:
+        yield named(sorted({first, last}), False)
+
+
+def crossed(fp: np.ndarray, labels: np.ndarray, asking: np.ndarray, loose: int) -> list[tuple[int, int]]:
+    """Pairs of positions of fingerprints that differ in at most `loose` bits, enough to connect all whom such pairs with one of
+    `asking` connect beyond what equal labels connect already."""
+    labels, out = labels.copy(), []
+    for x in asking.tolist():
+        rest = np.flatnonzero(labels != labels[x])
+        near = rest[np.bitwise_count(fp[rest] ^ fp[x]).sum(1, dtype=np.int64) <= loose]
+        for y in near[np.unique(labels[near], return_index=True)[1]].tolist():
+            out.append((x, y))
+            labels[labels == labels[y]] = labels[x]
+    return out
+
+
+#: So many rows of a key a side of a block holds at most, about, where a crowded key's rows are held against each other.
+CELL = 8192
+
+
+def linked_families(blocks: DataFrame, loose: int, most: int) -> DataFrame:
+    """blocks (key, near, node, s): node, root of the components of all pairs of one key that differ in at most `loose` bits.
+
+    First by one task for each range of (key, near). Keys whose rows did not all meet there, as they are more than `most` or on
+    both sides of a range's end, are gone through again: those of their rows that are not in the key's largest component yet
+    are held against all of its rows, in blocks of CELL by CELL rows, dealt over the cluster. So no pair is left out; rows
+    without near copies under one crowded key cost their number times the key's."""
+    dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
+    found = written(dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long, key long, over boolean"), "near-copies-found", narrow=True)
+    edges = found.where("a IS NOT NULL").select("a", "b")
+    crowded = found.where("key IS NOT NULL").groupBy("key").agg(F.max("over").alias("over"), F.count("*").alias("n")).where("over OR n > 1").select("key")
+    so_far = written(components(edges, "near-copies-families"), "near-copies-family", narrow=True)
+    label = so_far.select("node", F.col("root").alias("label"))
+    # a few keys: one for each range's end, and at most one in `most` rows
+    told = blocks.join(F.broadcast(crowded), "key").select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = written(told, "near-copies-told", narrow=True)
+    by = told.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"))
+    of = lambda n: F.ceil(n / CELL).cast("int")
+    apart = written(by.where("n > most").select("key", "largest", of(F.col("n")).alias("parts"), of(F.col("n") - F.col("most")).alias("blocks")), "near-copies-crowded", narrow=True)
+    if apart.isEmpty():
+        return so_far
+    held = blocks.select("key", "node", F.col("s").alias("set")).join(F.broadcast(apart), "key").join(told.select("key", "node", "label"), ["key", "node"])
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = held.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), cells("blocks").alias("block"), "node", "set", "label", F.lit(False).alias("asks"))
+    left = held.where("label <> largest").select("key", cells("parts").alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"), "node", "set", "label", F.lit(True).alias("asks"))
+    keys = ["key", "part", "block"]
+    link = lambda sets, labels, asking: crossed(np.frombuffer(b"".join(sets), np.uint64).reshape(-1, 8), labels, asking, loose)
+    met = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _links_of_groups(b, keys, link), "a long, b long")
+    return written(components(so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met), "near-copies-joined"), "near-copies-families", narrow=True)
 
 
 #: A group of near copies is searched by one task up to so many texts and so many bytes of their sets; a larger one in portions
@@ -352,17 +414,17 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], loose: int, most: int) -> I
 PORTION, PORTION_BYTES = 2048, 4 << 20
 
 
-def _links_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (keys, node, set, label, asks) sorted by keys: exact_links of each run of equal keys."""
+def _links_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str], link) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, node, set, label, asks) sorted by keys: link(sets, labels, asking) of each run of equal keys."""
     held: list[pa.Table] = []
 
     def links(t: pa.Table) -> pa.RecordBatch:
         node = t.column("node").to_numpy()
         node, first = np.unique(node, return_index=True)  # a hub may be in its own portion, too
-        sets = [np.frombuffer(x, np.uint32) for x in t.column("set").take(pa.array(first)).to_pylist()]
+        sets = t.column("set").take(pa.array(first)).to_pylist()
         label, asks = t.column("label").to_numpy()[first], t.column("asks").to_numpy(zero_copy_only=False)
         asking = np.flatnonzero(np.isin(node, t.column("node").to_numpy()[asks]))
-        a, b = np.array(exact_links(sets, label, asking, least), np.int64).reshape(-1, 2).T
+        a, b = np.array(link(sets, label, asking), np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     for b in batches:
@@ -386,7 +448,8 @@ def verified_links(sets: DataFrame, least: float) -> DataFrame:
     A root of up to PORTION texts is one task's work. A larger one is first searched in portions, dealt by hash, with HUBS
     common texts in each. Where that leaves more than one component, all texts outside the largest one are compared with
     all of the root, block by block; so nothing is missed, and a family that hangs together costs no more than its portions."""
-    work = lambda d, keys: d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _links_of_groups(b, keys, least), "a long, b long")
+    link = lambda found, labels, asking: exact_links([np.frombuffer(x, np.uint32) for x in found], labels, asking, least)
+    work = lambda d, keys: d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _links_of_groups(b, keys, link), "a long, b long")
     size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"))
     of = lambda n, b: F.greatest(F.ceil(n / PORTION), F.ceil(b / PORTION_BYTES)).cast("int")
     large = written(size.select("root", of(F.col("n"), F.col("bytes")).alias("portions")).where("portions > 1"), "near-copies-large", narrow=True)
@@ -431,8 +494,8 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
     the share of differing bits is arccos(2s / (1 + s)) / pi: 77 of 512 at 0.8, with a deviation of 8, 112 at 0.63. What such
     a forest connects is a family; texts that are linked are in one family, whether or not the forest has their edge.
     The sets of a family then meet, and only exact similarities make links (verified_links). Crowded buckets are spread over
-    tasks by ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones. Equal sets are
-    one node. Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
+    tasks by ranges of (key, further min-hashes) and handled in portions of `most` rows and the central ones; what that leaves
+    apart is held against the whole bucket, block by block (linked_families). Equal sets are one node. Null text and texts without words: alike, so one of them stays. Repeated rows: one stays. Empty table: no rows.
     """
     node, keys, bits, row = free_names(docs, "_node", "_keys", "_bits", "_row")
 
@@ -457,19 +520,17 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, loose: int
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, pa.binary())], ["root", "node", "set"])
 
     made = StructType([*docs.schema.fields]).add(node, "long").add(keys, ArrayType(LongType())).add(bits, "binary")
-    rows = written(docs.mapInArrow(run, made).withColumn(row, F.monotonically_increasing_id()), "near-copies")
+    rows = written(docs.mapInArrow(lean(run), made).withColumn(row, F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
     nodes = written(rows.groupBy(F.col(node).alias("node")).agg(first), "near-copies-nodes", narrow=True)
     alone = rows.select(F.col(row).alias("at"), F.col(keys).alias("keys"), F.col(bits).alias("s"))
     blocks = nodes.select("node", F.col("first.row").alias("at")).join(alone, "at").select("node", "s", F.explode("keys").alias("key"), F.xxhash64(F.slice("keys", 1, 4)).alias("near"))
-    dealt = blocks.repartitionByRange("key", "near").sortWithinPartitions("key", "near")
-    edges = dealt.select("key", "node", "s").mapInArrow(lambda b: _bucket_edges(b, loose, most), "a long, b long")
-    families = written(components(edges, "near-copies-families"), "near-copies-family", narrow=True)
+    families = linked_families(blocks, loose, most)
     members = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     # sets of families only, each once, from their texts
     asked = nodes.select("node", F.col("first.row").alias("at")).join(members, "node")
     texts = asked.join(rows.select(F.col(row).alias("at"), "text"), "at").select("root", "node", "text")
-    sets = written(few_parts(texts.mapInArrow(to_sets, "root long, node long, set binary"), 8), "near-copies-sets")
+    sets = written(few_parts(texts.mapInArrow(lean(to_sets), "root long, node long, set binary"), 8), "near-copies-sets")
     comp = components(verified_links(sets, least), "near-copies")
     grouped = nodes.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.row").alias(row))
