@@ -198,8 +198,10 @@ def tagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.claims(_tagged(spark, sf_dir), ["doc_id"])
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.elements(corpus(spark, sf_dir).where("doc_id % 6 < 4"), ["doc_id"])  # the families of XML that parse
+def _elements(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
+    """The elements of the families of XML that parse, made once, as each step of a path reads them. own: with their texts."""
+    found = trees.elements(corpus(spark, sf_dir).where("doc_id % 6 < 4"), ["doc_id"])
+    return kept(found if own else found.select("doc_id", "pre", "last", "depth", "name"), "elements")
 
 
 def elements_below(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +213,7 @@ def elements_below(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def element_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by their paths, entities as written, and attributes of the root."""
-    found = _elements(spark, sf_dir)
+    found = _elements(spark, sf_dir, True)
     title = [
         ("us-patent-grant", "us-bibliographic-data-grant", "invention-title"), ("us-patent-application", "us-bibliographic-data-application", "invention-title"),
         ("PATDOC", "SDOBI", "B500", "B540", "STEXT", "PDAT"), ("patent-application-publication", "subdoc-bibliographic-information", "technical-information", "title-of-invention"),
