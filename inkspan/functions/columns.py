@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +50,8 @@ def root_name(raw: Column) -> Column:
 def is_aps(raw: Column) -> Column:
     """A tagged-text record: its first line that isn't blank is PATN, or a header line that names APS."""
     first = F.regexp_extract(raw, r"\A\s*+([^\r\n]*)", 1)
-    return (F.rtrim(first) == "PATN") | (F.regexp_extract(raw, r"\A(?:[^\S\n]*+\n)*+([^\r\n]*)", 1).startswith("HHHHH") & first.contains("APS"))
+    named = (F.rtrim(first) == "PATN") | (F.regexp_extract(raw, r"\A(?:[^\S\n]*+\n)*+([^\r\n]*)", 1).startswith("HHHHH") & first.contains("APS"))
+    return (raw.contains("PATN") | raw.contains("HHHHH")) & named  # most records have neither, which costs no pattern
 
 
 def _family(root: Column) -> Column:
@@ -60,22 +59,22 @@ def _family(root: Column) -> Column:
 
 
 def version_formats(raw: Column, root: Column) -> Column:
-    """The formats that a record's markers name, distinct. Patterns that begin with a literal are searched for by skips, so a
-    record is gone through a few times, not once for each version."""
+    """The formats that a record's markers name, distinct. Fixed texts are looked for as such, and a pattern is searched only
+    where the text that it begins with is there, so that a record is seldom decoded."""
     family = _family(root)
-    has = lambda mark: raw.rlike(re.escape(mark))
+    none = F.array().cast("array<string>")
     versions = lambda pattern, name: F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), lambda n: F.concat(F.lit(name), F.replace(n, F.lit("."))))
-    fixed = F.array_compact(F.array(*[F.when(has(mark), name) for name, _, mark in MARKERS if not mark.startswith("us-patent")]))
-    some = [versions(rf"us-patent-{kind}-v4([0-{last}])", name) for kind, name, last in _VERSIONS]
+    fixed = F.array_compact(F.array(*[F.when(raw.contains(mark), name) for name, _, mark in MARKERS if not mark.startswith("us-patent")]))
+    some = [F.when(raw.contains(f"us-patent-{kind}-v4"), versions(rf"us-patent-{kind}-v4([0-{last}])", name)).otherwise(none) for kind, name, last in _VERSIONS]
     own = F.when(family == "application", versions(r'dtd-version="v4(\.[0-6])', "UsptoApplicationV4")).when(family == "grant", versions(r'dtd-version="v4(0|\.[1-7])', "UsptoGrantV4"))
-    return F.array_distinct(F.concat(fixed, *some, F.coalesce(own, F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(fixed, *some, F.coalesce(F.when(raw.contains('dtd-version="v4'), own), none)))
 
 
 def version_families(raw: Column, found: Column) -> Column:
     """The families of the formats that markers name, and of doctypes, distinct."""
     doctypes = (("application", "<!DOCTYPE us-patent-application"), ("grant", "<!DOCTYPE us-patent-grant"), ("grant", "<!DOCTYPE PATDOC"))
     named = F.transform(found, lambda x: F.when(x.startswith("UsptoApplication"), "application").otherwise("grant"))
-    return F.array_distinct(F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(raw.rlike(re.escape(m)), fam) for fam, m in doctypes]))))
+    return F.array_distinct(F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(raw.contains(m), fam) for fam, m in doctypes]))))
 
 
 def resolved_format(raw: Column, root: Column, aps: Column, found: Column, families: Column) -> Column:
@@ -161,11 +160,12 @@ def is_aps_entry(name: Column) -> Column:
 def doc_key(raw: Column, ordinal: Column) -> Column:
     """The stem of the root's file attribute, else the first number element, else the ordinal and 1. Tagged text: the number
     of the first line with an identifier."""
-    tag = F.regexp_extract(raw, _ROOT_TAG, 1)
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*\z", "")
-    file = F.when(tag.rlike('file="[^"]*"'), stem(F.regexp_extract(tag, 'file="([^"]*)"', 1))).when(tag.rlike("file='[^']*'"), stem(F.regexp_extract(tag, "file='([^']*)'", 1)))
+    of = lambda tag: F.when(tag.rlike('file="[^"]*"'), stem(F.regexp_extract(tag, 'file="([^"]*)"', 1))).when(tag.rlike("file='[^']*'"), stem(F.regexp_extract(tag, "file='([^']*)'", 1)))
+    # by way of a list of one, so that the root's tag is searched for once
+    file = F.when(raw.contains("file="), F.get(F.transform(F.array(F.regexp_extract(raw, _ROOT_TAG, 1)), of), F.lit(0)))
     none = lambda c: F.nullif(c, F.lit(""))
-    numbers = [none(trimmed(F.regexp_extract(raw, f"<{t}>([^<]*)<", 1))) for t in ("doc-number", "publication-number", "patent-number")]
+    numbers = [F.when(raw.contains(f"<{t}>"), none(trimmed(F.regexp_extract(raw, f"<{t}>([^<]*)<", 1)))) for t in ("doc-number", "publication-number", "patent-number")]
     own = none(F.regexp_extract(raw, r"(?m)^WKU[^\S\r\n]*+([^\r\n]*[^\s])", 1))
     return F.coalesce(F.when(is_aps(raw), wku(own)["number"]).otherwise(F.coalesce(file, *numbers)), (ordinal + 1).cast("string"))
 
