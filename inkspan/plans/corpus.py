@@ -24,11 +24,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyyMMdd")
     edge = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0"), F.lit("/"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("parent"), day("l_shipdate").alias("date"))
     edges = read("lineitem").join(d.select("doc_id"), F.col("l_orderkey") == F.col("doc_id")).groupBy("doc_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))  # an order's few lines
-    o = read("orders").select(F.col("o_orderkey").alias("doc_id"), day("o_orderdate").alias("filed"), "o_custkey").join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("buyer")), "o_custkey", "left").drop("o_custkey")
-    d = d.select("doc_id", "source", "lang", lines.alias("lines")).join(o, "doc_id", "left").join(edges, "doc_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,parent:string,date:string>>")))
+    known = d.select("doc_id").distinct()
+    o = read("orders").select(F.col("o_orderkey").alias("doc_id"), day("o_orderdate").alias("filed"), "o_custkey").join(known, "doc_id", "left_semi")
+    o = o.join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("buyer")), "o_custkey", "left").drop("o_custkey")
     head = F.get("edges", F.lit(0))
-    d = d.withColumn("p_partkey", head["l_partkey"]).withColumn("s_suppkey", head["l_suppkey"])
-    d = d.join(read("part").select("p_partkey", F.concat("p_brand", F.lit("  "), "p_type").alias("class_")), "p_partkey", "left").join(read("supplier").select("s_suppkey", F.col("s_name").alias("seller")), "s_suppkey", "left")
+    edges = edges.withColumn("p_partkey", head["l_partkey"]).withColumn("s_suppkey", head["l_suppkey"])
+    edges = edges.join(read("part").select("p_partkey", F.concat("p_brand", F.lit("  "), "p_type").alias("class_")), "p_partkey", "left").join(read("supplier").select("s_suppkey", F.col("s_name").alias("seller")), "s_suppkey", "left")
+    # all but the texts is joined first, so that these are moved once, by doc_id
+    d = d.join(o, "doc_id", "left").join(edges.drop("p_partkey", "s_suppkey"), "doc_id", "left").withColumn("lines", lines).withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,parent:string,date:string>>")))
     turn = F.floor(F.col("doc_id") / 6)
     kind = F.element_at(F.array(*map(F.lit, ("B1", "B2", "E1", "S1"))), (turn % 4 + 1).cast("int"))
     return d.select(
