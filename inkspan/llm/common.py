@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import lean as lean
 from ..sources.scratch import scratch
 
 #: Words everywhere in this package: runs of anything but the six ASCII white-space characters.
@@ -64,19 +62,3 @@ def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of written_at() that nothing will read again."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives free memory that its allocators hold back to the system: workers live on beside those of
-    later stages."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-        from contextlib import suppress
-
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return whole

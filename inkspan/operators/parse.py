@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,10 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions.columns import is_aps, resolved_format, root_name, version_families, version_formats
 from ..functions.formats import FORMATS
 from ..functions.records import _ERRORS, GROUPS, parse_record
-
-#: So many bytes of records are parsed in one go, one record at least, so that a worker's memory doesn't follow row counts.
-SLICE = 4 << 20
-
+from ..sources.scratch import lean, slices
 
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
@@ -28,16 +23,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ends = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
-        a = 0
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-            yield b.slice(a, z - a)
-            a = z
-
-
 def detect(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with source_format, error_kind, error_msg; columns of these names give way. Null and blank: Malformed. Formats that
     were added are asked first, in the order in which they were."""
@@ -72,7 +57,7 @@ def parse(df: DataFrame, raw: str = "raw", keep: list[str] | None = None, groups
             rows = [parse_record(*x, groups, readers.get(x[1])) for x in zip(*(b.column(c).to_pylist() for c in (raw, "source_format", "error_kind", "error_msg")))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keep, "source_format"]), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], out.names)
 
-    return d.mapInArrow(run, out)
+    return d.mapInArrow(lean(run), out)
 
 
 def write_back(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -92,4 +77,4 @@ def write_back(df: DataFrame, raw: str = "raw") -> DataFrame:
             xml = pa.array(found, pa.string())
             yield pa.RecordBatch.from_arrays([xml if c == raw else b.column(c) for c in b.schema.names], b.schema.names).filter(xml.is_valid())
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import lean, slices
+
 _XML_START = re.compile(r"<\?xml\s.*?\?>\s*+(?:<!--.*?-->\s*+)*+<(?:!DOCTYPE\s*+[A-Za-z_]|[A-Za-z_])", re.S)
 _XML_BYTES = re.compile(_XML_START.pattern.encode(), re.S)
 #: So much of an entry is read at once, and so much of what was searched is searched again with the next part.
@@ -200,12 +202,13 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
 
 
 def split(files: DataFrame, aps) -> DataFrame:
-    """files (file, text): file, ordinal, raw of the records in each text; aps: a column, whether it is tagged text."""
+    """files (file, text): file, ordinal, raw of the records in each text; aps: a column, whether it is tagged text. A worker
+    holds a few texts at a time, whatever Spark's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             for name, text, tagged in zip(*(b.column(c).to_pylist() for c in ("file", "text", "aps"))):
                 rows = list(enumerate(split_records(text or "", bool(tagged))))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.string())], ["file", "ordinal", "raw"])
 
-    return files.select("file", "text", aps.alias("aps")).mapInArrow(run, "file string, ordinal int, raw string")
+    return files.select("file", "text", aps.alias("aps")).mapInArrow(lean(run), "file string, ordinal int, raw string")
