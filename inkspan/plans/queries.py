@@ -29,11 +29,12 @@ def _rendered(spark: SparkSession, sf_dir: str, template: str, name: str = "mark
     return project.markdown(_parsed(spark, sf_dir, *project.groups_of(template)), ["doc_id"], template).withColumnRenamed("markdown", name)
 
 
-def _keyed(spark: SparkSession, sf_dir: str, *groups: str) -> DataFrame:
-    """Parsed records with what the sinks need: ordinal, doc_key, source_file, doc_kind."""
+def _keyed(spark: SparkSession, sf_dir: str, *groups: str, key: bool = True) -> DataFrame:
+    """Parsed records with what the sinks need: ordinal, doc_key (if it is asked for: it is searched for in the whole record),
+    source_file, doc_kind."""
     source = F.concat("shard", F.lit(".zip"))
     d = corpus(spark, sf_dir).select("shard", "raw", F.col("doc_id").alias("ordinal"), source.alias("source_file"), C.doc_kind(source).alias("doc_kind"))
-    return parse(d.withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal"))), groups=groups)
+    return parse(d.withColumn("doc_key", C.doc_key(F.col("raw"), F.col("ordinal"))) if key else d, groups=groups)
 
 
 def _joined(names) -> list:
@@ -135,7 +136,7 @@ def unsupported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.manifest_json(_keyed(spark, sf_dir)).select("shard", "line")
+    return sinks.manifest_json(_keyed(spark, sf_dir, key=False)).select("shard", "line")
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
