@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .scratch import kept
+from .scratch import kept, lean, slices
 
 LEVEL = 9
 
@@ -20,10 +20,14 @@ class IndexError_(ValueError):
     """A line of an index that can't be read."""
 
 
-def parse_index(shard: str, text: str) -> list[tuple[str, str, int, int]]:
-    """(doc_key, shard, offset, length) of an index file; errors name the line, from 1."""
+#: So many characters of an index are read at once.
+INDEX_CHUNK = 1 << 20
+
+
+def parse_index(shard: str, text: str, first: int = 1) -> list[tuple[str, str, int, int]]:
+    """(doc_key, shard, offset, length) of an index file, or of its lines from `first` on; errors name the line, from 1."""
     out = []
-    for n, line in enumerate(text.splitlines(), 1):
+    for n, line in enumerate(text.splitlines(), first):
         if not (line := line.strip()):
             continue
         parts = line.split("\t")
@@ -41,12 +45,12 @@ def compressed(df: DataFrame, text: str, frame: str) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
+        for b in slices(batches, text):
             f = pa.array([None if t is None else z.compress(t.encode()) for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([f if c == text else b.column(c) for c in b.schema.names], names)
 
     fields = [StructField(frame, BinaryType()) if f.name == text else f for f in df.schema.fields]
-    return df.mapInArrow(run, StructType(fields))
+    return df.mapInArrow(lean(run), StructType(fields))
 
 
 def frames(docs: DataFrame) -> DataFrame:
@@ -64,33 +68,33 @@ def write_shards(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        now, sink, index, total, tmp, done = None, None, [], 0, "", []
+        now, sink, index, count, total, tmp, done = None, None, None, 0, 0, "", []
 
         def close() -> None:
             if now is None:
                 return
             sink.close()
-            with store.open_output_stream(f"{tmp}.idx") as out:
-                out.write("".join(index).encode())
+            index.close()
             store.create_dir(f"{root}/{now}".rsplit("/", 1)[0], recursive=True)
             store.move(tmp, f"{root}/{now}.zst")
-            store.move(f"{tmp}.idx", f"{root}/{now}.idx")
-            done.append((now, len(index), total))
+            store.move(f"{tmp}.lines", f"{root}/{now}.idx")
+            done.append((now, count, total))
 
-        for b in batches:
+        for b in slices(batches, "frame"):
             for shard, key, frame, offset, length in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_key", "frame", "offset", "length"))):
                 if shard != now:
                     close()
-                    now, index, total, tmp = shard, [], 0, f"{root}/.{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(tmp)
+                    now, count, total, tmp = shard, 0, 0, f"{root}/.{uuid.uuid4().hex}"
+                    sink, index = store.open_output_stream(tmp), store.open_output_stream(f"{tmp}.lines")
                 sink.write(frame)
-                index.append(f"{key}\t{offset}\t{length}\n")
+                index.write(f"{key}\t{offset}\t{length}\n".encode())
+                count += 1
                 total += length
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["shard", "documents", "bytes"])
 
     # the window over lengths has dealt the frames out by shard already
-    return frames(docs).sortWithinPartitions("shard", "ordinal").mapInArrow(run, "shard string, documents long, bytes long")
+    return frames(docs).sortWithinPartitions("shard", "ordinal").mapInArrow(lean(run), "shard string, documents long, bytes long")
 
 
 def placed_frames(docs: DataFrame, tasks: int) -> DataFrame:
@@ -119,7 +123,7 @@ def write_shards_in_parts(docs: DataFrame, path: str, tasks: int) -> DataFrame:
         store.create_dir(f"{root}/{stage}", recursive=True)
         done: list[list] = []
         sinks: list = []
-        for b in batches:
+        for b in slices(batches, "frame"):
             for shard, part, key, frame, offset in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "doc_key", "frame", "offset"))):
                 if not done or done[-1][:2] != [shard, part]:
                     for s in sinks:
@@ -163,6 +167,21 @@ def write_shards_in_parts(docs: DataFrame, path: str, tasks: int) -> DataFrame:
     return done
 
 
+def _index_chunks(f, most: int = INDEX_CHUNK) -> Iterator[tuple[int, str]]:
+    """(number of the first line, text) of an open index in pieces that end where a line does."""
+    import codecs
+
+    decoder, rest, first, more = codecs.getincrementaldecoder("utf-8")(), "", 1, True
+    while more:
+        data = f.read(most)
+        more = bool(data)
+        rest += decoder.decode(data, not more)
+        cut = rest.rfind("\n") + 1 if more else len(rest)
+        if cut:
+            yield first, rest[:cut]
+            first, rest = first + len(rest[:cut].splitlines()), rest[cut:]
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_key, shard, offset, length of all index files below path; a shard is named by its place below path."""
     store, root = fs.FileSystem.from_uri(path)
@@ -174,13 +193,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for s in b.column("shard").to_pylist():
                 with store.open_input_stream(f"{root}/{s}.idx") as f:
-                    rows = parse_index(s, f.read().decode())
-                cols = list(zip(*rows)) or [[]] * 4
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_key", "shard", "offset", "length"])
+                    for first, text in _index_chunks(f):
+                        cols = list(zip(*parse_index(s, text, first))) or [[]] * 4
+                        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_key", "shard", "offset", "length"])
 
     listed = spark.createDataFrame([(n,) for n in names], "shard string").repartition(max(1, len(names)), "shard")
-    return listed.mapInArrow(run, "doc_key string, shard string, offset long, length long")
+    return listed.mapInArrow(lean(run), "doc_key string, shard string, offset long, length long")
 
 
 def read_documents(pointers: DataFrame, path: str) -> DataFrame:
